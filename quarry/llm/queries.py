@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import simhash
+from quarry.llm import decontaminate, simhash
+from quarry.llm.oracle import ORACLE
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,13 +22,28 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all documents."""
+    found = decontaminate.with_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = decontaminate.hit_words("contamination.spans")
+    return found.select(
+        "doc_id",
+        F.col("contamination.n_words").alias("n_words"),
+        n_hit.alias("n_hit"),
+        F.size("contamination.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("contamination.items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> callable of (spark, folder of tables)."""
     return {
         "op1_simhash": op1_simhash,
+        "op8_decontamination": op8_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The queries whose results DuckDB can state."""
-    return {}
+    return dict(ORACLE)
