@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, simhash
+from quarry.llm import decontaminate, quality_rules, simhash
 from quarry.llm.oracle import ORACLE
+from quarry.scratch import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word statistics and robust outliers of all documents."""
+    counted = quality_rules.with_statistics(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    found = quality_rules.outliers(materialize(counted.drop("text"), "statistics"))
+    stats = [F.col(f"stats.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return found.select("doc_id", *stats, "base_failed", "kept", F.round("distance", 3).alias("distance"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents."""
     found = decontaminate.with_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -40,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> callable of (spark, folder of tables)."""
     return {
         "op1_simhash": op1_simhash,
+        "op2_quality_rules": op2_quality_rules,
         "op8_decontamination": op8_decontamination,
     }
 
