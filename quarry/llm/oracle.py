@@ -22,3 +22,38 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN its USING (r)
 """
+
+_REST = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+_HOST = f"translate(regexp_extract({_REST}, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_BLOCKS = "p|div|br|li|ul|ol|nav|article|footer|header|h[1-6]|title|section|table|tr|td|th|body|head|html|main|aside|blockquote|pre"
+_TEXT = "html"
+for _gone in (r"(?is)<script.*?</script[^>]*>", r"(?is)<style.*?</style[^>]*>", r"(?s)<!--.*?-->", rf"(?i)</?({_BLOCKS})([ \t\r\n/][^>]*)?>"):
+    _TEXT = f"regexp_replace({_TEXT}, '{_gone}', chr(10), 'g')"
+_TEXT = f"regexp_replace({_TEXT}, '<[^>]*>', '', 'g')"
+for _name, _char in {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&amp;": "&"}.items():
+    _TEXT = f"replace({_TEXT}, '{_name}', '{_char}')"
+_TEXT = rf"regexp_replace({_TEXT}, '[ \t\r\x0B\x0C]+', ' ', 'g')"
+
+ORACLE["op3_line_dedup"] = f"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id, {_HOST} AS host,
+         list_filter(list_transform(string_split({_TEXT}, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines
+  FROM pages),
+total AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
+c AS (SELECT host, line, count(*) AS n FROM (SELECT host, r, unnest(list_distinct(lines)) AS line FROM p) GROUP BY host, line),
+gone AS (SELECT host, list(line) AS drop FROM c JOIN total USING (host) WHERE host <> '' AND n >= 3 AND n > CAST(0.2 AS DOUBLE) * pages GROUP BY host),
+k AS (SELECT page_id, host, lines, list_filter(lines, lambda x: NOT coalesce(list_contains(drop, x), false)) AS kept FROM p LEFT JOIN gone USING (host))
+SELECT page_id, host, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped,
+       array_to_string(kept, chr(10)) AS text
+FROM k
+"""
+
+ORACLE["op4_url_filter"] = f"""
+WITH p AS (SELECT row_number() OVER () AS r, page_id, {_HOST} AS host, regexp_extract({_REST}, '^[^/?#]*([^?#]*)', 1) AS path FROM pages),
+rules(rh, rp, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+best AS (
+  SELECT r, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v
+  FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN best USING (r)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, quality_rules, simhash
+from quarry.llm import decontaminate, line_dedup, quality_rules, simhash, urls
 from quarry.llm.oracle import ORACLE
 from quarry.scratch import materialize
 
@@ -31,6 +31,24 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *stats, "base_failed", "kept", F.round("distance", 3).alias("distance"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible lines of all pages without the boilerplate of their hosts."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    site = F.nullif(urls.url_host("url"), F.lit(""))
+    out = line_dedup.drop_boilerplate(pages, site, line_dedup.visible_lines("html"))
+    return out.select("page_id", urls.url_host("url").alias("host"), "n_lines", "n_dropped", F.array_join("kept_lines", "\n").alias("text"))
+
+
+#: (rule, verdict); fixed values.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    rules = spark.createDataFrame(URL_RULES, "text string, verdict string")
+    return urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents."""
     found = decontaminate.with_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -50,6 +68,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_quality_rules": op2_quality_rules,
+        "op3_line_dedup": op3_line_dedup,
+        "op4_url_filter": op4_url_filter,
         "op8_decontamination": op8_decontamination,
     }
 
