@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,21 +67,14 @@ def _near(a: str, b: str) -> F.Column:
 def links(fps: DataFrame, crowded: int = 256) -> DataFrame:
     """Links (a, b), a < b, that join every pair of distinct fingerprints (column ``fp``) within two bits.
 
-    Buckets of two are settled inside the count; buckets up to ``crowded`` fingerprints are joined with the distance as
-    join condition. The fingerprints of larger buckets are looked up again by all pairs of struck-out bits: such a bucket
-    holds at most four fingerprints, all within two bits, so each needs a link to the smallest only and no set of pairs
-    grows with the square of a bucket. All three ways are exact.
+    The index is dealt by key once. Buckets up to ``crowded`` fingerprints are then joined with the distance as join
+    condition. The fingerprints of larger buckets are looked up again by all pairs of struck-out bits: such a bucket holds
+    at most four fingerprints, all within two bits, so each needs a link to the smallest only and no set of pairs grows
+    with the square of a bucket. Both ways are exact.
     """
-    index = _variants(fps)
-    sizes = materialize(
-        index.groupBy("slot", "key")
-        .agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-        .where("n > 1"),
-        "buckets",
-    )
-    twos = sizes.where("n = 2").where(_near("a", "b")).select("a", "b")
-    fuller = materialize(index.join(sizes.where("n > 2").select("slot", "key", "n"), ["slot", "key"]), "fuller")
-    some = fuller.where(F.col("n") <= crowded)
+    size = F.count("*").over(W.partitionBy("slot", "key"))
+    shared = materialize(_variants(fps).withColumn("n", size).where("n > 1"), "buckets")
+    some = shared.where(F.col("n") <= crowded)
     pairs = (
         some.select("slot", "key", F.col("fp").alias("a"))
         .join(some.select("slot", "key", F.col("fp").alias("b")), ["slot", "key"])
@@ -89,7 +83,7 @@ def links(fps: DataFrame, crowded: int = 256) -> DataFrame:
     )
     strike = F.expr("transform(filter(sequence(0, 4095), x -> x div 64 < x % 64), x -> struct(x div 64 AS i, x % 64 AS j))")
     dense = (
-        fuller.where(F.col("n") > crowded)
+        shared.where(F.col("n") > crowded)
         .select("fp")
         .distinct()
         .select("fp", F.explode(strike).alias("s"))
@@ -100,7 +94,7 @@ def links(fps: DataFrame, crowded: int = 256) -> DataFrame:
         .select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
         .where("a < b")
     )
-    return twos.unionByName(pairs).unionByName(dense).distinct()
+    return pairs.unionByName(dense).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
