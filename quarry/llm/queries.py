@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, line_dedup, quality_rules, simhash, urls
+from quarry.llm import decontaminate, line_dedup, quality_rules, simhash, toxicity, urls
+from quarry.llm.labelled import held_out
 from quarry.llm.oracle import ORACLE
 from quarry.scratch import materialize
 
@@ -49,6 +50,14 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    score = F.col("toxicity.score")
+    return toxicity.with_toxicity(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.col("toxicity.neighbours").alias("evidence"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents."""
     found = decontaminate.with_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -70,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_line_dedup": op3_line_dedup,
         "op4_url_filter": op4_url_filter,
+        "op6_toxicity": op6_toxicity,
         "op8_decontamination": op8_decontamination,
     }
 
