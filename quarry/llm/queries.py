@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, line_dedup, quality_rules, simhash, toxicity, urls
+from quarry.llm import decontaminate, line_dedup, nbsvm, quality_rules, simhash, toxicity, urls
 from quarry.llm.labelled import held_out
 from quarry.llm.oracle import ORACLE
 from quarry.scratch import materialize
@@ -58,6 +58,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.with_toxicity(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.col("toxicity.neighbours").alias("evidence"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = nbsvm.fit(docs, table(spark, sf_dir, "labels"))
+    score = F.col("quality_score")
+    return nbsvm.with_quality(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents."""
     found = decontaminate.with_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -80,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": op3_line_dedup,
         "op4_url_filter": op4_url_filter,
         "op6_toxicity": op6_toxicity,
+        "op7_quality_classifier": op7_quality_classifier,
         "op8_decontamination": op8_decontamination,
     }
 

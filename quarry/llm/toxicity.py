@@ -147,7 +147,7 @@ def fit(
 
     Class counts cover all labelled rows and document frequencies all of ``docs``. The vocabulary is the ``terms`` features
     of the highest chi-square among those more frequent in toxic texts, in at least ``least_texts`` texts. The index holds
-    at most ``examples`` labelled texts of each class that have any of them (a bounded sample by hash of the id).
+    about ``examples`` labelled texts of each class that have any of them (a bounded sample by hash of the id).
     """
     small_batches(docs.sparkSession)
     rows = training_rows(docs, labels, label, id_col, text_col)
@@ -177,7 +177,7 @@ def fit(
     some = found.where(F.size("v") > 0)
     empty0, empty1 = class_sizes(found.where(F.size("v") == 0))
     held0, held1 = class_sizes(some)
-    sample = sample_of_each_class(some, examples).collect()
+    sample = sorted(sample_of_each_class(some, examples, (held0, held1)).collect(), key=lambda r: (r.id, r.y))
     y = np.array([r.y for r in sample], dtype=float)
     weight = np.where(y > 0, held1 / max(1, y.sum()), held0 / max(1, len(y) - y.sum()))
     model = Model(vectors, idf, BlockMaxIndex([], len(chosen)), [r.id for r in sample], y, weight, k, np.zeros(4), (empty1 + 0.5) / (empty0 + empty1 + 1.0))
