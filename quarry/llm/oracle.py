@@ -57,3 +57,27 @@ best AS (
   FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY r)
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN best USING (r)
 """
+
+ORACLE["op5_mixing"] = """
+WITH RECURSIVE n AS (
+  SELECT doc_id, coalesce(source, chr(0)) AS source,
+         row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), CAST(doc_id AS VARCHAR)) - 1 AS n
+  FROM documents),
+b AS (SELECT source, (max(n) + 16) // 16 AS blocks, CASE source WHEN 'src0' THEN 5 WHEN 'src1' THEN 3 WHEN 'src2' THEN 2 ELSE 1 END AS w FROM n GROUP BY source),
+src AS (SELECT source, row_number() OVER (ORDER BY source) AS i, blocks, w FROM b),
+run AS (
+  SELECT CAST(-1 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS phase, CAST(0 AS BIGINT) AS ran, CAST(0 AS BIGINT) AS pick,
+         list(CAST(0 AS BIGINT) ORDER BY i) AS done, list(CAST(blocks AS BIGINT) ORDER BY i) AS rem, list(CAST(w AS BIGINT) ORDER BY i) AS w FROM src
+  UNION ALL
+  SELECT slot + 1, CASE WHEN rem[p] = 1 THEN slot + 2 ELSE start END, phase + CASE WHEN rem[p] = 1 THEN 1 ELSE 0 END, phase, p,
+         list_transform(done, lambda d, i: CASE WHEN rem[p] = 1 THEN 0 WHEN i = p THEN d + 1 ELSE d END),
+         list_transform(rem, lambda r, i: CASE WHEN i = p THEN r - 1 ELSE r END), w
+  FROM (
+    SELECT *, list_sort(list_filter(list_transform(act, lambda a, i: CASE WHEN a > 0 AND (done[i] * total) // a <= slot + 1 - start
+                THEN {'due': ((done[i] + 1) * total + a - 1) // a, 'i': i} END), lambda x: x IS NOT NULL))[1].i AS p
+    FROM (SELECT *, list_sum(act)::BIGINT AS total FROM (SELECT *, list_transform(rem, lambda r, i: CASE WHEN r > 0 THEN w[i] ELSE 0 END) AS act FROM run))
+    WHERE total > 0)),
+placed AS (SELECT source, slot, ran AS phase, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS block FROM run JOIN src ON pick = i)
+SELECT doc_id, n.source AS source, CAST(phase AS INT) AS phase, block, slot, slot * 16 + n % 16 AS position
+FROM n JOIN placed ON n.source = placed.source AND n.n // 16 = placed.block
+"""

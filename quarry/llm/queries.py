@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, line_dedup, nbsvm, quality_rules, simhash, toxicity, urls
+from quarry.llm import decontaminate, line_dedup, mixing, nbsvm, quality_rules, simhash, toxicity, urls
 from quarry.llm.labelled import held_out
 from quarry.llm.oracle import ORACLE
 from quarry.scratch import materialize
@@ -50,6 +50,16 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+#: Target weights; every other source has weight 1.
+SOURCE_WEIGHTS = {"src0": 5, "src1": 3, "src2": 2}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A place for every document in the mix of all sources."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs, SOURCE_WEIGHTS, text_col=None)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -87,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_line_dedup": op3_line_dedup,
         "op4_url_filter": op4_url_filter,
+        "op5_mixing": op5_mixing,
         "op6_toxicity": op6_toxicity,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_decontamination": op8_decontamination,
