@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, line_dedup, mixing, nbsvm, quality_rules, simhash, toxicity, urls
+from quarry.llm import decontaminate, licenses, line_dedup, mixing, nbsvm, quality_rules, simhash, toxicity, urls
 from quarry.llm.labelled import held_out
 from quarry.llm.oracle import ORACLE
 from quarry.scratch import materialize
@@ -90,6 +90,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.with_licenses(docs, licenses.build(docs))
+    plain = [F.col(f"license.{c}").alias(c) for c in ("n_words", "n_base", "first_word", "last_word")]
+    joined = [F.array_join(f"license.{c}", ",").alias(c) for c in ("base_labels", "labels")]
+    return found.select("doc_id", *plain, *joined, F.col("license.score").alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> callable of (spark, folder of tables)."""
     return {
@@ -101,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_decontamination": op8_decontamination,
+        "op9_license_scan": op9_license_scan,
     }
 
 
