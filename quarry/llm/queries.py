@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, licenses, line_dedup, mixing, nbsvm, quality_rules, simhash, toxicity, urls
+from quarry.llm import decontaminate, licenses, line_dedup, mixing, nbsvm, pii, quality_rules, simhash, toxicity, urls
 from quarry.llm.labelled import held_out
 from quarry.llm.oracle import ORACLE
 from quarry.scratch import materialize
@@ -99,6 +99,13 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *plain, *joined, F.col("license.score").alias("score"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.digest(list(pii.BASE)), 256).alias("base_sha256"), pii.digest(pii.KINDS).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> callable of (spark, folder of tables)."""
     return {
@@ -111,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_classifier": op7_quality_classifier,
         "op8_decontamination": op8_decontamination,
         "op9_license_scan": op9_license_scan,
+        "op10_pii": op10_pii,
     }
 
 
