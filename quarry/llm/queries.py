@@ -106,6 +106,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.digest(list(pii.BASE)), 256).alias("base_sha256"), pii.digest(pii.KINDS).alias("spans"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> callable of (spark, folder of tables)."""
     return {
@@ -119,6 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_license_scan": op9_license_scan,
         "op10_pii": op10_pii,
+        "pipeline": pipeline,
     }
 
 
