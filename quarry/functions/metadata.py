@@ -59,8 +59,31 @@ def _proof(text: Column, name: str, field: str, lo: Column, hi: Column, confiden
     )
 
 
+#: A piece of the lower-cased text without which a pattern cannot match, and the patterns that decide whether it is needed
+#: at all: a range has a single value in it, and lower units are read only where the higher ones are missing.
+_NEEDS = {
+    "k1": "k", "k2": "k", "c1": "c", "c2": "c", "mpa1": "mpa", "mpa2": "mpa", "bar": "bar", "atm": "atm", "coal_cn": "煤", "coal_en": "coal", "sc": "/",
+    "steam_c": "carbon", "er": "er", "eq": "ratio", "oc": "/", "o2c": "o2", "h2o_o2": "o2",
+}
+_AFTER = {"k2": (("k1",), ()), "c1": ((), ("k1",)), "c2": (("c1",), ("k1",)), "mpa2": (("mpa1",), ()), "bar": ((), ("mpa1",)), "atm": ((), ("mpa1", "bar")), "coal_en": ((), ("coal_cn",))}
+
+
 def _matches(df: DataFrame, text: Column, names) -> DataFrame:
-    return df.withColumns({f"_m_{n}": F.regexp_extract(text, PATTERNS[n][0], 0) for n in names})
+    """``df`` with the first match of each pattern, empty without one; expensive patterns run on the few rows that need them."""
+    out, left = df.withColumn("_low", F.lower(text)), list(names)
+    while left:
+        now = [n for n in left if not {x for pair in _AFTER.get(n, ()) for x in pair} & set(left)]
+        new = {}
+        for n in now:
+            found, missing = _AFTER.get(n, ((), ()))
+            wanted = F.contains("_low", F.lit(_NEEDS[n]))
+            for x in found:
+                wanted = wanted & (F.col(f"_m_{x}") != "")
+            for x in missing:
+                wanted = wanted & (F.col(f"_m_{x}") == "")
+            new[f"_m_{n}"] = F.when(wanted, F.regexp_extract(text, PATTERNS[n][0], 0)).otherwise("")
+        out, left = out.withColumns(new), [n for n in left if n not in now]
+    return out
 
 
 def _condition(text: Column, field: str, unit: str, steps) -> Column:
@@ -120,55 +143,59 @@ def extract_temperature(df: DataFrame, text_col: str = "text", out: str = "tempe
     """``df`` plus a struct of point, min, max (kelvin) and evidence: K before °C, a range before a single value."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     names = ["k2", "k1", "c2", "c1"]
-    return _matches(df, text, names).withColumn(out, _temperature(text)).drop(*[f"_m_{n}" for n in names])
+    return _matches(df, text, names).withColumn(out, _temperature(text)).drop("_low", *[f"_m_{n}" for n in names])
 
 
 def extract_pressure(df: DataFrame, text_col: str = "text", out: str = "pressure") -> DataFrame:
     """``df`` plus a struct of point, min, max (MPa) and evidence: MPa, then bar, then atm."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     names = ["mpa2", "mpa1", "bar", "atm"]
-    return _matches(df, text, names).withColumn(out, _pressure(text)).drop(*[f"_m_{n}" for n in names])
+    return _matches(df, text, names).withColumn(out, _pressure(text)).drop("_low", *[f"_m_{n}" for n in names])
 
 
 def extract_ratios(df: DataFrame, text_col: str = "text", out: str = "ratios") -> DataFrame:
     """``df`` plus a map of the ratios that are stated, null without any."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     names = [n for ways in RATIOS.values() for n, _ in ways]
-    return _matches(df, text, names).withColumn(out, _ratios(text)[0]).drop(*[f"_m_{n}" for n in names])
+    return _matches(df, text, names).withColumn(out, _ratios(text)[0]).drop("_low", *[f"_m_{n}" for n in names])
 
 
 def extract_coal_name(df: DataFrame, text_col: str = "text", out: str = "coal_name") -> DataFrame:
     """``df`` plus the name that follows the label, null without one."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     names = ["coal_cn", "coal_en"]
-    return _matches(df, text, names).withColumn(out, _coal_name(text)[0]).drop(*[f"_m_{n}" for n in names])
+    return _matches(df, text, names).withColumn(out, _coal_name(text)[0]).drop("_low", *[f"_m_{n}" for n in names])
 
 
 def extract_metadata(df: DataFrame, text_col: str = "text", onto: Ontology = DOMAIN) -> DataFrame:
     """``df`` plus stage, gas_agent, targets, T_K, T_min_K, T_max_K, P_MPa, P_min_MPa, P_max_MPa, coal_name, ratios,
     meta_confidence (map) and meta_evidence (array), in one pass without a shuffle."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    low = F.col("_low")
     name, name_proof = _coal_name(text)
     ratios, ratio_proofs = _ratios(text)
     out = _matches(df, text, PATTERNS).withColumns(
-        {"stage": tag_stage(text, onto), "gas_agent": tag_gas_agents(text, onto), "targets": tag_targets(text, onto), "_t": _temperature(text), "_p": _pressure(text), "coal_name": name, "ratios": ratios}
+        {"stage": tag_stage(text, onto, low), "gas_agent": tag_gas_agents(text, onto, low), "targets": tag_targets(text, onto, low), "_t": _temperature(text), "_p": _pressure(text), "coal_name": name, "ratios": ratios}
     )
     t, p = F.col("_t"), F.col("_p")
     out = out.withColumns({"T_K": t["point"], "T_min_K": t["min"], "T_max_K": t["max"], "P_MPa": p["point"], "P_min_MPa": p["min"], "P_max_MPa": p["max"]})
+    any_of = lambda *names: F.concat(*[f"_m_{n}" for n in names]) != ""  # noqa: E731  the matches are short, the values are not
+    t_range, p_range = any_of("k2") | (~any_of("k1") & any_of("c2")), any_of("mpa2")
     sure = {
         "stage": F.when(F.col("stage") != "unknown", 0.70).otherwise(0.30),
         "gas_agent": F.when(F.col("gas_agent").isNotNull(), 0.70),
         "targets": F.when(F.col("targets").isNotNull(), 0.75),
-        "T_range_K": F.when(t["min"].isNotNull(), 0.90),
-        "T_K": F.when(t["min"].isNotNull(), 0.85).when(t["point"].isNotNull(), 0.90),
-        "P_range_MPa": F.when(p["min"].isNotNull(), 0.90),
-        "P_MPa": F.when(p["min"].isNotNull(), 0.85).when(p["point"].isNotNull(), 0.88),
+        "T_range_K": F.when(t_range, 0.90),
+        "T_K": F.when(t_range, 0.85).when(any_of("k1", "c1"), 0.90),
+        "P_range_MPa": F.when(p_range, 0.90),
+        "P_MPa": F.when(p_range, 0.85).when(any_of("mpa1", "bar", "atm"), 0.88),
         "coal_name": F.when(F.col("coal_name").isNotNull(), 0.80),
-        "ratios": F.when(F.col("ratios").isNotNull(), 0.82),
+        "ratios": F.when(any_of(*[n for ways in RATIOS.values() for n, _ in ways]), 0.82),
     }
-    confidence = F.map_filter(F.create_map(*[x for k, v in sure.items() for x in (F.lit(k), v.cast("double"))]), lambda _, v: v.isNotNull())
+    entries = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(k).alias("key"), v.cast("double").alias("value"))) for k, v in sure.items()]))
+    confidence = F.map_from_entries(entries)
     evidence = F.array_compact(F.array(t["evidence"], p["evidence"], name_proof, *ratio_proofs))
-    return out.withColumns({"meta_confidence": confidence, "meta_evidence": evidence}).drop("_t", "_p", *[f"_m_{n}" for n in PATTERNS])
+    return out.withColumns({"meta_confidence": confidence, "meta_evidence": evidence}).drop("_t", "_p", "_low", *[f"_m_{n}" for n in PATTERNS])
 
 
 #: Fields that chunks take from their page where they have none.

@@ -50,28 +50,33 @@ def _has(low: Column, words: list[str]) -> Column:
     return out
 
 
-def tag_stage(text: Column, onto: Ontology = DOMAIN) -> Column:
-    """The first stage in ontology order that occurs, else ``unknown``."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+def lowered(text: Column) -> Column:
+    """What the aliases are looked up in. Put it in a column of its own where several tags read it: it is a wide value."""
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
+def tag_stage(text: Column, onto: Ontology = DOMAIN, low: Column | None = None) -> Column:
+    """The first stage in ontology order that occurs, else ``unknown``. ``low``: the text lower-cased already."""
+    low = lowered(text) if low is None else low
     return F.coalesce(*[F.when(_has(low, words), F.lit(name)) for name, words in onto["stage"].items()], F.lit("unknown"))
 
 
-def tag_all(text: Column, kind: str, onto: Ontology = DOMAIN, own_name: bool = False) -> Column:
+def tag_all(text: Column, kind: str, onto: Ontology = DOMAIN, own_name: bool = False, low: Column | None = None) -> Column:
     """Sorted canonical names of ``kind`` that occur, null if none; with ``own_name`` the name itself counts as an alias."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    low = lowered(text) if low is None else low
     hits = [F.when(_has(low, [*words, *([name] if own_name else [])]), F.lit(name)) for name, words in sorted(onto[kind].items())]
     found = F.array_compact(F.array(*hits))
     return F.when(F.size(found) > 0, found)
 
 
-def tag_gas_agents(text: Column, onto: Ontology = DOMAIN) -> Column:
+def tag_gas_agents(text: Column, onto: Ontology = DOMAIN, low: Column | None = None) -> Column:
     """Gas agents in the text."""
-    return tag_all(text, "gas_agent", onto)
+    return tag_all(text, "gas_agent", onto, low=low)
 
 
-def tag_targets(text: Column, onto: Ontology = DOMAIN) -> Column:
+def tag_targets(text: Column, onto: Ontology = DOMAIN, low: Column | None = None) -> Column:
     """Target species in the text."""
-    return tag_all(text, "targets", onto, own_name=True)
+    return tag_all(text, "targets", onto, own_name=True, low=low)
 
 
 def flag_columns(onto: Ontology = DOMAIN) -> dict[str, Column]:

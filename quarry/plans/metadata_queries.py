@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import metadata as md
-from quarry.functions.ontology import DOMAIN, flag_columns, tag_gas_agents, tag_stage, tag_targets
+from quarry.functions.ontology import DOMAIN, flag_columns, lowered, tag_gas_agents, tag_stage, tag_targets
 from quarry.plans.views import CHUNKS, said, table, view
 
 QUERIES: dict = {}
@@ -74,8 +74,8 @@ def _sql_list(c: str) -> str:
 
 def _tag(name: str, fn, sql: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = fn(F.col("text"))
-        return chunks(spark, sf_dir).select("chunk_id", (found if name == "tag_stage" else F.array_join(found, ",")).alias("value"))
+        found = fn(F.col("text"), low=F.col("low"))
+        return chunks(spark, sf_dir).withColumn("low", lowered(F.col("text"))).select("chunk_id", (found if name == "tag_stage" else F.array_join(found, ",")).alias("value"))
 
     run.__doc__ = f"{name} of every chunk."
     QUERIES[name] = run

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("text_queries", "metadata_queries")
+MODULES = ("text_queries", "metadata_queries", "search_queries")
 
 
 def _modules() -> list:

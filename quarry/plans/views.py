@@ -86,7 +86,13 @@ FROM {{orders}} WHERE o_orderkey % 3 <> 0"""
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A view above over the given tables."""
     names = [n for n in ("lineitem", "nation", "orders") if "{" + n + "}" in sql]
-    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
+    return spark.sql(sql, **{n: spread(table(spark, sf_dir, n)) for n in names})
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if its files are too few to give each a task; large tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
 
 
 def said(sql: str) -> str:
