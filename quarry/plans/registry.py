@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("text_queries", "metadata_queries", "search_queries")
+MODULES = ("text_queries", "metadata_queries", "search_queries", "page_queries", "record_queries", "upkeep_queries", "source_queries")
 
 
 def _modules() -> list:
