@@ -38,14 +38,18 @@ def features(text: bytes | None) -> Iterable[bytes]:
 
 
 class Vectors:
-    """Text -> sparse term counts over a chosen vocabulary. Words seen before are looked up, not cut again."""
+    """Text -> sparse term counts over a chosen vocabulary. Words that begin like no term are passed over, and words seen
+    before are looked up, not cut again."""
 
     def __init__(self, vocab: dict[bytes, int]):
         self.vocab, self._words = vocab, {}
+        self._heads = {(f[2:] if f[1:2] == b":" else f)[: STARTS[0]] for f in vocab} | {f[: STARTS[0]] for f in vocab}
 
     def counts(self, text: bytes | None) -> dict[int, int]:
-        known, out = self._words, {}
+        known, heads, out = self._words, self._heads, {}
         for word, n in Counter(alnum_words(text)).items():
+            if word[: STARTS[0]] not in heads:
+                continue
             ids = known.get(word)
             if ids is None:
                 if len(known) > 500_000:
@@ -71,33 +75,43 @@ class BlockMaxIndex:
         self.docs = [np.array([a for a, _ in r], dtype=np.int32) for r in rows]
         self.weights = [np.array([w for _, w in r]) for r in rows]
         self.bound = []
-        self.start = []
         for d, w in zip(self.docs, self.weights):
             blocks, first = np.unique(d // BLOCK, return_index=True)
             self.bound.append((blocks, np.maximum.reduceat(w, first) if len(w) else w))
-            self.start.append(dict(zip(blocks.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(d)]))))
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of highest positive cosine, best first, ties by position; ``without`` is left out."""
+        """The k examples of highest positive cosine, best first, ties by position; ``without`` is left out.
+
+        The blocks of the highest bounds are scored first. What their k-th best example reaches rules out every block of a
+        lower bound; the others are scored as well, so the result is exact.
+        """
         bounds = np.zeros(self.blocks)
         for t, q in query.items():
             blocks, most = self.bound[t]
             bounds[blocks] += q * most
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] < best[-1][0] - 1e-12):
-                break
-            scores = np.zeros(BLOCK)
-            base = int(b) * BLOCK
-            for t, q in query.items():
-                if span := self.start[t].get(int(b)):
-                    scores[self.docs[t][span[0] : span[1]] - base] += q * self.weights[t][span[0] : span[1]]
-            for at in np.flatnonzero(scores > 0):
-                if base + at != without:
-                    best.append((round(float(scores[at]), 12), base + int(at)))
-            best.sort(key=lambda x: (-x[0], x[1]))
-            del best[k:]
-        return best
+        scores = np.zeros(self.blocks * BLOCK)
+        first = np.argsort(-bounds, kind="stable")[: 1 + 2 * k // BLOCK]
+        self._score(query, first[bounds[first] > 0], scores)
+        if 0 <= without < len(scores):
+            scores[without] = 0.0
+        reached = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+        rest = np.flatnonzero((bounds > 0) & (bounds >= reached - 1e-12))
+        self._score(query, np.setdiff1d(rest, first), scores)
+        if 0 <= without < len(scores):
+            scores[without] = 0.0
+        if len(scores) > k:
+            reached = max(np.partition(scores, -k)[-k] - 1e-12, 1e-300)
+        found = np.flatnonzero((scores >= reached) & (scores > 0))
+        return sorted(((round(float(scores[i]), 12), int(i)) for i in found), key=lambda x: (-x[0], x[1]))[:k]
+
+    def _score(self, query: dict[int, float], blocks: np.ndarray, scores: np.ndarray) -> None:
+        """Add the exact cosines of all examples in ``blocks``."""
+        wanted = np.zeros(self.blocks, dtype=bool)
+        wanted[blocks] = True
+        for t, q in query.items():
+            docs, weights = self.docs[t], self.weights[t]
+            here = wanted[docs // BLOCK]
+            scores[docs[here]] += q * weights[here]
 
 
 @dataclass
@@ -114,6 +128,9 @@ class Model:
     scale: np.ndarray
     without: float
 
+    def __post_init__(self):
+        self._seen: dict = {}  # texts with the same few terms have the same neighbours
+
     def unit(self, counts: dict[int, int]) -> tuple[dict[int, float], float]:
         """(unit TF-IDF vector, its length before)."""
         raw = {t: (1 + math.log(n)) * float(self.idf[t]) for t, n in counts.items()}
@@ -131,7 +148,19 @@ class Model:
 
     def score(self, text: bytes | None) -> tuple[float, list, list]:
         """(score, ids of the neighbours, their cosines)."""
-        unit, norm = self.unit(self.vectors.counts(text))
+        counts = self.vectors.counts(text)
+        key = tuple(sorted(counts.items())) if len(counts) <= 8 else None
+        if key is None or key not in self._seen:
+            found = self._judge(counts)
+            if key is None:
+                return found
+            if len(self._seen) > 50_000:
+                self._seen.clear()
+            self._seen[key] = found
+        return self._seen[key]
+
+    def _judge(self, counts: dict[int, int]) -> tuple[float, list, list]:
+        unit, norm = self.unit(counts)
         near = self.index.nearest(unit, self.k) if unit else []
         if not near:
             return self.without, [], []
@@ -141,19 +170,20 @@ class Model:
 
 def fit(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-    terms: int = 3000, least_texts: int = 5, least_chi_square: float = 25.0, examples: int = 3000, k: int = 15,
+    terms: int = 3000, least_texts: int = 5, least_chi_square: float = 25.0, lean: float = 8.0, examples: int = 2000, k: int = 15,
 ) -> Model:
     """A model from the labels that may be learnt from.
 
     Class counts cover all labelled rows and document frequencies all of ``docs``. The vocabulary is the ``terms`` features
-    of the highest chi-square among those more frequent in toxic texts, in at least ``least_texts`` texts. The index holds
+    of the highest chi-square among those in at least ``least_texts`` texts that are at least ``lean`` times as frequent in
+    toxic texts as in others. The index holds
     about ``examples`` labelled texts of each class that have any of them (a bounded sample by hash of the id).
     """
     small_batches(docs.sparkSession)
     rows = training_rows(docs, labels, label, id_col, text_col)
     n0, n1 = class_sizes(rows)
     counted = class_counts(rows, features).where(f"n0 + n1 >= {least_texts}").withColumn("chi", chi_square(n0, n1))
-    leaning = counted.where((F.col("n1") * n0 > F.col("n0") * n1) & (F.col("chi") >= least_chi_square))
+    leaning = counted.where((F.col("n1") * n0 >= lean * F.col("n0") * n1) & (F.col("chi") >= least_chi_square))
     chosen = sorted(bytes(r.feature) for r in leaning.orderBy(F.desc("chi"), "feature").limit(terms).collect())
     vectors = Vectors({f: i for i, f in enumerate(chosen)})
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
