@@ -27,22 +27,26 @@ def top_k(df: DataFrame, k: int, order: list[Column], by: str = "qid") -> DataFr
     return _ranked(df, order, by).where(F.col("rank") <= k)
 
 
-def bm25_rank(queries: DataFrame, candidates: DataFrame, text_col: str = "text", query_col: str = "rewritten", k1: float = 1.5, b: float = 0.75, zeros: bool = True, k: int | None = None) -> DataFrame:
+def bm25_rank(queries: DataFrame, candidates: DataFrame, text_col: str = "text", query_col: str = "rewritten", k1: float = 1.5, b: float = 0.75, zeros: bool = True, k: int | None = None, texts: DataFrame | None = None) -> DataFrame:
     """(qid, chunk_id, score, rank): BM25 with the statistics of each question's own candidates.
 
-    ``candidates``: (qid, chunk_id, text). A term repeated in the question counts again. With ``zeros`` candidates without
+    ``candidates``: (qid, chunk_id, text), or without text where ``texts`` (chunk_id, text) has it once a chunk; they are read
+    three times, so a table serves better than a plan. A term repeated in the question counts again. With ``zeros`` candidates without
     any term stay at 0, else they go. Scores are rounded; ties are in the order of chunk_id. Texts are tokenised once for
     each chunk, and only the terms that some question has go on."""
     terms = queries.select("qid", F.explode(tokenize(query_col)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     asked = F.broadcast(terms.select("term").distinct().agg(F.collect_set("term").alias("asked")))
-    chunks = candidates.select("chunk_id", text_col).distinct()
+    chunks = candidates.select("chunk_id", text_col).distinct() if texts is None else texts.select("chunk_id", text_col)
     tokens = chunks.select("chunk_id", tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("t")).join(asked)
     counted = tokens.select("chunk_id", F.size("t").alias("dl"), F.array_intersect("t", "asked").alias("hits"), "t")
     tf = F.transform("hits", lambda h: F.struct(h.alias("term"), F.size(F.filter("t", lambda x: x == h)).alias("tf")))
     counted = materialize(counted.select("chunk_id", "dl", tf.alias("tfs")), "tf")
     pairs = candidates.select("qid", "chunk_id").join(counted, "chunk_id")
     stats = pairs.groupBy("qid").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = pairs.select("qid", "chunk_id", "dl", F.explode("tfs").alias("h")).select("qid", "chunk_id", "dl", "h.term", "h.tf").join(F.broadcast(terms), ["qid", "term"])
+    wanted = F.broadcast(terms.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("term", "qtf"))).alias("wanted")))
+    own = F.filter("tfs", lambda h: F.map_contains_key("wanted", h["term"]))
+    hits = pairs.join(wanted, "qid").select("qid", "chunk_id", "dl", "wanted", F.explode(own).alias("h"))
+    hits = hits.select("qid", "chunk_id", "dl", "h.term", "h.tf", F.try_element_at("wanted", F.col("h.term")).alias("qtf"))
     df = hits.groupBy("qid", "term").agg(F.count("*").alias("df"))
     known = F.broadcast(df.join(stats, "qid").withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).select("qid", "term", "idf", "avgdl"))
     part = F.col("qtf") * F.col("idf") * (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
@@ -118,9 +122,9 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, k_candidates: int, k_fi
     passed = filter_chunks(chunks, queries)
     if restrict is not None:
         passed = passed.join(restrict.select("qid", "parent_id").distinct(), ["qid", "parent_id"], "left_semi")
-    passed = materialize(passed.select("qid", "chunk_id", "text", vector), "passed")
-    lexical = bm25_rank(queries, passed, zeros=False, k=k_candidates)
-    seen = passed.groupBy("chunk_id").agg(F.first(vector).alias(vector), F.collect_set("qid").alias("allowed"))
+    passed = materialize(passed.select("qid", "chunk_id"), "passed")
+    lexical = bm25_rank(queries, passed, zeros=False, k=k_candidates, texts=chunks)
+    seen = chunks.select("chunk_id", vector).join(passed.groupBy("chunk_id").agg(F.collect_set("qid").alias("allowed")), "chunk_id")
     near = knn_topk(queries.select("qid", F.col("q_embedding").alias(vector)), seen, k_candidates, vector=vector, allowed="allowed")
     return rrf_fuse([lexical, near], mode=mode).where(F.col("rank") <= k_final)
 
@@ -198,8 +202,8 @@ def cap_per_source(ranked: DataFrame, k: int, max_per_source: int = 2, source: s
 def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 6, candidates: int = 200, max_per_source: int = 2, where_mode: str = "hard_only", scores: DataFrame | None = None) -> DataFrame:
     """The single-stage route for a table of questions: parse, rewrite, filter, BM25, soft scores, external scores, cap."""
     asked = materialize(filters_of(rewrite_queries(parse_queries(queries)), where_mode), "asked")
-    passed = filter_chunks(chunks, asked).select("qid", "chunk_id", "text")
-    lexical = bm25_rank(asked, passed, zeros=False, k=candidates)
+    passed = materialize(filter_chunks(chunks, asked).select("qid", "chunk_id"), "passed")
+    lexical = materialize(bm25_rank(asked, passed, zeros=False, k=candidates, texts=chunks), "lexical")
     ranked = soft_rank(lexical, chunks, asked)
     if scores is not None:
         ranked = apply_rerank_scores(ranked, scores, k)

@@ -136,7 +136,8 @@ ORACLE["range_overlap"] = f"""WITH {SQL_META} SELECT chunk_id, coalesce(CASE WHE
 def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best of each question's candidates by BM25."""
     q = materialize(asked(spark, sf_dir), "asked")
-    return se.bm25_rank(q, passing(tagged(spark, sf_dir), q).select("qid", "chunk_id", "text"), k=20)
+    chunks = materialize(tagged(spark, sf_dir), "tagged")
+    return se.bm25_rank(q, materialize(passing(chunks, q).select("qid", "chunk_id"), "passed"), k=20, texts=chunks)
 
 
 QUERIES["bm25_rank"] = bm25_rank
@@ -236,7 +237,7 @@ def soft_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 200 best by BM25 of each question, by soft constraints."""
     q = materialize(asked(spark, sf_dir, "hard_only"), "asked")
     chunks = materialize(tagged(spark, sf_dir), "tagged")
-    lexical = se.bm25_rank(q, passing(chunks, q).select("qid", "chunk_id", "text"), zeros=False, k=200)
+    lexical = se.bm25_rank(q, materialize(passing(chunks, q).select("qid", "chunk_id"), "passed"), zeros=False, k=200, texts=chunks)
     return se.soft_rank(lexical, chunks, q)
 
 
