@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quarry.scratch import materialize
 
 #: Rows that one task puts in order.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 _PERIOD = """
 aggregate(sequence(0, {total} - 1), struct(transform({active}, x -> 0L) AS done, CAST(array() AS ARRAY<INT>) AS slots), (s, t) ->
