@@ -65,8 +65,8 @@ def tag_all(text: Column, kind: str, onto: Ontology = DOMAIN, own_name: bool = F
     """Sorted canonical names of ``kind`` that occur, null if none; with ``own_name`` the name itself counts as an alias."""
     low = lowered(text) if low is None else low
     hits = [F.when(_has(low, [*words, *([name] if own_name else [])]), F.lit(name)) for name, words in sorted(onto[kind].items())]
-    found = F.array_compact(F.array(*hits))
-    return F.when(F.size(found) > 0, found)
+    # Joined and split, not filtered as an array: the arguments of array filters are interpreted and not compiled.
+    return F.split(F.nullif(F.concat_ws("\x01", *hits), F.lit("")), "\x01")
 
 
 def tag_gas_agents(text: Column, onto: Ontology = DOMAIN, low: Column | None = None) -> Column:
