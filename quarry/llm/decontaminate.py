@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.tokens import alnum_words, small_batches, utf8
+from quarry.scratch import materialize
 
 WINDOW = 10
 BLOCK_BYTES = 1 << 20
@@ -212,40 +213,74 @@ def hit_words(spans: str | Column) -> Column:
     )
 
 
-def _cut(text: bytes, automaton: Automaton) -> bytes:
+def _without(text: bytes, spans: Iterable[tuple[int, int]]) -> bytes:
+    """The text without the words of the spans."""
+    places = [m.span() for m in _WORD.finditer(text.lower())]
+    for a, b in reversed(merge(spans)):
+        text = text[: places[a][0]] + text[places[b - 1][1] :]
+    return text
+
+
+@F.pandas_udf(T.BinaryType())
+def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([t if t is None or not len(s) else _without(t, [tuple(x) for x in s]) for t, s in zip(texts, spans)])
+
+
+def _settled(text: bytes, spans: list[tuple[int, int]], automaton: Automaton) -> bytes:
     """The text without hit spans. A cut can bring an item together that was interrupted, so it repeats until none is left."""
-    while True:
-        places = [m.span() for m in _WORD.finditer(text.lower())]
-        spans, _, _ = automaton.scan([text[a:b].lower() for a, b in places])
-        if not spans:
-            return text
-        for a, b in reversed(spans):
-            text = text[: places[a][0]] + text[places[b - 1][1] :]
+    while spans:
+        text = _without(text, spans)
+        spans, _, _ = automaton.scan(alnum_words(text))
+    return text
 
 
 def decontaminate(
     docs: DataFrame, items: DataFrame, text_col: str = "text", max_coverage: float = 0.5, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """``docs`` with its own columns: hit spans cut out of the text; a document of which more than ``max_coverage`` of the
-    words are hit is removed. Documents without a hit, null and empty ones too, stay byte for byte."""
+    words are hit is removed. Documents without a hit, null and empty ones too, stay byte for byte.
+
+    The coverage is that of the spans of all blocks of items on the text as it came; their union is cut, and again in what
+    is left, until no block reports a hit."""
     shared = _automata(items, item_id, item_text, window, block_bytes)
     small_batches(docs.sparkSession)
+    if len(shared) > 1:
+        return _by_blocks(docs, shared, text_col, max_coverage)
     kept = T.StructType([T.StructField("keep", T.BooleanType()), T.StructField("text", T.BinaryType())])
+    one = shared[0]
 
-    def cutter(one):
-        @F.pandas_udf(kept)
-        def cut(texts: pd.Series) -> pd.DataFrame:
-            rows = []
-            for text in texts:
-                words = alnum_words(text)
-                spans, _, _ = one.value.scan(words)
-                hit = sum(b - a for a, b in spans)
-                rows.append((hit <= max_coverage * len(words), _cut(text, one.value) if hit else text))
-            return pd.DataFrame(rows, columns=["keep", "text"])
-
-        return cut.asNondeterministic()
+    @F.pandas_udf(kept)
+    def cut(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            words = alnum_words(text)
+            spans, _, _ = one.value.scan(words)
+            hit = sum(b - a for a, b in spans)
+            rows.append((hit <= max_coverage * len(words), _settled(text, spans, one.value) if hit else text))
+        return pd.DataFrame(rows, columns=["keep", "text"])
 
-    out = docs
-    for one in shared * (1 if len(shared) == 1 else 2):  # cuts of a later block can complete items of an earlier one
-        out = out.withColumn("_cut", cutter(one)(utf8(text_col))).where("_cut.keep").withColumn(text_col, F.col("_cut.text").cast("string"))
+    out = docs.withColumn("_cut", cut.asNondeterministic()(utf8(text_col))).where("_cut.keep").withColumn(text_col, F.col("_cut.text").cast("string"))
     return out.select(*docs.columns)
+
+
+def _by_blocks(docs: DataFrame, shared: list, text_col: str, max_coverage: float) -> DataFrame:
+    """Round by round over all blocks; documents without a hit leave. Every further round cuts words, so the rounds end."""
+    done, first, now = [], True, docs
+    while True:
+        spans = F.array().cast("array<array<int>>")
+        for one in shared:
+            now = now.withColumn("_found", _scanner(one)(utf8(text_col)))
+            now = now.withColumn("_spans", F.concat(spans, F.col("_found.spans"))).withColumn("_words", F.col("_found.n_words"))
+            spans = F.col("_spans")
+        now = materialize(now.drop("_found").withColumn("_spans", F.sort_array("_spans")), "hits")
+        done.append(now.where("size(_spans) = 0").select(*docs.columns))
+        now = now.where("size(_spans) > 0")
+        if first:
+            now = now.where(hit_words("_spans") <= F.lit(max_coverage) * F.col("_words"))
+        if now.isEmpty():
+            break
+        first, now = False, now.withColumn(text_col, _cut(utf8(text_col), "_spans").cast("string")).select(*docs.columns)
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out

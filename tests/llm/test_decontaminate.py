@@ -90,3 +90,19 @@ def test_whole_table_equals_brute_force(spark, sf):
         want[r.doc_id] = (len(w), len(hit), sorted(found))
     got = {r.doc_id: (r.n, r.h, list(r.i)) for r in dc.with_contamination(docs, items).selectExpr("doc_id", "contamination").select("doc_id", "contamination.n_words", dc.hit_words("contamination.spans"), "contamination.items").toDF("doc_id", "n", "h", "i").collect()}
     assert got == want and any(h for _, h, _ in want.values())
+
+
+def test_blocks_of_items_decide_like_one(spark):
+    items = [" ".join(f"{c}{i}" for i in range(12)) for c in "abcdefgh"]
+    table = spark.createDataFrame([(f"i{k}", t) for k, t in enumerate(items)], "item_id string, text string")
+    nested = items[0]
+    for t in items[1:]:  # each item interrupted by the one before: one cut at a time brings the next together
+        head, tail = t.split(" ", 6)[:6], t.split(" ", 6)[6]
+        nested = " ".join(head) + " " + nested + " " + tail
+    docs = spark.createDataFrame(
+        [(1, " ".join(items) + " x" * 60, "spread"), (2, items[0] + " mid " + items[5] + " y" * 60, "cut"), (3, nested + " z" * 400, "nested"), (4, None, "n"), (5, " ".join(items[:2]) + " x" * 20, "two")],
+        "doc_id long, text string, source string",
+    )
+    got = [{(r.doc_id, r.text, r.source) for r in dc.decontaminate(docs, table, block_bytes=size).collect()} for size in (1 << 20, 60)]
+    assert got[0] == got[1] and {r[0] for r in got[1]} == {2, 3, 4}
+    assert all("7" not in (r[1] or "") for r in got[1])
