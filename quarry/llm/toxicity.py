@@ -170,21 +170,20 @@ class Model:
 
 def fit(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-    terms: int = 3000, least_texts: int = 5, least_chi_square: float = 25.0, lean: float = 8.0, examples: int = 2000, k: int = 15,
+    terms: int = 3000, least_texts: int = 5, least_chi_square: float = 0.0, examples: int = 3000, k: int = 15,
 ) -> Model:
     """A model from the labels that may be learnt from.
 
     Class counts cover all labelled rows and document frequencies all of ``docs``. The vocabulary is the ``terms`` features
-    of the highest chi-square among those in at least ``least_texts`` texts that are at least ``lean`` times as frequent in
-    toxic texts as in others. The index holds
+    of the highest chi-square among those in at least ``least_texts`` texts, whichever class they lean to. The index holds
     about ``examples`` labelled texts of each class that have any of them (a bounded sample by hash of the id).
     """
     small_batches(docs.sparkSession)
     rows = training_rows(docs, labels, label, id_col, text_col)
     n0, n1 = class_sizes(rows)
     counted = class_counts(rows, features).where(f"n0 + n1 >= {least_texts}").withColumn("chi", chi_square(n0, n1))
-    leaning = counted.where((F.col("n1") * n0 >= lean * F.col("n0") * n1) & (F.col("chi") >= least_chi_square))
-    chosen = sorted(bytes(r.feature) for r in leaning.orderBy(F.desc("chi"), "feature").limit(terms).collect())
+    telling = counted.where(F.col("chi") >= least_chi_square)
+    chosen = sorted(bytes(r.feature) for r in telling.orderBy(F.desc("chi"), "feature").limit(terms).collect())
     vectors = Vectors({f: i for i, f in enumerate(chosen)})
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 

@@ -52,3 +52,10 @@ def test_corner_cases(spark):
     none = tx.fit(docs, labels.limit(0))
     assert {r.toxicity.score for r in tx.with_toxicity(docs, none).collect()} == {0.5}
     assert tx.with_toxicity(docs.limit(0), none).count() == 0
+
+
+def test_texts_without_toxic_wording_are_compared_too(spark):
+    docs = spark.createDataFrame([(i, "bad vile words here" if i % 2 else "kind calm words here") for i in range(40)] + [(50, "kind calm")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    got = {r.doc_id: r.toxicity for r in tx.with_toxicity(docs, tx.fit(docs, labels, least_texts=2)).collect()}
+    assert got[50].neighbours and all(int(i) % 2 == 0 for i in got[50].neighbours) and got[50].score < 0.5 < got[1].score
