@@ -1,18 +1,15 @@
-"""What the two classifiers share: labelled training rows, class counts of features, feature selection, calibration."""
+"""What the two classifiers share: labelled rows, bounded samples of examples, calibration."""
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Callable, Iterable, Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.tokens import utf8
 
-Features = Callable[[bytes | None], Iterable[bytes]]
+#: Bytes that a row of (id, label) takes in a broadcast hash table, beside a text id.
+_ROW_BYTES = 64
 
 
 def held_out(id_col: str) -> Column:
@@ -20,52 +17,29 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """(id, text as bytes, y): documents with a 0/1 ``label`` that may be learnt from. Several labels of one id count by
-    majority, a tie as 1. Labels are broadcast only where they are at most ``broadcast_rows`` pairs of id and label."""
-    known = labels.where(F.col(label).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
-    if known.count() <= broadcast_rows:
-        known = F.broadcast(known)
-    rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
-    return rows.join(known, rows["id"] == known["_id"]).select("id", "text", "y")
-
-
-def class_counts(rows: DataFrame, features: Features, flush: int = 200_000) -> DataFrame:
-    """(feature, n0, n1): in how many texts of each class a feature occurs, over all ``rows``. Each task sums what it has
-    seen and passes it on whenever it holds ``flush`` features, so neither rows nor memory follow the texts."""
+def known_labels(labels: DataFrame, label: str, id_col: str, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """(_id, y): ids with a 0/1 ``label`` that may be learnt from. Several labels of one id count by majority, a tie as 1.
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[bytes, list[int]] = defaultdict(lambda: [0, 0])
-
-        def out() -> pd.DataFrame:
-            return pd.DataFrame({"feature": list(seen), "n0": [v[0] for v in seen.values()], "n1": [v[1] for v in seen.values()]})
+    The table is marked for broadcast only where its size, as counted, is below ``broadcast_bytes``; beyond it Spark joins
+    as it sees fit."""
+    known = labels.where(F.col(label).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
+    size = known.agg(F.sum(F.lit(_ROW_BYTES) + F.length(F.col("_id").cast("string"))).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(known) if size <= broadcast_bytes else known
 
-        for pdf in batches:
-            for text, y in zip(pdf["text"], pdf["y"]):
-                for f in set(features(text)):
-                    seen[f][y] += 1
-                if len(seen) >= flush:
-                    yield out()
-                    seen.clear()
-        yield out()
 
-    part = rows.select("text", "y").mapInPandas(count, "feature binary, n0 long, n1 long")
-    return part.groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+def with_labels(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, how: str = "inner") -> DataFrame:
+    """(id, text as bytes, y) of the documents; with ``how`` left also those without a label."""
+    rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
+    return rows.join(known, rows["id"] == known["_id"], how).select("id", "text", "y")
 
 
-def class_sizes(rows: DataFrame) -> tuple[int, int]:
-    """(texts of class 0, texts of class 1)."""
-    got = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+def class_sizes(docs: DataFrame, known: DataFrame, id_col: str) -> tuple[int, int]:
+    """(labelled documents of class 0, of class 1)."""
+    ids = docs.select(F.col(id_col).alias("id"))
+    got = {r.y: r.n for r in ids.join(known, ids["id"] == known["_id"]).groupBy("y").agg(F.count("*").alias("n")).collect()}
     return got.get(0, 0), got.get(1, 0)
 
 
-def chi_square(n0: int, n1: int) -> Column:
-    """Chi-square of a feature's counts against the class sizes."""
-    a, b = F.col("n1"), F.col("n0")
-    c, d = F.lit(float(n1)) - a, F.lit(float(n0)) - b
-    return F.lit(float(n0 + n1)) * F.pow(a * d - b * c, 2) / F.greatest(F.lit(1e-9), (a + b) * (c + d) * F.lit(float(n1)) * F.lit(float(n0)))
-
-
 def sample_of_each_class(rows: DataFrame, examples: int, sizes: tuple[int, int], id_col: str = "id") -> DataFrame:
     """About ``examples`` rows of each class, or all of a smaller one: those whose hashed id falls below the share wanted.
     Repeatable, without sorting or moving rows; never more than four times as many, however often ids repeat."""

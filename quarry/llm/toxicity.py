@@ -1,125 +1,111 @@
 """Toxicity by nearest labelled examples.
 
-Texts are TF-IDF vectors over words and word beginnings that the labels single out. The examples form an inverted index
-whose postings are cut into blocks of examples, each with the largest weight of a term in the block. A text's neighbours
-under exact cosine are found by visiting blocks in the order of their upper bounds until no bound beats the k-th best.
-Votes weighted by similarity are calibrated on the examples themselves, each judged without itself.
+Texts are TF-IDF vectors over all words of the labelled examples; a word's weight also has its relevance frequency, that is
+how much more of the toxic texts than of the others hold it. The examples form an inverted index in blocks: for every word
+the postings of each block lie together under the largest weight the word has in the block. A text's neighbours under exact
+cosine are found by adding up these maxima to a bound for every block, scoring the best blocks, and then only those others
+whose bound reaches the k-th best cosine so far. Votes weighted by similarity are calibrated on the examples themselves,
+each judged without itself.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.labelled import chi_square, class_counts, class_sizes, logistic, sample_of_each_class, training_rows
+from quarry.llm.labelled import class_sizes, known_labels, logistic, sample_of_each_class, with_labels
 from quarry.llm.tokens import alnum_words, small_batches, utf8
 from quarry.scratch import materialize
 
-STARTS = (4, 5, 6, 7)
-BLOCK = 64
+BLOCK = 16
+COMMON = 16  # a term in more than one of so many examples is common
+_NONE = np.zeros(0, dtype=np.int64)
 
 
-def of_word(word: bytes) -> list[bytes]:
-    """A word's features: itself and its longer beginnings, by bytes."""
-    return [word, *[b"%d:%b" % (n, word[:n]) for n in STARTS if len(word) > n]]
-
-
-def features(text: bytes | None) -> Iterable[bytes]:
-    """All features of a text."""
-    return (f for w in set(alnum_words(text)) for f in of_word(w))
-
-
-class Vectors:
-    """Text -> sparse term counts over a chosen vocabulary. Words that begin like no term are passed over, and words seen
-    before are looked up, not cut again."""
-
-    def __init__(self, vocab: dict[bytes, int]):
-        self.vocab, self._words = vocab, {}
-        self._heads = {(f[2:] if f[1:2] == b":" else f)[: STARTS[0]] for f in vocab} | {f[: STARTS[0]] for f in vocab}
-
-    def counts(self, text: bytes | None) -> dict[int, int]:
-        known, heads, out = self._words, self._heads, {}
-        for word, n in Counter(alnum_words(text)).items():
-            if word[: STARTS[0]] not in heads:
-                continue
-            ids = known.get(word)
-            if ids is None:
-                if len(known) > 500_000:
-                    known.clear()
-                ids = known[word] = tuple(self.vocab[f] for f in of_word(word) if f in self.vocab)
-            for i in ids:
-                out[i] = out.get(i, 0) + n
-        return out
-
-    def __reduce__(self):
-        return Vectors, (self.vocab,)
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges [start, end), one range after the other, and the length of each range."""
+    size = end - start
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(start - (ends - size), size) + np.arange(total), size
 
 
 class BlockMaxIndex:
-    """Exact cosine search over unit vectors, by blocks of examples with a maximum weight for each term."""
-
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int):
-        self.size, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
-        rows: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for at, v in enumerate(vectors):
-            for t, w in v.items():
-                rows[t].append((at, w))
-        self.docs = [np.array([a for a, _ in r], dtype=np.int32) for r in rows]
-        self.weights = [np.array([w for _, w in r]) for r in rows]
-        self.bound = []
-        for d, w in zip(self.docs, self.weights):
-            blocks, first = np.unique(d // BLOCK, return_index=True)
-            self.bound.append((blocks, np.maximum.reduceat(w, first) if len(w) else w))
-
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of highest positive cosine, best first, ties by position; ``without`` is left out.
-
-        The blocks of the highest bounds are scored first. What their k-th best example reaches rules out every block of a
-        lower bound; the others are scored as well, so the result is exact.
-        """
-        bounds = np.zeros(self.blocks)
-        for t, q in query.items():
-            blocks, most = self.bound[t]
-            bounds[blocks] += q * most
-        scores = np.zeros(self.blocks * BLOCK)
-        first = np.argsort(-bounds, kind="stable")[: 1 + 2 * k // BLOCK]
-        self._score(query, first[bounds[first] > 0], scores)
-        if 0 <= without < len(scores):
-            scores[without] = 0.0
-        reached = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
-        rest = np.flatnonzero((bounds > 0) & (bounds >= reached - 1e-12))
-        self._score(query, np.setdiff1d(rest, first), scores)
-        if 0 <= without < len(scores):
-            scores[without] = 0.0
-        if len(scores) > k:
-            reached = max(np.partition(scores, -k)[-k] - 1e-12, 1e-300)
-        found = np.flatnonzero((scores >= reached) & (scores > 0))
-        return sorted(((round(float(scores[i]), 12), int(i)) for i in found), key=lambda x: (-x[0], x[1]))[:k]
-
-    def _score(self, query: dict[int, float], blocks: np.ndarray, scores: np.ndarray) -> None:
-        """Add the exact cosines of all examples in ``blocks``."""
-        wanted = np.zeros(self.blocks, dtype=bool)
-        wanted[blocks] = True
-        for t, q in query.items():
-            docs, weights = self.docs[t], self.weights[t]
-            here = wanted[docs // BLOCK]
-            scores[docs[here]] += q * weights[here]
+    """Exact cosine search over unit vectors (term ids, weights). The examples are put in an order that brings those with
+    the same frequent terms together, and cut into blocks of ``BLOCK``; ``postings`` counts what searches have read."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
+        self.size, self.blocks, self.postings = len(vectors), -(-len(vectors) // BLOCK), 0
+        terms = np.concatenate([t for t, _ in vectors]) if vectors else _NONE
+        weights = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
+        self.times = np.bincount(terms, minlength=n_terms)
+        common = np.argsort(-self.times, kind="stable")[:64]
+        bit = {int(t): 1 << (63 - i) for i, t in enumerate(common)}
+        heads = [sum(bit.get(t, 0) for t in np.intersect1d(t, common).tolist()) for t, _ in vectors]
+        self.order = np.array(sorted(range(self.size), key=lambda i: (heads[i], i)), dtype=np.int64)
+        self.place = np.argsort(self.order)
+        docs = np.repeat(self.place, [len(t) for t, _ in vectors]) if vectors else _NONE
+        by = np.lexsort((docs, terms))
+        self.docs, self.weights = docs[by].astype(np.int32), weights[by]
+        pair = terms[by] * max(1, self.blocks) + self.docs // BLOCK
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        self.first = np.append(first, len(pair))  # postings of each (term, block)
+        self.block = (self.docs[first] // BLOCK).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        self.start = np.searchsorted(terms[by][first], np.arange(n_terms + 1))  # (term, block) entries of each term
+
+    def nearest(self, terms: np.ndarray, values: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, cosines) of the k examples of highest positive cosine, best first, ties by position; ``without`` is
+        left out.
+
+        The telling terms, those of short posting lists, are added up first. What the common terms can add to the examples
+        of a block is bounded by their maxima in it, so they are read only in blocks that hold an example whose sum and bound
+        together reach the k-th best sum. No other example can be among the k, so the result is exact."""
+        common = self.times[terms] > self.size // COMMON
+        scores = self._scores(*self._entries(terms[~common], values[~common]))
+        if 0 <= without < self.size:
+            scores[self.place[without]] = -2.0
+        entries, value = self._entries(terms[common], values[common])
+        if len(entries):
+            bound = np.bincount(self.block[entries], value * self.most[entries], minlength=self.blocks) + 1e-9
+            reached = max(0.0, np.partition(scores, -k)[-k]) if len(scores) > k else 0.0
+            open_ = np.zeros(self.blocks, dtype=bool)
+            open_[np.flatnonzero(scores + np.repeat(bound, BLOCK)[: self.size] >= reached) // BLOCK] = True
+            here = open_[self.block[entries]]
+            scores += self._scores(entries[here], value[here])
+        found = np.flatnonzero(scores > 0)
+        if len(found) > 4 * k:
+            found = found[scores[found] >= np.partition(scores, -k)[-k] - 1e-11]
+        cosines, positions = np.round(scores[found], 12), self.order[found]
+        top = np.lexsort((positions, -cosines))[:k]
+        return positions[top], cosines[top]
+
+    def _entries(self, terms: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The (term, block) entries of the terms, with each one's weight in the query."""
+        entries, size = _ranges(self.start[terms], self.start[terms + 1])
+        return entries, np.repeat(values, size)
+
+    def _scores(self, entries: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """What the postings under the entries add to each example, in the order of the index."""
+        at, size = _ranges(self.first[entries], self.first[entries + 1])
+        self.postings += len(at)
+        return np.bincount(self.docs[at], np.repeat(value, size) * self.weights[at], minlength=self.size).astype(np.float64, copy=False)
 
 
 @dataclass
 class Model:
-    """Everything a task needs to score texts; its size is bounded by the vocabulary and the examples."""
+    """Everything a task needs to score texts; its size is bounded by the words of the examples."""
 
-    vectors: Vectors
-    idf: np.ndarray
+    vocab: dict[bytes, int]
+    weight_of: np.ndarray
     index: BlockMaxIndex
     ids: list
     toxic: np.ndarray
@@ -127,93 +113,102 @@ class Model:
     k: int
     scale: np.ndarray
     without: float
+    _seen: dict = field(default_factory=dict)  # copies of a text are judged once
 
-    def __post_init__(self):
-        self._seen: dict = {}  # texts with the same few terms have the same neighbours
-
-    def unit(self, counts: dict[int, int]) -> tuple[dict[int, float], float]:
-        """(unit TF-IDF vector, its length before)."""
-        raw = {t: (1 + math.log(n)) * float(self.idf[t]) for t, n in counts.items()}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / norm for t, w in sorted(raw.items())} if norm else {}, norm
-
-    def evidence(self, near: list[tuple[float, int]], norm: float) -> list[float]:
+    def counts(self, text: bytes | None) -> dict[int, int]:
+        """Term id -> times, of the words that some example has."""
+        get = self.vocab.get
+        return {i: n for w, n in Counter(alnum_words(text)).items() if (i := get(w)) is not None}
+
+    def unit(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray, float]:
+        """(term ids ascending, unit weights, length before); weights are (1 + log times) x IDF x relevance frequency."""
+        terms = np.fromiter(counts, dtype=np.int64, count=len(counts))
+        raw = (1 + np.log(np.fromiter(counts.values(), dtype=np.float64, count=len(counts)))) * self.weight_of[terms]
+        by = np.argsort(terms)
+        terms, raw = terms[by], raw[by]
+        norm = math.sqrt(float(raw @ raw))
+        return terms, raw / norm if norm else raw, norm
+
+    def evidence(self, near: tuple[np.ndarray, np.ndarray], norm: float) -> list[float]:
         """What is calibrated: the similarity-weighted share of toxic neighbours (an example's weight makes up for sampling
         its class), their mean cosine, and how much of a text was there to compare."""
-        mass = [(c * c * self.weight[i], self.toxic[i]) for c, i in near]
-        total = sum(m for m, _ in mass)
-        if not total:
-            return [0.0, 0.0, math.log1p(norm)]
-        return [sum(m * t for m, t in mass) / total, sum(c for c, _ in near) / len(near), math.log1p(norm)]
+        at, cosines = near
+        mass = cosines * cosines * self.weight[at]
+        total = float(mass.sum())
+        return [float(mass @ self.toxic[at]) / total, float(cosines.mean()), math.log1p(norm)] if total else [0.0, 0.0, math.log1p(norm)]
 
     def score(self, text: bytes | None) -> tuple[float, list, list]:
         """(score, ids of the neighbours, their cosines)."""
-        counts = self.vectors.counts(text)
-        key = tuple(sorted(counts.items())) if len(counts) <= 8 else None
-        if key is None or key not in self._seen:
-            found = self._judge(counts)
-            if key is None:
-                return found
-            if len(self._seen) > 50_000:
+        key = xxhash.xxh128_digest(text or b"")
+        if key not in self._seen:
+            if len(self._seen) > 20_000:
                 self._seen.clear()
-            self._seen[key] = found
+            self._seen[key] = self._judge(self.counts(text))
         return self._seen[key]
 
     def _judge(self, counts: dict[int, int]) -> tuple[float, list, list]:
-        unit, norm = self.unit(counts)
-        near = self.index.nearest(unit, self.k) if unit else []
-        if not near:
+        terms, values, norm = self.unit(counts)
+        near = self.index.nearest(terms, values, self.k)
+        if not len(near[0]):
             return self.without, [], []
         x = float(np.dot(self.scale[:-1], self.evidence(near, norm)) + self.scale[-1])
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x)))), [self.ids[i] for _, i in near], [c for c, _ in near]
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x)))), [self.ids[i] for i in near[0]], near[1].tolist()
+
 
+def relevance(n0: np.ndarray, n1: np.ndarray, sizes: tuple[int, int], least: int = 3) -> np.ndarray:
+    """Relevance frequency log2(2 + odds): how many times as often toxic texts hold a word, each class as large as the
+    other; 1 for words in fewer than ``least`` labelled texts."""
+    odds = n1 * (sizes[0] / max(1, sizes[1])) / np.maximum(1, n0)
+    return np.where(n0 + n1 >= least, np.log2(2 + odds), 1.0)
 
-def fit(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-    terms: int = 3000, least_texts: int = 5, least_chi_square: float = 0.0, examples: int = 3000, k: int = 15,
-) -> Model:
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", examples: int = 3000, k: int = 15) -> Model:
     """A model from the labels that may be learnt from.
 
-    Class counts cover all labelled rows and document frequencies all of ``docs``. The vocabulary is the ``terms`` features
-    of the highest chi-square among those in at least ``least_texts`` texts, whichever class they lean to. The index holds
-    about ``examples`` labelled texts of each class that have any of them (a bounded sample by hash of the id).
-    """
+    The index holds about ``examples`` labelled texts of each class (a bounded sample by hash of the id); all their words
+    are terms. Document frequencies cover all of ``docs`` and class counts all labelled rows."""
     small_batches(docs.sparkSession)
-    rows = training_rows(docs, labels, label, id_col, text_col)
-    n0, n1 = class_sizes(rows)
-    counted = class_counts(rows, features).where(f"n0 + n1 >= {least_texts}").withColumn("chi", chi_square(n0, n1))
-    telling = counted.where(F.col("chi") >= least_chi_square)
-    chosen = sorted(bytes(r.feature) for r in telling.orderBy(F.desc("chi"), "feature").limit(terms).collect())
-    vectors = Vectors({f: i for i, f in enumerate(chosen)})
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+    known = known_labels(labels, label, id_col)
+    sizes = class_sizes(docs, known, id_col)
+
+    @F.pandas_udf(T.MapType(T.BinaryType(), T.IntegerType()))
+    def counted(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: Counter(alnum_words(t)), na_action=None)
+
+    picked = sample_of_each_class(with_labels(docs, known, id_col, text_col), examples, sizes)
+    picked = materialize(picked.select(F.col("id").cast("string").alias("id"), "y", counted("text").alias("v")), "examples").collect()
+    texts = [({bytes(w): n for w, n in r.v.items()}, r.id or "", r.y) for r in picked]
+    texts.sort(key=lambda x: (x[1], x[2], sorted(x[0].items())))
+    vocab = {w: i for i, w in enumerate(sorted({w for v, _, _ in texts for w in v}))}
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def frequencies(batches):
-        seen, total = np.zeros(len(chosen), dtype=np.int64), 0
+        ids, seen, total = shared.value, np.zeros((3, len(vocab)), dtype=np.int64), 0
         for pdf in batches:
-            for text in pdf["text"]:
-                seen[list(shared.value.counts(text))] += 1
-                total += 1
-        yield pd.DataFrame({"term": [-1, *range(len(chosen))], "n": [total, *seen.tolist()]})
-
-    df = {r.term: r.n for r in docs.select(utf8(text_col).alias("text")).mapInPandas(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([math.log((1 + df.get(-1, 0)) / (1 + df.get(t, 0))) + 1 for t in range(len(chosen))])
-
-    @F.pandas_udf(T.MapType(T.IntegerType(), T.IntegerType()))
-    def counts(texts: pd.Series) -> pd.Series:
-        return texts.map(shared.value.counts, na_action=None)
-
-    found = materialize(rows.select(F.col("id").cast("string").alias("id"), "y", counts("text").alias("v")), "examples")
-    some = found.where(F.size("v") > 0)
-    empty0, empty1 = class_sizes(found.where(F.size("v") == 0))
-    held0, held1 = class_sizes(some)
-    sample = sorted(sample_of_each_class(some, examples, (held0, held1)).collect(), key=lambda r: (r.id, r.y))
-    y = np.array([r.y for r in sample], dtype=float)
-    weight = np.where(y > 0, held1 / max(1, y.sum()), held0 / max(1, len(y) - y.sum()))
-    model = Model(vectors, idf, BlockMaxIndex([], len(chosen)), [r.id for r in sample], y, weight, k, np.zeros(4), (empty1 + 0.5) / (empty0 + empty1 + 1.0))
-    units = [model.unit(dict(r.v)) for r in sample]
-    model.index = BlockMaxIndex([u for u, _ in units], len(chosen))
-    if len(sample):
-        seen = np.array([model.evidence(model.index.nearest(u, k, without=i), norm) for i, (u, norm) in enumerate(units)])
+            for text, y in zip(pdf["text"], pdf["y"]):
+                at = [i for w in set(alnum_words(text)) if (i := ids.get(w)) is not None]
+                seen[0, at] += 1
+                if y >= 0:
+                    seen[1 + int(y), at] += 1
+            total += len(pdf)
+        here = np.flatnonzero(seen[0])
+        yield pd.DataFrame({"term": [-1, *here], "n": [total, *seen[0, here]], "n0": [0, *seen[1, here]], "n1": [0, *seen[2, here]]})
+
+    every = with_labels(docs, known, id_col, text_col, "left").select("text", F.coalesce("y", F.lit(-1)).alias("y"))
+    got = every.mapInPandas(frequencies, "term int, n long, n0 long, n1 long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", "n0", "n1")]).toPandas()
+    table = np.zeros((3, len(vocab) + 1))
+    for i, c in enumerate(("n", "n0", "n1")):
+        table[i, got["term"].to_numpy(dtype=np.int64)] = got[c].to_numpy()
+    idf = np.log((1 + table[0, -1]) / (1 + table[0, :-1])) + 1e-3
+    y = np.array([c for _, _, c in texts], dtype=float)
+    weight = np.where(y > 0, sizes[1] / max(1, y.sum()), sizes[0] / max(1, len(y) - y.sum()))
+    blank = np.array([not v for v, _, _ in texts], dtype=bool)
+    empty0, empty1 = float(weight[blank & (y == 0)].sum()), float(weight[blank & (y == 1)].sum())
+    model = Model(vocab, idf * relevance(table[1, :-1], table[2, :-1], sizes), BlockMaxIndex([], len(vocab)), [i for _, i, _ in texts], y, weight, k, np.zeros(4), (empty1 + 0.5) / (empty0 + empty1 + 1.0))
+    units = [model.unit({vocab[w]: n for w, n in v.items()}) for v, _, _ in texts]
+    model.index = BlockMaxIndex([(t, v) for t, v, _ in units], len(vocab))
+    if len(texts):
+        seen = np.array([model.evidence(model.index.nearest(t, v, k, without=i), norm) for i, (t, v, norm) in enumerate(units)])
         model.scale = logistic(seen, y, weight * len(y) / weight.sum())
     return model
 
@@ -221,8 +216,9 @@ def fit(
 def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` plus ``toxicity``: score (0 to 1), neighbours (ids of the nearest examples) and cosines.
 
-    The score depends on the text alone. Null and empty texts, and those without any term of the vocabulary, have no
-    neighbours and get the share of toxic labels among such texts. A column ``toxicity`` is replaced."""
+    The score depends on the text alone, so repeated rows are scored alike. Null and empty texts, and those without any word
+    of an example, have no neighbours and get the share of toxic labels among examples without words. Texts are read whole
+    whatever their length. An empty table gives an empty result; a column ``toxicity`` is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     small_batches(docs.sparkSession)
     kind = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("neighbours", T.ArrayType(T.StringType())), T.StructField("cosines", T.ArrayType(T.DoubleType()))])

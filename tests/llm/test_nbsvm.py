@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import zlib
+from collections import Counter
+
 import numpy as np
 
 from quarry.llm import nbsvm
 from quarry.llm.labelled import held_out
+from quarry.llm.queries import op7_quality_classifier
 
 
 def test_solver_meets_the_optimality_conditions():
@@ -19,8 +24,33 @@ def test_solver_meets_the_optimality_conditions():
 
 def test_shapes_and_grams():
     assert [nbsvm.shape(w) for w in (b"the&&&", b"NO!!", b"a1-2", "é".encode())] == [b"a&", b"A!", b"a9-9", b"a"]
-    assert nbsvm.Grams()(b"Go go go") == {b"1 Aa", b"1 a", b"1 =a", b"2 Aa a", b"2 a =a", b"3 Aa a =a", b"w go"}
-    assert nbsvm.Grams()(None) == nbsvm.Grams()(b"") == set()
+    grams = nbsvm.Grams()
+    assert len(grams(b"Go go go")) == len(grams(b"Go go")) + 2  # one pair and one run of three more
+    assert set(grams(b"one two")) < set(grams(b"one two 3!"))
+    assert len(grams(None)) == len(grams(b"")) == 0
+
+
+def test_ratios_are_those_of_all_labelled_texts(spark):
+    """The model of the whole query against counts in plain Python, and its scores against sums by hand."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    known = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 5}
+    grams, n = nbsvm.Grams(), [Counter(), Counter()]
+    for i, y in known.items():
+        n[y].update(set(grams(texts[i]).tolist()))
+    sizes = [sum(v == c for v in known.values()) for c in (0, 1)]
+    model = nbsvm.fit(docs, labels)
+    for g in set(n[0]) | set(n[1]):
+        want = math.log((n[1][g] + 1) / (sizes[1] + 2)) - math.log((n[0][g] + 1) / (sizes[0] + 2))
+        assert abs(model.ratio[g] - want) < 1e-9
+    assert np.count_nonzero(model.ratio) <= len(set(n[0]) | set(n[1]))
+    for r in op7_quality_classifier(spark, sf).collect():
+        values = {g: model.ratio[g] for g in grams(texts[r.doc_id]).tolist()}
+        norm = math.sqrt(sum(v * v for v in values.values())) or 1.0
+        margin = sum(model.weights[g] * v / norm for g, v in values.items()) + model.weights[-1]
+        want = 1 / (1 + math.exp(-(model.scale[0] * margin + model.scale[1])))
+        assert abs(r.score - want) < 1e-6 and r.predicted == (r.score >= 0.3)
 
 
 def test_held_out_accuracy(spark):
