@@ -1,13 +1,15 @@
 """Quality rules: word statistics of whole texts, then robust multivariate outliers within each language and source.
 
 The statistics are turned into a vector on variance-stabilised scales. For every (language, source) the location and
-scatter are minimum-covariance-determinant estimates, found by concentration steps: each step measures all vectors of the
-group against the current estimate and takes the next one from the nearest share of them. A text goes when its squared
-Mahalanobis distance exceeds a chi-square quantile.
-
-Every step is one grouped sum over all vectors. The nearest share is cut at a bin of a fixed logarithmic scale of
-distances, whose moments are summed by bin and then accumulated, so nothing of a group's size meets in one task. Equal
-vectors count once: thousands of copies of one text are no evidence about a source's spread.
+scatter are minimum-covariance-determinant estimates: from three deterministic starts, concentration steps take the share
+of vectors nearest to the current estimate and estimate anew, until the determinant of the scatter falls no further; the
+start with the lowest determinant counts. A text goes when its squared Mahalanobis distance exceeds a chi-square quantile.
+
+A step is two grouped sums over all vectors: the first counts vectors on a fine logarithmic scale of distances, the second
+adds up moments. The nearest share is exact in weight: vectors in the last place of the scale that is needed count with the
+fraction that is left, so all subsets weigh the same and their determinants compare. Nothing of a group's size meets in one
+task. Equal vectors count once: thousands of copies of one text are no evidence about a source's spread. Every scatter has
+the squares of ``FLOORS`` added on its diagonal, so it is never singular, however few or alike the vectors are.
 """
 
 from __future__ import annotations
@@ -23,15 +25,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.tokens import small_batches, utf8
+from quarry.llm.tokens import packed, small_batches, unpacked, utf8
 from quarry.scratch import materialize
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_stops"]
 #: Transformed statistics and the least standard deviation each is given: finer differences are no sign of quality.
 FLOORS = {"size": 0.5, "word_len": 0.08, "symbols": 0.04, "dup_lines": 0.12, "repeats": 0.15, "upper": 0.08, "stops": 0.06}
 SHARE = 0.75
-STEPS = 6
-BINS = 16  # to an octave of squared distance
+ROUNDS = 30
+BINS = 64  # to an octave of squared distance
+LEAST = 35  # five vectors a dimension
 _WS, _SYMBOLS, _STOPS = b" \t\n\r\x0b\x0c", b"#*$%&|<>", b".,;:!?"
 _UPPER = bytes(range(65, 91))
 
@@ -91,7 +94,6 @@ def _vector() -> dict[str, Column]:
 
 NAMES = list(FLOORS)
 _P = len(NAMES)
-_PAIRS = [(i, j) for i in range(_P) for j in range(i, _P)]
 
 
 def chi2_cdf(x: float, k: int) -> float:
@@ -117,103 +119,161 @@ def chi2_quantile(q: float, k: int) -> float:
     return high
 
 
-def consistency(share: float) -> float:
+def consistency(share: float, p: int = _P) -> float:
     """Factor that makes the scatter of the nearest ``share`` of normal vectors estimate that of all."""
-    return share / chi2_cdf(chi2_quantile(share, _P), _P + 2)
+    return share / chi2_cdf(chi2_quantile(share, p), p + 2)
+
+
+def _pairs(p: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(p) for j in range(i, p)]
+
+
+_STATE = "pool string, start string, m array<double>, w array<double>, logdet double"
 
 
-def _estimate(moments: DataFrame, share: float) -> DataFrame:
-    """Moments about the former location -> location ``m`` and inverse scatter ``w`` (upper triangle), floors added."""
-    schema = T.StructType([T.StructField("pool", T.StringType()), T.StructField("m", T.ArrayType(T.DoubleType())), T.StructField("w", T.ArrayType(T.DoubleType()))])
-    factor, floor = consistency(share) if share < 1 else 1.0, np.diag(np.square(list(FLOORS.values())))
+def _estimate(moments: DataFrame, share: float, floors: list[float]) -> DataFrame:
+    """Weighted moments (pool, start, n, c, s, ss) about ``c`` -> location ``m``, inverse scatter ``w`` (upper triangle) and the
+    logarithm of the scatter's determinant."""
+    factor, floor, pairs, p = consistency(share, len(floors)) if share < 1 else 1.0, np.diag(np.square(floors)), _pairs(len(floors)), len(floors)
 
     def solve(batches):
         for pdf in batches:
             rows = []
-            for pool, n, old, s, ss in zip(pdf["pool"], pdf["n"], pdf["m"], pdf["s"], pdf["ss"]):
+            for pool, start, n, c, s, ss in zip(pdf["pool"], pdf["start"], pdf["n"], pdf["c"], pdf["s"], pdf["ss"]):
                 shift = np.asarray(s) / n
-                cov = np.zeros((_P, _P))
-                for (i, j), v in zip(_PAIRS, ss):
+                cov = np.zeros((p, p))
+                for (i, j), v in zip(pairs, ss):
                     cov[i, j] = cov[j, i] = v / n - shift[i] * shift[j]
-                inv = np.linalg.inv(factor * cov + floor)
-                rows.append((pool, list(np.asarray(old) + shift), [inv[i, j] for i, j in _PAIRS]))
-            yield pd.DataFrame(rows, columns=["pool", "m", "w"])
-
-    return moments.mapInPandas(solve, schema)
-
-
-def _distance(of: str = "") -> Column:
-    """Squared Mahalanobis distance of the vector columns, or those in the struct ``of``, to (m, w)."""
-    d = [F.col(of + c) - F.col("m")[i] for i, c in enumerate(NAMES)]
-    return reduce(lambda a, b: a + b, [F.col("w")[k] * d[i] * d[j] * (1 if i == j else 2) for k, (i, j) in enumerate(_PAIRS)])
-
-
-def _moments() -> list[Column]:
-    d = [F.col(c) - F.col("m")[i] for i, c in enumerate(NAMES)]
-    return [F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(d)], *[F.sum(d[i] * d[j]).alias(f"q{i}_{j}") for i, j in _PAIRS]]
+                scatter = factor * cov + floor
+                inv = np.linalg.inv(scatter)
+                rows.append((pool, start, list(np.asarray(c) + shift), [inv[i, j] for i, j in pairs], float(np.linalg.slogdet(scatter)[1])))
+            yield pd.DataFrame(rows, columns=["pool", "start", "m", "w", "logdet"])
+
+    return moments.mapInPandas(solve, _STATE)
+
+
+def _distance(v: str, m: str, w: str, p: int) -> Column:
+    """Squared Mahalanobis distance of the array ``v`` to location ``m`` with inverse scatter ``w``."""
+    d = [F.col(v)[i] - F.col(m)[i] for i in range(p)]
+    return reduce(lambda a, b: a + b, [F.col(w)[k] * d[i] * d[j] * (1 if i == j else 2) for k, (i, j) in enumerate(_pairs(p))])
+
+
+def _sums(rows: DataFrame, weight: Column, about: str, p: int) -> DataFrame:
+    """Weighted moments of the array ``v`` about ``about``, for each pool and start."""
+    d = [F.col("v")[i] - F.col(about)[i] for i in range(p)]
+    sums = [F.sum(weight).alias("n"), *[F.sum(weight * x).alias(f"s{i}") for i, x in enumerate(d)], *[F.sum(weight * d[i] * d[j]).alias(f"q{i}_{j}") for i, j in _pairs(p)]]
+    summed = rows.groupBy("pool", "start", F.col(about).alias("c")).agg(*sums)
+    return summed.select("pool", "start", "n", "c", F.array(*[f"s{i}" for i in range(p)]).alias("s"), F.array(*[f"q{i}_{j}" for i, j in _pairs(p)]).alias("ss"))
+
+
+def _concentrate(vectors: DataFrame, now: DataFrame, share: float, floors: list[float]) -> DataFrame:
+    """One concentration step from every state of ``now``: the estimate of the vectors nearest to it, ``share`` of all in weight."""
+    p = len(floors)
+    placed = vectors.join(now.select("pool", "start", "m", "w"), "pool")
+    placed = placed.withColumn("bin", F.floor(BINS * F.log2(F.greatest(_distance("v", "m", "w", p), F.lit(1e-9)))))
+    bins = placed.groupBy("pool", "start", "bin").agg(F.count("*").alias("n"))
+    to_here = W.partitionBy("pool", "start").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    cut = bins.withColumn("before", F.coalesce(F.sum("n").over(to_here), F.lit(0))).withColumn("h", F.ceil(share * F.sum("n").over(W.partitionBy("pool", "start"))))
+    edge = cut.where((F.col("before") < F.col("h")) & (F.col("before") + F.col("n") >= F.col("h"))).select("pool", "start", F.col("bin").alias("edge"), ((F.col("h") - F.col("before")) / F.col("n")).alias("part"))
+    edge = materialize(now.join(edge, ["pool", "start"]), "edge")
+    placed = vectors.join(edge, "pool").withColumn("bin", F.floor(BINS * F.log2(F.greatest(_distance("v", "m", "w", p), F.lit(1e-9))))).where("bin <= edge")
+    weight = F.when(F.col("bin") < F.col("edge"), F.lit(1.0)).otherwise(F.col("part"))
+    return materialize(_estimate(_sums(placed, weight, "m", p), share, floors), "mcd")
+
+
+def _starts(vectors: DataFrame, floors: list[float]) -> DataFrame:
+    """Three starts for every pool, all at the medians: scatter by median absolute deviations alone, by the correlation of
+    the hyperbolic tangents of the standardised vectors, and by that of their spatial signs."""
+    p = len(floors)
+    pairs = _pairs(p)
+    med = materialize(vectors.groupBy("pool").agg(F.array(*[F.percentile_approx(F.col("v")[i], 0.5, 10000) for i in range(p)]).alias("med")), "medians")
+    mad = vectors.join(med, "pool").groupBy("pool", "med").agg(F.array(*[F.sqrt(F.pow(1.4826 * F.percentile_approx(F.abs(F.col("v")[i] - F.col("med")[i]), 0.5, 10000), 2) + F.lit(floors[i] ** 2)) for i in range(p)]).alias("scale"))
+    mad = materialize(mad, "scales")
+    z = vectors.join(mad, "pool").withColumn("z", F.array(*[(F.col("v")[i] - F.col("med")[i]) / F.col("scale")[i] for i in range(p)]))
+    size = F.sqrt(reduce(lambda a, b: a + b, [F.col("z")[i] * F.col("z")[i] for i in range(p)]))
+    kinds = {"tanh": lambda i: F.tanh(F.col("z")[i]), "sign": lambda i: F.col("z")[i] / F.greatest(F.col("size"), F.lit(1e-9))}
+    sums = {k: F.array(*[F.sum(f(i) * f(j)) for i, j in pairs]).alias(k) for k, f in kinds.items()}
+    summed = materialize(z.withColumn("size", size).groupBy("pool", "med", "scale").agg(F.count("*").alias("n"), *sums.values()), "starts")
 
+    def solve(batches):
+        for pdf in batches:
+            rows = []
+            for pool, m, scale, *kinds in zip(pdf["pool"], pdf["med"], pdf["scale"], pdf["tanh"], pdf["sign"]):
+                for name, sums in zip(("mad", "tanh", "sign"), (None, *kinds)):
+                    r = np.eye(p)
+                    if sums is not None:
+                        full = np.zeros((p, p))
+                        for (i, j), x in zip(pairs, sums):
+                            full[i, j] = full[j, i] = x
+                        spread = np.sqrt(np.maximum(np.diag(full), 1e-12))
+                        r = 0.99 * full / np.outer(spread, spread)
+                        np.fill_diagonal(r, 1.0)
+                    scatter = r * np.outer(scale, scale)
+                    inv = np.linalg.inv(scatter)
+                    rows.append((pool, name, list(m), [inv[i, j] for i, j in pairs], float("inf")))
+            yield pd.DataFrame(rows, columns=["pool", "start", "m", "w", "logdet"])
+
+    return materialize(summed.mapInPandas(solve, _STATE), "start")
+
+
+def mcd_estimates(vectors: DataFrame, share: float = SHARE, rounds: int = ROUNDS, floors: list[float] | None = None, reweight: bool = True) -> DataFrame:
+    """(pool, m, w, logdet) for every pool of ``vectors`` (pool and the array ``v``, distinct rows).
+
+    Two concentration steps from each start; the one of the lowest determinant goes on, until no pool's determinant falls
+    (at most ``rounds`` steps: a step is taken back where it does not lower it). With ``reweight``, one last estimate of all
+    vectors within the 0.975 quantile."""
+    floors = list(FLOORS.values()) if floors is None else floors
+    p = len(floors)
+    tried = _concentrate(vectors, _concentrate(vectors, _starts(vectors, floors), share, floors), share, floors)
+    best = F.min(F.struct("logdet", "start", "m", "w")).alias("b")
+    now = materialize(tried.groupBy("pool").agg(best).select("pool", "b.start", "b.m", "b.w", "b.logdet"), "best")
+    moving = now
+    for _ in range(rounds):
+        after = _concentrate(vectors, moving, share, floors)
+        old = now.select("pool", F.col("logdet").alias("old"))
+        moving = materialize(after.join(old, "pool").where(F.col("logdet") < F.col("old") - 1e-7).drop("old"), "lower")
+        if moving.isEmpty():
+            break
+        now = materialize(now.join(moving.select("pool"), "pool", "left_anti").unionByName(moving), "mcd")
+    if not reweight:
+        return now
+    inside = vectors.join(now, "pool").where(_distance("v", "m", "w", p) <= chi2_quantile(0.975, p))
+    return materialize(_estimate(_sums(inside, F.lit(1.0), "m", p), 0.975, floors), "mcd")
 
-def _packed(df: DataFrame) -> DataFrame:
-    return df.select("pool", "n", "m", F.array(*[f"s{i}" for i in range(_P)]).alias("s"), F.array(*[f"q{i}_{j}" for i, j in _PAIRS]).alias("ss"))
 
+def _pools(rows: DataFrame, least: int) -> DataFrame:
+    """The pool of each row's (lang, source): its own when that has ``least`` different vectors; else what its language has
+    over, when that is as many; else what all languages have over, however few."""
+    sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    own = F.when(F.col("n") >= least, F.concat_ws("\x01", F.lit("own"), "lang", "source"))
+    rest = F.sum(F.when(own.isNull(), F.col("n"))).over(W.partitionBy("lang"))
+    by_lang = sizes.withColumn("pool", own).withColumn("rest", rest)
+    return by_lang.select("lang", "source", F.coalesce("pool", F.when(F.col("rest") >= least, F.concat_ws("\x01", F.lit("lang"), "lang")), F.lit("all")).alias("pool"))
 
-def _concentrate(vectors: DataFrame, now: DataFrame, share: float) -> DataFrame:
-    """One concentration step for every pool."""
-    bin_ = F.floor(BINS * F.log2(F.greatest(_distance(), F.lit(1e-6)))).alias("bin")
-    by_bin = vectors.join(now, "pool").groupBy("pool", bin_, "m").agg(*_moments())
-    to_here = W.partitionBy("pool").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    nearest = by_bin.withColumn("before", F.coalesce(F.sum("n").over(to_here), F.lit(0))).withColumn("all", F.sum("n").over(W.partitionBy("pool")))
-    sums = nearest.where(F.col("before") < F.ceil(share * F.col("all"))).groupBy("pool", "m").agg(*[F.sum(c).alias(c) for c in by_bin.columns if c not in ("pool", "bin", "m")])
-    return materialize(_estimate(_packed(sums), share), "mcd")
 
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", quantile: float = 0.99999, least: int = LEAST) -> DataFrame:
+    """``docs`` plus ``stats`` (STATS), ``base_failed``, ``distance`` (squared; null where the base rules failed) and ``kept``:
+    base passed and the distance within the chi-square ``quantile``.
 
-def _pools(rows: DataFrame, least: int) -> DataFrame:
-    """The pool of each row's (lang, source): its own when that has ``least`` different vectors, else what its language
-    has over, else what all languages have over; null where even that is too small."""
-    sizes = rows.groupBy("_lang", "_source").agg(F.count("*").alias("n"))
-    own = F.when(F.col("n") >= least, F.concat_ws("\x01", F.lit("own"), "_lang", "_source"))
-    rest = F.sum(F.when(own.isNull(), F.col("n"))).over(W.partitionBy("_lang"))
-    by_lang = sizes.withColumn("pool", own).withColumn("rest", rest)
-    by_lang = by_lang.withColumn("pool", F.coalesce("pool", F.when(F.col("rest") >= least, F.concat_ws("\x01", F.lit("lang"), "_lang")), F.lit("all")))
-    over = by_lang.groupBy("pool").agg(F.sum("n").alias("total"))
-    return by_lang.join(over, "pool").where(F.col("total") >= least).select("_lang", "_source", "pool")
-
-
-def mcd_estimates(vectors: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """(pool, m, w) for every pool of ``vectors`` (pool + NAMES): deterministic start at the medians with the floors and the
-    median absolute deviations as scatter, ``steps`` concentration steps, then one step that reweights by the 0.975 quantile."""
-    med = vectors.groupBy("pool").agg(*[F.percentile_approx(c, 0.5, 10000).alias(f"c_{c}") for c in NAMES])
-    mad = vectors.join(materialize(med, "medians"), "pool").groupBy("pool", *[f"c_{c}" for c in NAMES]).agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"c_{c}")), 0.5, 10000).alias(f"d_{c}") for c in NAMES])
-    spread = [F.lit(1.0) / (F.pow(1.4826 * F.col(f"d_{c}"), 2) + FLOORS[c] ** 2) for c in NAMES]
-    now = materialize(mad.select("pool", F.array(*[f"c_{c}" for c in NAMES]).alias("m"), F.array(*[spread[i] if i == j else F.lit(0.0) for i, j in _PAIRS]).alias("w")), "start")
-    for _ in range(steps):
-        now = _concentrate(vectors, now, share)
-    inside = vectors.join(now, "pool").where(_distance() <= chi2_quantile(0.975, _P)).groupBy("pool", "m").agg(*_moments())
-    return materialize(_estimate(_packed(inside), 0.975), "mcd")
-
-
-def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", quantile: float = 0.99999, least: int = 100) -> DataFrame:
-    """``docs`` plus ``stats`` (STATS), ``base_failed``, ``distance`` (squared; null where the base rules failed or the pool
-    has fewer than ``least`` different vectors) and ``kept``: base passed and the distance within the chi-square ``quantile``.
-
-    Null and empty texts fail the base rules. A null language or source is a group of its own. Rows that repeat are judged
-    alike. An empty table gives an empty result. Columns of the new names are replaced.
+    A (language, source) of at least ``least`` different vectors has its own estimate; smaller ones of a language share one,
+    and what is still smaller shares one over all languages, so every text that passes the base rules is judged. Null and
+    empty texts fail the base rules. A null language or source is a group of its own. Rows that repeat are judged alike. Very
+    long texts are read whole. An empty table gives an empty result. Columns of the new names are replaced; others may have
+    any name.
     """
     return outliers(with_statistics(docs, text_col), lang_col, source_col, quantile, least)
 
 
-def outliers(counted: DataFrame, lang_col: str = "lang", source_col: str = "source", quantile: float = 0.99999, least: int = 100) -> DataFrame:
+def outliers(counted: DataFrame, lang_col: str = "lang", source_col: str = "source", quantile: float = 0.99999, least: int = LEAST) -> DataFrame:
     """``judge`` for rows that have their ``stats`` already; they are read twice, so a table serves better than a plan."""
     n = {c: F.col("stats")[c] for c in STATS}
     failed = (n["n_words"] < 10) | (100 * n["n_repeat_words"] > 20 * n["n_words"])
-    key = {"_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("\x00")), "_source": F.coalesce(F.col(source_col).cast("string"), F.lit("\x00"))}
-    keyed = counted.withColumns(key).withColumn("base_failed", failed)
-    vector = [x.alias(c) for c, x in _vector().items()]
-    rows = materialize(keyed.where("NOT base_failed").select("_lang", "_source", *vector).distinct(), "vectors")
+    key = {name: F.coalesce(F.col(c).cast("string"), F.lit("\x00")).alias(name) for name, c in (("lang", lang_col), ("source", source_col))}
+    keyed = counted.select(packed(counted), *key.values(), failed.alias("failed"), F.array(*_vector().values()).alias("v"))
+    rows = materialize(keyed.where("NOT failed").select("lang", "source", "v").distinct(), "vectors")
     pools = materialize(_pools(rows, least), "pools")
-    vectors = materialize(rows.join(pools, ["_lang", "_source"]).select("pool", *NAMES).distinct(), "pooled")
-    found = materialize(pools.join(mcd_estimates(vectors), "pool").select("_lang", "_source", "m", "w"), "found")
-    out = keyed.withColumn("_v", F.struct(*vector)).join(found, ["_lang", "_source"], "left")
-    out = out.withColumn("distance", F.when(~F.col("base_failed"), _distance("_v.")))
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= chi2_quantile(quantile, _P)))
-    return out.drop("_lang", "_source", "_v", "m", "w")
+    vectors = materialize(rows.join(pools, ["lang", "source"]).select("pool", "v").distinct(), "pooled")
+    found = materialize(pools.join(mcd_estimates(vectors), "pool").select("lang", "source", "m", "w"), "found")
+    out = keyed.join(found, ["lang", "source"], "left").withColumn("d", F.when(~F.col("failed"), _distance("v", "m", "w", _P)))
+    kept = ~F.col("failed") & F.coalesce(F.col("d") <= chi2_quantile(quantile, _P), F.lit(False))
+    return unpacked(out, counted.columns, {"base_failed": F.col("failed"), "distance": F.col("d"), "kept": kept})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Everything in ASCII that is not a letter or a digit becomes a space.
@@ -32,3 +32,13 @@ def alnum_words(text: bytes | None) -> list[bytes]:
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches of whole texts stay small: documents may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns as the struct ``_row``, so that working columns beside it can have any name."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
+def unpacked(df: DataFrame, columns: list[str], new: dict[str, Column]) -> DataFrame:
+    """The columns in ``_row`` again, with those of ``new`` in place or added."""
+    return df.select(*[new[c].alias(c) if c in new else F.col(f"_row.`{c}`").alias(c) for c in columns], *[x.alias(c) for c, x in new.items() if c not in columns])
