@@ -147,23 +147,25 @@ def fit(
         here = np.flatnonzero(seen.any(axis=0))
         yield pd.DataFrame({"place": here, "n0": seen[0, here], "n1": seen[1, here]})
 
-    got = rows.select("text", "y").mapInPandas(count, "place int, n0 long, n1 long").groupBy("place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
+    got = rows.select("text", "y").mapInPandas(count, "place int, n0 long, n1 long").groupBy("place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     n = np.zeros((2, 1 << BITS))
-    n[:, got["place"].to_numpy(dtype=np.int64)] = got[["n0", "n1"]].to_numpy(dtype=np.float64).T
+    for y in (0, 1):
+        n[y, got["place"].to_numpy()] = got[f"n{y}"].to_numpy()
     ratio = log_count_ratios(n, sizes, smoothing)
     model = Model(ratio, np.zeros((1 << BITS) + 1), np.zeros(2))
     if not sizes[0] or not sizes[1]:
         model.scale[1] = 3.0 * ((sizes[1] > 0) - (sizes[0] > 0))
         return model
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    @F.pandas_udf(T.BinaryType())
     def places(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: grams(t).astype(np.int32), na_action=None)
+        return texts.map(lambda t: grams(t).astype("<i4").tobytes(), na_action=None)
 
     picked = sample_of_each_class(rows, examples, sizes).select(F.xxhash64("id").alias("h"), "y", places("text").alias("ids"))
-    sample = sorted(materialize(picked, "examples").collect(), key=lambda r: (r.h, r.y, r.ids))
-    y, part = np.array([r.y for r in sample]), np.arange(len(sample)) % 3
-    vectors = [model.row(np.array(r.ids, dtype=np.int64)) for r in sample]
+    held = materialize(picked, "examples").toArrow()
+    sample = sorted(zip(*[held[c].to_pylist() for c in ("h", "y", "ids")]))
+    y, part = np.array([c for _, c, _ in sample]), np.arange(len(sample)) % 3
+    vectors = [model.row(np.frombuffer(ids, "<i4")) for _, _, ids in sample]
     share = {c: sizes[c] / max(1, (y == c).sum()) for c in (0, 1)}
     fit_on = [i for i in range(len(y)) if part[i] or len(y) < 30]
     each = {c: len(fit_on) / 2 / max(1, sum(y[i] == c for i in fit_on)) for c in (0, 1)}

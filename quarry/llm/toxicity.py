@@ -115,15 +115,16 @@ class Model:
     without: float
     _seen: dict = field(default_factory=dict)  # copies of a text are judged once
 
-    def counts(self, text: bytes | None) -> dict[int, int]:
-        """Term id -> times, of the words that some example has."""
+    def counts(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """(term ids, times) of the words that some example has."""
         get = self.vocab.get
-        return {i: n for w, n in Counter(alnum_words(text)).items() if (i := get(w)) is not None}
+        found = [(i, n) for w, n in Counter(alnum_words(text)).items() if (i := get(w)) is not None]
+        terms, times = np.array(found, dtype=np.int64).reshape(-1, 2).T
+        return terms, times
 
-    def unit(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray, float]:
+    def unit(self, terms: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """(term ids ascending, unit weights, length before); weights are (1 + log times) x IDF x relevance frequency."""
-        terms = np.fromiter(counts, dtype=np.int64, count=len(counts))
-        raw = (1 + np.log(np.fromiter(counts.values(), dtype=np.float64, count=len(counts)))) * self.weight_of[terms]
+        raw = (1 + np.log(times)) * self.weight_of[terms]
         by = np.argsort(terms)
         terms, raw = terms[by], raw[by]
         norm = math.sqrt(float(raw @ raw))
@@ -143,11 +144,11 @@ class Model:
         if key not in self._seen:
             if len(self._seen) > 20_000:
                 self._seen.clear()
-            self._seen[key] = self._judge(self.counts(text))
+            self._seen[key] = self._judge(*self.counts(text))
         return self._seen[key]
 
-    def _judge(self, counts: dict[int, int]) -> tuple[float, list, list]:
-        terms, values, norm = self.unit(counts)
+    def _judge(self, terms: np.ndarray, times: np.ndarray) -> tuple[float, list, list]:
+        terms, values, norm = self.unit(terms, times)
         near = self.index.nearest(terms, values, self.k)
         if not len(near[0]):
             return self.without, [], []
@@ -171,15 +172,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     known = known_labels(labels, label, id_col)
     sizes = class_sizes(docs, known, id_col)
 
-    @F.pandas_udf(T.MapType(T.BinaryType(), T.IntegerType()))
-    def counted(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: Counter(alnum_words(t)), na_action=None)
+    @F.pandas_udf(T.StructType([T.StructField("words", T.BinaryType()), T.StructField("times", T.BinaryType())]))
+    def counted(texts: pd.Series) -> pd.DataFrame:
+        every = [sorted(Counter(alnum_words(t)).items()) for t in texts]
+        return pd.DataFrame([(b" ".join(w for w, _ in x), np.array([n for _, n in x], dtype="<i4").tobytes()) for x in every], columns=["words", "times"])
 
     picked = sample_of_each_class(with_labels(docs, known, id_col, text_col), examples, sizes)
-    picked = materialize(picked.select(F.col("id").cast("string").alias("id"), "y", counted("text").alias("v")), "examples").collect()
-    texts = [({bytes(w): n for w, n in r.v.items()}, r.id or "", r.y) for r in picked]
-    texts.sort(key=lambda x: (x[1], x[2], sorted(x[0].items())))
-    vocab = {w: i for i, w in enumerate(sorted({w for v, _, _ in texts for w in v}))}
+    picked = materialize(picked.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "y", counted("text").alias("v")).select("id", "y", "v.*"), "examples").toArrow()
+    texts = sorted(zip(*[picked[c].to_pylist() for c in ("id", "y", "words", "times")]))
+    vocab: dict[bytes, int] = {}
+    vectors = [(np.array([vocab.setdefault(w, len(vocab)) for w in words.split()], dtype=np.int64), np.frombuffer(times, "<i4")) for _, _, words, times in texts]
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def frequencies(batches):
@@ -195,19 +197,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         yield pd.DataFrame({"term": [-1, *here], "n": [total, *seen[0, here]], "n0": [0, *seen[1, here]], "n1": [0, *seen[2, here]]})
 
     every = with_labels(docs, known, id_col, text_col, "left").select("text", F.coalesce("y", F.lit(-1)).alias("y"))
-    got = every.mapInPandas(frequencies, "term int, n long, n0 long, n1 long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", "n0", "n1")]).toPandas()
+    got = every.mapInPandas(frequencies, "term int, n long, n0 long, n1 long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", "n0", "n1")]).toArrow()
     table = np.zeros((3, len(vocab) + 1))
     for i, c in enumerate(("n", "n0", "n1")):
-        table[i, got["term"].to_numpy(dtype=np.int64)] = got[c].to_numpy()
+        table[i, got["term"].to_numpy()] = got[c].to_numpy()
     idf = np.log((1 + table[0, -1]) / (1 + table[0, :-1])) + 1e-3
-    y = np.array([c for _, _, c in texts], dtype=float)
+    y = np.array([c for _, c, _, _ in texts], dtype=float)
     weight = np.where(y > 0, sizes[1] / max(1, y.sum()), sizes[0] / max(1, len(y) - y.sum()))
-    blank = np.array([not v for v, _, _ in texts], dtype=bool)
+    blank = np.array([not len(t) for t, _ in vectors], dtype=bool)
     empty0, empty1 = float(weight[blank & (y == 0)].sum()), float(weight[blank & (y == 1)].sum())
-    model = Model(vocab, idf * relevance(table[1, :-1], table[2, :-1], sizes), BlockMaxIndex([], len(vocab)), [i for _, i, _ in texts], y, weight, k, np.zeros(4), (empty1 + 0.5) / (empty0 + empty1 + 1.0))
-    units = [model.unit({vocab[w]: n for w, n in v.items()}) for v, _, _ in texts]
+    model = Model(vocab, idf * relevance(table[1, :-1], table[2, :-1], sizes), BlockMaxIndex([], len(vocab)), [i for i, _, _, _ in texts], y, weight, k, np.zeros(4), (empty1 + 0.5) / (empty0 + empty1 + 1.0))
+    del picked, texts, got, table
+    units = [model.unit(t, n) for t, n in vectors]
     model.index = BlockMaxIndex([(t, v) for t, v, _ in units], len(vocab))
-    if len(texts):
+    if len(units):
         seen = np.array([model.evidence(model.index.nearest(t, v, k, without=i), norm) for i, (t, v, norm) in enumerate(units)])
         model.scale = logistic(seen, y, weight * len(y) / weight.sum())
     return model
