@@ -1,21 +1,23 @@
 """Benchmark decontamination with a generalised suffix automaton of the test items.
 
-The automaton of all normalised items is built once per block of items (a block is bounded, so its broadcast is too);
-documents stream through it word by word, each step keeping the longest match that ends there. Where that match reaches
+Items are taken in blocks of bounded size; their words are broadcast and every worker builds the automaton of a block once.
+Documents stream through it word by word, each step keeping the longest match that ends there. Where that match reaches
 the window length, or ends with a whole shorter item, the words of the window are hit.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.tokens import alnum_words, small_batches, utf8
+from quarry.llm.tokens import alnum_words, packed, small_batches, unpacked, utf8
 from quarry.scratch import materialize
 
 WINDOW = 10
@@ -147,23 +149,39 @@ _FOUND = T.StructType(
 )
 
 
-def _automata(items: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> list:
-    """A broadcast automaton for each block of items; items without an id or without words are no items."""
+class Items:
+    """The items of one block. What is broadcast are their words; each Python worker builds the automaton once, at first use."""
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+        self._items, self._window, self._automaton = items, window, None
+
+    def automaton(self) -> Automaton:
+        if self._automaton is None:
+            self._automaton = Automaton(self._items, self._window)
+        return self._automaton
+
+    def __reduce__(self):
+        return Items, (self._items, self._window)
+
+
+def _blocks(items: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> tuple[int, Callable[[int], Broadcast]]:
+    """The number of blocks of about ``block_bytes``, and what broadcasts one; items without an id or words are no items."""
     spark = items.sparkSession
     named = items.select(F.col(id_col).cast("string").alias("id"), utf8(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     total = named.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    out = []
-    for k in range(blocks):
+
+    def send(k: int) -> Broadcast:
         part = named if blocks == 1 else named.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)
-        out.append(spark.sparkContext.broadcast(Automaton(((r.id, alnum_words(bytes(r.text))) for r in part.toLocalIterator()), window)))
-    return out
+        return spark.sparkContext.broadcast(Items([(r.id, alnum_words(bytes(r.text))) for r in part.toLocalIterator()], window))
+
+    return blocks, send
 
 
-def _scanner(shared):
+def _scanner(shared: Broadcast):
     @F.pandas_udf(_FOUND)
     def scan(texts: pd.Series) -> pd.DataFrame:
-        automaton, rows = shared.value, []
+        automaton, rows = shared.value.automaton(), []
         for text in texts:
             words = alnum_words(text)
             spans, found, longest = automaton.scan(words)
@@ -181,24 +199,29 @@ def with_contamination(
 
     Words are lower-cased (A-Z) runs of ASCII letters, digits and non-ASCII characters. A window is ``window`` consecutive
     words of an item; a shorter item is one window. Null and empty texts have no words and no hits; empty items tables
-    give no hits; repeated items count by id. A column named ``contamination`` in ``docs`` is replaced.
+    give no hits; repeated items count by id, repeated rows are found alike; texts of any length are read whole. A column
+    named ``contamination`` in ``docs`` is replaced. With several blocks of items the documents are read once for each,
+    so no worker ever holds more than one block's automaton.
     """
     small_batches(docs.sparkSession)
-    found: Column | None = None
-    out = docs
-    for shared in _automata(items, item_id, item_text, window, block_bytes):
-        out = out.withColumn("_block", _scanner(shared)(utf8(text_col)))
-        new = F.col("_block")
-        if found is not None:
-            new = F.struct(
-                new["n_words"].alias("n_words"),
-                F.sort_array(F.concat("contamination.spans", new["spans"])).alias("spans"),
-                F.array_sort(F.array_union("contamination.items", new["items"])).alias("items"),
-                F.greatest("contamination.longest", new["longest"]).alias("longest"),
-            )
-        found = new
-        out = out.withColumn("contamination", new).drop("_block")
-    return out
+    blocks, send = _blocks(items, item_id, item_text, window, block_bytes)
+    if blocks == 1:
+        return docs.withColumn("contamination", _scanner(send(0))(utf8(text_col)))
+    rows = materialize(docs.select(packed(docs), F.expr("uuid()").alias("n"), utf8(text_col).alias("text")), "numbered")
+    parts = []
+    for k in range(blocks):
+        shared = send(k)
+        found = rows.select("n", _scanner(shared)("text").alias("c")).select("n", "c.*")
+        parts.append(materialize(found if k == 0 else found.where("longest > 0"), "hits"))
+        shared.destroy()
+    every = reduce(DataFrame.unionByName, parts).groupBy("n").agg(
+        F.max("n_words").alias("n_words"),
+        F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.max("longest").alias("longest"),
+    )
+    found = F.struct(*[F.col(c) for c in ("n_words", "spans", "items", "longest")])
+    return unpacked(rows.join(every, "n"), docs.columns, {"contamination": found})
 
 
 def hit_words(spans: str | Column) -> Column:
@@ -238,49 +261,42 @@ def decontaminate(
     docs: DataFrame, items: DataFrame, text_col: str = "text", max_coverage: float = 0.5, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """``docs`` with its own columns: hit spans cut out of the text; a document of which more than ``max_coverage`` of the
-    words are hit is removed. Documents without a hit, null and empty ones too, stay byte for byte.
+    words are hit is removed. Documents without a hit, null and empty ones too, stay byte for byte; rows that repeat are
+    treated alike; an empty table gives an empty result; other columns may have any name.
 
     The coverage is that of the spans of all blocks of items on the text as it came; their union is cut, and again in what
     is left, until no block reports a hit."""
-    shared = _automata(items, item_id, item_text, window, block_bytes)
+    blocks, send = _blocks(items, item_id, item_text, window, block_bytes)
     small_batches(docs.sparkSession)
-    if len(shared) > 1:
-        return _by_blocks(docs, shared, text_col, max_coverage)
+    if blocks > 1:
+        return _by_rounds(docs, items, text_col, max_coverage, item_id, item_text, window, block_bytes)
     kept = T.StructType([T.StructField("keep", T.BooleanType()), T.StructField("text", T.BinaryType())])
-    one = shared[0]
+    one = send(0)
 
     @F.pandas_udf(kept)
     def cut(texts: pd.Series) -> pd.DataFrame:
-        rows = []
+        rows, automaton = [], one.value.automaton()
         for text in texts:
             words = alnum_words(text)
-            spans, _, _ = one.value.scan(words)
+            spans, _, _ = automaton.scan(words)
             hit = sum(b - a for a, b in spans)
-            rows.append((hit <= max_coverage * len(words), _settled(text, spans, one.value) if hit else text))
+            rows.append((hit <= max_coverage * len(words), _settled(text, spans, automaton) if hit else text))
         return pd.DataFrame(rows, columns=["keep", "text"])
 
-    out = docs.withColumn("_cut", cut.asNondeterministic()(utf8(text_col))).where("_cut.keep").withColumn(text_col, F.col("_cut.text").cast("string"))
-    return out.select(*docs.columns)
+    out = docs.select(packed(docs), cut.asNondeterministic()(utf8(text_col)).alias("cut")).where("cut.keep")
+    return unpacked(out, docs.columns, {text_col: F.col("cut.text").cast("string")})
 
 
-def _by_blocks(docs: DataFrame, shared: list, text_col: str, max_coverage: float) -> DataFrame:
+def _by_rounds(docs: DataFrame, items: DataFrame, text_col: str, max_coverage: float, *how) -> DataFrame:
     """Round by round over all blocks; documents without a hit leave. Every further round cuts words, so the rounds end."""
-    done, first, now = [], True, docs
+    done, first = [], True
+    now = docs.select(packed(docs), F.col(text_col).cast("string").alias("text"))
     while True:
-        spans = F.array().cast("array<array<int>>")
-        for one in shared:
-            now = now.withColumn("_found", _scanner(one)(utf8(text_col)))
-            now = now.withColumn("_spans", F.concat(spans, F.col("_found.spans"))).withColumn("_words", F.col("_found.n_words"))
-            spans = F.col("_spans")
-        now = materialize(now.drop("_found").withColumn("_spans", F.sort_array("_spans")), "hits")
-        done.append(now.where("size(_spans) = 0").select(*docs.columns))
-        now = now.where("size(_spans) > 0")
+        now = materialize(with_contamination(now, items, "text", *how).select("_row", "text", "contamination.n_words", "contamination.spans"), "round")
+        done.append(now.where("size(spans) = 0").select("_row", "text"))
+        now = now.where("size(spans) > 0")
         if first:
-            now = now.where(hit_words("_spans") <= F.lit(max_coverage) * F.col("_words"))
+            now = now.where(hit_words("spans") <= F.lit(max_coverage) * F.col("n_words"))
         if now.isEmpty():
-            break
-        first, now = False, now.withColumn(text_col, _cut(utf8(text_col), "_spans").cast("string")).select(*docs.columns)
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+            return unpacked(reduce(DataFrame.unionByName, done), docs.columns, {text_col: F.col("text")})
+        first, now = False, now.select("_row", _cut(F.col("text").cast("binary"), "spans").cast("string").alias("text"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.tokens import packed, unpacked
 from quarry.scratch import materialize
 
 _BLOCKS = "p|div|br|li|ul|ol|nav|article|footer|header|h[1-6]|title|section|table|tr|td|th|body|head|html|main|aside|blockquote|pre"
@@ -41,15 +42,18 @@ def _worded(line: Column) -> Column:
     return F.regexp_like(line, F.lit(r"[^ \t\r\x0B\x0C]"))
 
 
+def _keys(lines: Column) -> Column:
+    return F.array_distinct(F.transform(F.filter(lines, _worded), _key))
+
+
 def boilerplate(rows: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
-    """(_host, drop): for each host with any, the digests of lines in at least ``min_pages`` of its pages and in more than
-    ``max_ratio`` of them. ``rows``: _host (null: no site) and _lines."""
-    sited = rows.where(F.col("_host").isNotNull()).select("_host", "_lines")
-    pages = sited.groupBy("_host").agg(F.count("*").alias("pages"))
-    keys = F.array_distinct(F.transform(F.filter("_lines", _worded), _key))
-    counts = sited.select("_host", F.explode(keys).alias("key")).groupBy("_host", "key").agg(F.count("*").alias("n"))
-    over = counts.where(F.col("n") >= min_pages).join(pages, "_host").where(F.col("n") > F.lit(max_ratio) * F.col("pages"))
-    return materialize(over.groupBy("_host").agg(F.collect_list("key").alias("drop")), "boilerplate")
+    """(host, gone): for each host with any, the digests of lines in at least ``min_pages`` of its pages and in more than
+    ``max_ratio`` of them. ``rows``: host (null: no site) and lines."""
+    sited = rows.where(F.col("host").isNotNull()).select("host", "lines")
+    pages = sited.groupBy("host").agg(F.count("*").alias("pages"))
+    counts = sited.select("host", F.explode(_keys(F.col("lines"))).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
+    over = counts.where(F.col("n") >= min_pages).join(pages, "host").where(F.col("n") > F.lit(max_ratio) * F.col("pages"))
+    return materialize(over.groupBy("host").agg(F.collect_list("key").alias("gone")), "boilerplate")
 
 
 def drop_boilerplate(
@@ -60,18 +64,20 @@ def drop_boilerplate(
     A line of a host goes when at least ``min_pages`` pages and more than ``max_ratio`` of the host's pages have it. Lines
     without a word never go. With ``whole_above``, a page that would lose more than this share of its characters keeps all
     lines: it is a copy of other pages, which is for document-level deduplication to settle. A null host is no site, its
-    pages stay whole; a null text has no lines (kept_lines null). Repeated rows count as pages of their own. An empty table
-    gives an empty result. Columns of the new names are replaced.
+    pages stay whole; a null text has no lines (kept_lines null). Repeated rows count as pages of their own. Pages of any
+    length are read whole. An empty table gives an empty result. Columns of the new names are replaced; others may have any name.
     """
     host = F.col(host) if isinstance(host, str) else host
-    rows = pages.withColumns({"_host": host, "_lines": lines})
-    out = rows.join(boilerplate(rows, max_ratio, min_pages), "_host", "left")
-    gone = F.filter("_lines", lambda x: _worded(x) & F.array_contains("drop", _key(x)))
-    out = out.withColumn("_gone", F.when(F.col("drop").isNotNull(), gone))
+    rows = pages.select(packed(pages), host.alias("host"), lines.alias("lines"))
+    out = rows.join(boilerplate(rows, max_ratio, min_pages), "host", "left")
+    # the intersection is made through a hash set, so a page meets its host's digests once and not once for every line
+    out = out.withColumn("own", F.when(F.col("gone").isNotNull(), F.array_intersect(_keys(F.col("lines")), "gone")))
+    out = out.withColumn("gone", F.when(F.size("own") > 0, F.filter("lines", lambda x: _worded(x) & F.array_contains("own", _key(x)))))
     if whole_above is not None:
         size = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + F.length(x))
-        out = out.withColumn("_gone", F.when(size("_gone") <= whole_above * size("_lines"), F.col("_gone")))
-    kept = F.when(F.coalesce(F.size("_gone"), F.lit(0)) > 0, F.filter("_lines", lambda x: ~F.array_contains("_gone", x))).otherwise(F.col("_lines"))
-    n_lines = F.coalesce(F.size(F.filter("_lines", _worded)), F.lit(0)).cast("long")
-    n_gone = F.when(F.coalesce(F.size("_gone"), F.lit(0)) > 0, F.size("_gone")).otherwise(0).cast("long")
-    return out.withColumns({"kept_lines": kept, "n_lines": n_lines, "n_dropped": n_gone}).drop("_host", "_lines", "_gone", "drop")
+        out = out.withColumn("gone", F.when(size("gone") <= whole_above * size("lines"), F.col("gone")))
+    some = F.coalesce(F.size("gone") > 0, F.lit(False))
+    kept = F.when(some, F.filter("lines", lambda x: ~F.array_contains("gone", x))).otherwise(F.col("lines"))
+    n_lines = F.coalesce(F.size(F.filter("lines", _worded)), F.lit(0)).cast("long")
+    n_gone = F.when(some, F.size("gone")).otherwise(0).cast("long")
+    return unpacked(out, pages.columns, {"kept_lines": kept, "n_lines": n_lines, "n_dropped": n_gone})

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.graph import components
-from quarry.llm.tokens import lower_blank_words, small_batches, utf8
+from quarry.llm.tokens import lower_blank_words, packed, small_batches, unpacked, utf8
 from quarry.scratch import materialize
 
 WORDS = 3
@@ -97,6 +97,16 @@ def links(fps: DataFrame, crowded: int = 256) -> DataFrame:
     return pairs.unionByName(dense).distinct()
 
 
+def _classes(rows: DataFrame) -> DataFrame:
+    """(fp, component, component_id) of every fingerprint in ``rows`` (_id, fp); a component is named by its lowest fingerprint."""
+    classes = materialize(rows.groupBy("fp").agg(F.min("_id").alias("low")), "classes")
+    joined = components(links(classes.select("fp")))
+    placed = classes.join(joined, classes["fp"] == joined["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+    placed = materialize(placed, "placed")
+    lowest = placed.groupBy("component").agg(F.min("low").alias("component_id"))
+    return materialize(placed.join(lowest, "component").select("fp", "component", "component_id"), "lowest")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: (id, fingerprint, component_id, fingerprint_bits).
 
@@ -107,17 +117,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = with_fingerprint(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", "fp")
     rows = materialize(rows.select("_id", "fp"), "fingerprints")
-    classes = materialize(rows.groupBy("fp").agg(F.min("_id").alias("low")), "classes")
-    joined = components(links(classes.select("fp")))
-    placed = materialize(
-        classes.join(joined, classes["fp"] == joined["node"], "left").select(
-            "fp", "low", F.coalesce("component", "fp").alias("component")
-        ),
-        "placed",
-    )
-    lowest = placed.groupBy("component").agg(F.min("low").alias("component_id"))
-    classes = materialize(placed.join(lowest, "component").select("fp", "component_id"), "lowest")
-    return rows.join(classes, "fp").select(
+    return rows.join(_classes(rows).drop("component"), "fp").select(
         F.col("_id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
@@ -126,12 +126,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of ``docs`` that stay when one of each near-duplicate component is kept: the row with the smallest id.
+    """The documents of ``docs`` that stay when one of each near-duplicate component is kept: the row with the smallest id,
+    of several such rows the one with the lowest fingerprint and then the lowest text.
 
-    All columns of ``docs`` are returned as they were. Among rows repeating that id with the same fingerprint one stays.
-    Rows with a null id cannot be named by a component and stay as they are.
+    All columns of ``docs`` are returned as they were, whatever their names. Rows that repeat an id with texts of different
+    components lose none of these texts. Rows with a null id cannot be named by a component and stay as they are. Null and
+    empty texts are copies of each other; an empty table gives an empty result.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    winners = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_id")).distinct()
-    named = docs.join(winners, docs[id_col] == winners["_id"], "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    small_batches(docs.sparkSession)
+    rows = docs.select(packed(docs), F.col(id_col).alias("_id"), _fingerprints(utf8(text_col)).alias("fp"), F.col(text_col).alias("_text"))
+    rows = materialize(rows, "fingerprints")
+    named = rows.where("_id IS NOT NULL")
+    classes = _classes(named.select("_id", "fp"))
+    first = named.select("_id", "fp").join(classes, "fp").where("_id = component_id")
+    winners = materialize(first.groupBy("component").agg(F.min("_id").alias("_id"), F.min("fp").alias("fp")).drop("component"), "winners")
+    best = named.join(winners, ["_id", "fp"], "left_semi").groupBy("_id", "fp").agg(F.min_by("_row", "_text").alias("a"), F.any_value("_row").alias("b"))
+    kept = best.select(F.coalesce("a", "b").alias("_row")).unionByName(rows.where("_id IS NULL").select("_row"))
+    return unpacked(kept, docs.columns, {})

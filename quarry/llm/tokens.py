@@ -41,4 +41,5 @@ def packed(df: DataFrame) -> Column:
 
 def unpacked(df: DataFrame, columns: list[str], new: dict[str, Column]) -> DataFrame:
     """The columns in ``_row`` again, with those of ``new`` in place or added."""
-    return df.select(*[new[c].alias(c) if c in new else F.col(f"_row.`{c}`").alias(c) for c in columns], *[x.alias(c) for c, x in new.items() if c not in columns])
+    made = df.select("_row", F.struct(F.lit(0).alias("0"), *[x.alias(c) for c, x in new.items()]).alias("_new"))
+    return made.select(*[F.col(f"_new.`{c}`" if c in new else f"_row.`{c}`").alias(c) for c in [*columns, *[c for c in new if c not in columns]]])

@@ -103,6 +103,15 @@ def test_blocks_of_items_decide_like_one(spark):
         [(1, " ".join(items) + " x" * 60, "spread"), (2, items[0] + " mid " + items[5] + " y" * 60, "cut"), (3, nested + " z" * 400, "nested"), (4, None, "n"), (5, " ".join(items[:2]) + " x" * 20, "two")],
         "doc_id long, text string, source string",
     )
-    got = [{(r.doc_id, r.text, r.source) for r in dc.decontaminate(docs, table, block_bytes=size).collect()} for size in (1 << 20, 60)]
-    assert got[0] == got[1] and {r[0] for r in got[1]} == {2, 3, 4}
+    got = [{(r.doc_id, r.text, r.source) for r in dc.decontaminate(docs, table, block_bytes=size).collect()} for size in (1 << 20, 250, 60)]
+    assert got[0] == got[1] == got[2] and {r[0] for r in got[1]} == {2, 3, 4}
     assert all("7" not in (r[1] or "") for r in got[1])
+
+
+def test_any_column_names(spark):
+    docs, items = tables(spark)
+    named = docs.selectExpr("doc_id", "text", "contamination AS spans", "'c' AS cut", "'k' AS n", "'r' AS _row")
+    for block in (20, 1 << 20):
+        got = dc.decontaminate(named, items, block_bytes=block)
+        assert got.columns == named.columns
+        assert {(r.cut, r.n, r._row) for r in got.collect()} == {("c", "k", "r")} and got.count() == 8

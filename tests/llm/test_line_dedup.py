@@ -26,12 +26,12 @@ def test_equals_brute_force(spark):
     rng = random.Random(5)
     lines = [" a", "a", "b\t", "c", "", " ", "d e", "é", "f"]
     rows = [(rng.choice(["x", "x", "x", "y", None]), rng.choice([None, "", *["\n".join(rng.choices(lines, k=rng.randrange(1, 5))) for _ in range(9)]])) for _ in range(150)]
-    table = spark.createDataFrame([(i, h, t, "drop") for i, (h, t) in enumerate(rows)], "i int, host string, text string, drop string").drop("drop")
+    table = spark.createDataFrame([(i, h, t, "drop") for i, (h, t) in enumerate(rows)], "i int, host string, text string, drop string")
     for ratio, least in ((0.2, 3), (0.5, 1), (0.0, 40)):
         got = ld.drop_boilerplate(table, "host", ld.text_lines("text"), ratio, least)
         want = slow(rows, ratio, least)
         for r in got.collect():
-            assert r.kept_lines == want[r.i]
+            assert r.kept_lines == want[r.i] and r.drop == "drop"
             assert r.n_dropped == (0 if r.text is None else len(r.text.split("\n")) - len(want[r.i]))
 
 
@@ -54,3 +54,11 @@ def test_visible_lines(spark):
     row = spark.createDataFrame([(html,)], "h string").select(ld.visible_lines("h")).first()
     assert row[0] == ["T & t", "one two three", "fourfive"]
     assert spark.range(1).select(ld.visible_lines(F.lit(None).cast("string"))).first()[0] is None
+
+
+def test_any_column_names(spark):
+    rows = [("h", f"same line\nown {i}", "g", "l", "r", "k") for i in range(6)]
+    table = spark.createDataFrame(rows, "host string, text string, gone string, lines string, _row string, kept_lines string")
+    got = ld.drop_boilerplate(table, "host", ld.text_lines("text"))
+    assert got.columns == [*table.columns, "n_lines", "n_dropped"]
+    assert all((r.host, r.gone, r.lines, r._row, r.n_dropped) == ("h", "g", "l", "r", 1) for r in got.collect())

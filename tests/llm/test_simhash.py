@@ -75,3 +75,12 @@ def test_corner_cases(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, r.component_id) for r in kept.collect()) == [(0, "n"), (1, "long"), (2, "one"), (3, "y"), (5, "z")]
     assert simhash.near_duplicates(docs.where(F.lit(False))).count() == 0
+
+
+def test_texts_under_repeated_ids_are_not_lost(spark):
+    a, b = "one text about apples and pears in the garden", "quite another story of ships and winds on seas"
+    rows = [(1, a, "k1", 1), (1, b, "k2", 2), (2, b, "k3", 3), (1, a, "k1", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string, _id int")
+    kept = simhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, a), (1, b)])
