@@ -1,9 +1,10 @@
 """Personal data: base patterns, then bootstrapped contextual extraction, in DataFrame functions only.
 
 The base patterns find e-mail addresses, IP addresses, card numbers and phone numbers with their code point offsets. They
-are the seeds. The words around a seed are lexical patterns; other tokens with digits in the same contexts are candidates.
-Patterns and values form a bipartite graph that is scored in turns: a pattern is as good as the mean score of its values, a
-value as good as its good patterns make it. Patterns that end up with high confidence label their candidates.
+and key-like strings (long, of letters and digits) are the seeds. The words around a trusted value are lexical patterns;
+other tokens with digits in the same contexts are candidates. Patterns and values form a bipartite graph that is scored in
+rounds: a pattern by the trusted among its values and by how far the others agree in shape, a value by its good patterns.
+Values that reach the confidence are trusted from the next round on and induce patterns of their own, until none is new.
 
 Texts stay where they are: what leaves a row are its found spans with a few words of context.
 """
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.scratch import forget, materialize
+from quarry.scratch import materialize
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: kind -> expression. Runs are possessive and start only where a run starts or the last match ended, so that each text is
@@ -28,7 +29,6 @@ _BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9][0-9]|[0-9])?"
 _SPACE = r"\x20\x09-\x0D"
 #: A base match or else a blank-separated token with a digit.
 _ANY = "|".join([*(f"(?:{p})" for p in (BASE["email"], BASE["ip"], BASE["phone"], BASE["card"])), rf"(?:(?<![^{_SPACE}])[^{_SPACE}0-9]*+[0-9][^{_SPACE}]*+)"])
-CONTEXT = 64
 KINDS = ["email", "ip", "card", "phone", "learned"]
 
 
@@ -75,9 +75,14 @@ def _running(steps: Column) -> Column:
     return F.flatten(F.transform(F.arrays_zip(pieces.alias("p"), F.slice(starts, 1, F.size(pieces)).alias("s")), lambda z: sums(z["p"], z["s"])))
 
 
+def _plain(piece: Column) -> Column:
+    """Words with one blank between them."""
+    return F.trim(F.regexp_replace(piece, rf"[{_SPACE}]+", " "))
+
+
 def _spans(text: Column, expression: str, needs: Column) -> Column:
-    """Array of (start, end, value, left, right) of the matches, left to right, with the text on both sides up to the
-    neighbouring match; empty where ``needs`` is not true."""
+    """Array of (start, end, value, left, right) of the matches, left to right, with the last two words before and the first
+    word after, up to the neighbouring matches; empty where ``needs`` is not true."""
     pieces, found = F.split(text, expression, -1), F.regexp_extract_all(text, F.lit(f"({expression})"), F.lit(1))
     parts = F.struct(pieces.alias("pieces"), found.alias("found"))
 
@@ -90,8 +95,8 @@ def _spans(text: Column, expression: str, needs: Column) -> Column:
                 z["start"].alias("start"),
                 (z["start"] + F.length(z["value"])).alias("end"),
                 z["value"].alias("value"),
-                F.right(F.element_at(p["pieces"], z["k"]), F.lit(CONTEXT)).alias("left"),
-                F.left(F.element_at(p["pieces"], z["k"] + 1), F.lit(CONTEXT)).alias("right"),
+                F.substring_index(_plain(F.element_at(p["pieces"], z["k"])), " ", -2).alias("left"),
+                F.substring_index(_plain(F.element_at(p["pieces"], z["k"] + 1)), " ", 1).alias("right"),
             ),
         )
 
@@ -113,66 +118,90 @@ def base_spans(text: str | Column) -> dict[str, Column]:
 
 
 def _candidates(text: str | Column) -> Column:
-    """Tokens with at least ``5`` digits or letters and digits mixed that hold no valid base match."""
+    """Tokens with at least five digits, or with letters and digits mixed, that hold no valid base match: (start, end, value,
+    left, right, key), without what stands around their letters and digits; ``key``: at least 20 characters of a key's
+    alphabet with five letters and five digits."""
     text = F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))
     found = _spans(text, _ANY, F.regexp_like(text, F.lit("[0-9]")))
     base = lambda v: F.regexp_like(v, F.lit(BASE["email"])) | F.regexp_like(v, F.lit(BASE["ip"])) | _valid("card", v) | F.regexp_like(v, F.lit(r"\+[0-9]"))
-    bare = lambda v: F.regexp_replace(v, r"[^\p{L}\p{N}]+$", "")
-    cut = F.transform(found, lambda z: F.struct(z["start"].alias("start"), (z["start"] + F.length(bare(z["value"]))).alias("end"), bare(z["value"]).alias("value"), z["left"].alias("left"), z["right"].alias("right")))
-    return F.filter(cut, lambda z: (F.length(_digits(z["value"])) >= 5) & ~base(z["value"]))
+    lead = lambda v: F.length(F.regexp_extract(v, r"^[^\p{L}\p{N}]+", 0))
+    bare = lambda v: F.regexp_replace(v, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    key = lambda v: F.regexp_like(v, F.lit(r"^(?=(?:[^0-9]*[0-9]){5})(?=(?:[^A-Za-z]*[A-Za-z]){5})[A-Za-z0-9_+/=-]{20,}$"))
+    cut = F.transform(
+        found,
+        lambda z: F.struct(
+            (z["start"] + lead(z["value"])).alias("start"),
+            (z["start"] + lead(z["value"]) + F.length(bare(z["value"]))).alias("end"),
+            bare(z["value"]).alias("value"),
+            z["left"].alias("left"),
+            z["right"].alias("right"),
+            key(bare(z["value"])).alias("key"),
+        ),
+    )
+    return F.filter(cut, lambda z: ((F.length(_digits(z["value"])) >= 5) | F.regexp_like(z["value"], F.lit(r"\p{L}"))) & ~base(z["value"]))
 
 
-def _patterns(occurrence: str) -> Column:
+def _patterns(left: str, right: str) -> Column:
     """Lexical patterns of an occurrence: the two words before it, and the words on either side."""
-    left = F.split(F.lower(F.trim(F.regexp_replace(f"{occurrence}.left", rf"[{_SPACE}]+", " "))), " ")
-    right = F.split(F.lower(F.trim(F.regexp_replace(f"{occurrence}.right", rf"[{_SPACE}]+", " "))), " ")
-    w1, w2, r1 = F.element_at(left, -1), F.try_element_at(left, F.lit(-2)), F.element_at(right, 1)
-    two = F.when((w1 != "") & (F.coalesce(w2, F.lit("")) != ""), F.concat(F.lit("L "), w2, F.lit(" "), w1))
-    around = F.when((w1 != "") & (r1 != ""), F.concat(F.lit("C "), w1, F.lit(" _ "), r1))
+    left, r1 = F.lower(left), F.lower(right)
+    two = F.when(F.contains(left, F.lit(" ")), F.concat(F.lit("L "), left))
+    around = F.when((left != "") & (r1 != ""), F.concat(F.lit("C "), F.substring_index(left, " ", -1), F.lit(" _ "), r1))
     return F.array_compact(F.array(two, around))
 
 
-def learn_patterns(rows: DataFrame, rounds: int = 3, support: int = 3, confidence: float = 0.8) -> DataFrame:
-    """High-confidence patterns (pattern, conf) from ``rows`` with the arrays ``seeds`` and ``candidates``.
+def _shape(value: Column) -> Column:
+    """Runs of letters and of digits shortened to one sign each."""
+    return F.regexp_replace(F.regexp_replace(value, r"\p{L}+", "a"), r"\p{N}+", "9")
+
+
+def learn(rows: DataFrame, rounds: int = 5, support: int = 3, confidence: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """(patterns: pattern, conf; values: value) of high confidence from ``rows`` with the arrays ``seeds`` and ``candidates``.
 
-    Only patterns of at least ``support`` different seed values take part. In each round a pattern's confidence is the mean
-    score of its different values (seeds 1, others what the last round gave them, at first 0), and a value's score is one
-    minus the product of (1 - confidence) over its patterns of at least ``confidence``.
+    Trusted at first are the seeds and the key-like candidates. In each round a pattern with at least ``support`` different
+    trusted values gets as confidence the mean over its different values of 1 for a trusted one and, for another, the share
+    of the pattern's values that have its shape. A value's score is one minus the product of (1 - confidence) over its
+    patterns of at least ``confidence``; values that reach ``confidence`` are trusted in the next round. The values are the
+    trusted ones in the end; seeds of the base patterns are among them.
     """
-    seeds = rows.select(F.explode("seeds").alias("o")).select(F.explode(_patterns("o")).alias("pattern"), F.col("o.value").alias("value"), F.lit(1).alias("seed"))
-    wanted = materialize(seeds.distinct().groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("pattern"), "patterns")
-    others = rows.select(F.explode("candidates").alias("o")).select(F.explode(_patterns("o")).alias("pattern"), F.col("o.value").alias("value"), F.lit(0).alias("seed"))
-    edges = seeds.unionByName(others).join(wanted, "pattern").groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
-    edges = materialize(edges, "edges")
-    scores = materialize(edges.select("value", F.col("seed").cast("double").alias("score")).groupBy("value").agg(F.max("score").alias("score")), "scores")
-    for turn in range(rounds):
-        rated = edges.join(scores, "value").groupBy("pattern").agg(F.avg("score").alias("conf"))
-        rated = materialize(rated, "rated")
-        if turn + 1 < rounds:
-            good = edges.join(rated.where(F.col("conf") >= confidence), "pattern")
-            raised = good.groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-9)))))).alias("up"))
-            after = scores.join(raised, "value", "left").select("value", F.greatest("score", F.coalesce("up", F.lit(0.0))).alias("score"))
-            before, scores = scores, materialize(after, "scores")
-            forget(before)
-    return rated.where(F.col("conf") >= confidence)
-
-
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, support: int = 3, confidence: float = 0.8) -> DataFrame:
+    parts = [rows.select(F.explode(c).alias("o")).select("o.value", "o.left", "o.right", seed.alias("seed")) for c, seed in (("seeds", F.lit(True)), ("candidates", F.col("o.key")))]
+    every = parts[0].unionByName(parts[1]).select("value", "seed", F.explode_outer(_patterns("left", "right")).alias("pattern"))
+    edges = materialize(every.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "edges")
+    trusted = materialize(edges.where("seed").select("value").distinct(), "trusted")
+    edges = edges.where("pattern IS NOT NULL").select("pattern", "value")
+    patterns = edges.sparkSession.createDataFrame([], "pattern string, conf double")
+    for _ in range(rounds):
+        wanted = edges.join(trusted, "value", "left_semi").groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+        held = edges.join(wanted.select("pattern"), "pattern", "left_semi").join(trusted.withColumn("sure", F.lit(1)), "value", "left")
+        held = materialize(held.select("pattern", "value", F.coalesce("sure", F.lit(0)).alias("sure")), "held")
+        alike = held.groupBy("pattern", _shape(F.col("value")).alias("shape")).agg(F.count("*").alias("n"), F.sum("sure").alias("t"))
+        summed = alike.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum((F.col("n") - F.col("t")) * F.col("n")).alias("u"))
+        conf = F.col("t") / F.col("n") + F.col("u") / F.col("n") / F.col("n")
+        patterns = materialize(summed.select("pattern", conf.alias("conf")).where(F.col("conf") >= confidence), "patterns")
+        raised = held.where("sure = 0").join(patterns, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-9)))))).alias("score"))
+        new = materialize(raised.where(F.col("score") >= confidence).select("value"), "new")
+        if new.isEmpty():
+            break
+        trusted = materialize(trusted.unionByName(new), "trusted")
+    return patterns, trusted
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 5, support: int = 3, confidence: float = 0.7) -> DataFrame:
     """One row per input row: the id, and for each of KINDS an array of (start, end) in code points, ascending; ``learned``
     are the spans the method adds.
 
     Base matches are leftmost and do not overlap within a kind; those failing their test (IP parts, Luhn, digit counts) are
-    dropped. A learned span touches no e-mail, IP, card or phone match. Null and empty texts have no spans; null and
-    repeated ids keep their rows; an empty table gives an empty result; other columns are not read.
+    dropped. Learned are all places of trusted values (see ``learn``); such a span touches no e-mail, IP, card or phone
+    match. Null and empty texts have no spans; texts of any length are read whole; null and repeated ids keep their rows; an
+    empty table gives an empty result; other columns are not read.
     """
     kinds = base_spans("_text")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumns(kinds)
     spans = {k: F.transform(k, lambda z: F.struct(z["start"].alias("start"), z["end"].alias("end"))).alias(k) for k in BASE}
     held = rows.select(F.monotonically_increasing_id().alias("row"), "_id", *spans.values(), F.concat(*BASE).alias("seeds"), _candidates("_text").alias("candidates"))
     held = materialize(held, "spans")
-    patterns = learn_patterns(held, rounds, support, confidence)
-    tried = held.select("row", F.explode("candidates").alias("o")).select("row", F.col("o.start").alias("start"), F.col("o.end").alias("end"), F.explode(_patterns("o")).alias("pattern"))
-    learned = tried.join(patterns, "pattern").groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("learned"))
+    _, trusted = learn(held, rounds, support, confidence)
+    tried = held.select("row", F.explode("candidates").alias("o")).select("row", "o.start", "o.end", "o.value")
+    learned = tried.join(trusted, "value", "left_semi").groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("learned"))
     empty = F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, end: INT>>)")
     return held.join(learned, "row", "left").select(F.col("_id").alias(id_col), *BASE, F.coalesce("learned", empty).alias("learned"))
 

@@ -54,11 +54,11 @@ class BlockMaxIndex:
         self.place = np.argsort(self.order)
         docs = np.repeat(self.place, [len(t) for t, _ in vectors]) if vectors else _NONE
         by = np.lexsort((docs, terms))
-        self.docs, self.weights = docs[by].astype(np.int32), weights[by]
+        self.docs, self.weights = docs[by], weights[by]
         pair = terms[by] * max(1, self.blocks) + self.docs // BLOCK
         first = np.flatnonzero(np.diff(pair, prepend=-1))
         self.first = np.append(first, len(pair))  # postings of each (term, block)
-        self.block = (self.docs[first] // BLOCK).astype(np.int32)
+        self.block = self.docs[first] // BLOCK
         self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
         self.start = np.searchsorted(terms[by][first], np.arange(n_terms + 1))  # (term, block) entries of each term
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from quarry.llm import pii
+from quarry.llm.queries import op10_pii as pii_query
 
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -57,42 +59,81 @@ def contexts(left, right):
     return [p for p in ("L " + " ".join(before[-2:]) if len(before) > 1 else None, f"C {before[-1]} _ {after[0]}" if before and after else None) if p]
 
 
-def slow_learn(texts, rounds=3, support=3, confidence=0.8):
-    """For texts of blank-separated words with one identifier each."""
-    edges = defaultdict(dict)
+KEY = re.compile(r"(?=(?:[^0-9]*[0-9]){5})(?=(?:[^A-Za-z]*[A-Za-z]){5})[A-Za-z0-9_+/=-]{20,}")
+
+
+def slow_learn(texts, rounds=5, support=3, confidence=0.7):
+    """(patterns, trusted values) for texts of blank-separated words."""
+    edges, trusted = defaultdict(set), set()
     for text in texts:
         for m in re.finditer(r"\S*[0-9]\S*", text):
             seed = any(a <= m.start() < b for spans in slow(text).values() for a, b in spans)
+            value = m.group() if seed else re.sub(r"^[^a-zA-Z0-9]+|[^a-zA-Z0-9]+$", "", m.group())
+            if seed or KEY.fullmatch(value):
+                trusted.add(value)
+            elif not (re.search("[A-Za-z]", value) or len(re.findall("[0-9]", value)) >= 5):
+                continue
             for p in contexts(text[: m.start()], text[m.end() :]):
-                edges[p][m.group()] = max(edges[p].get(m.group(), 0), seed)
-    edges = {p: v for p, v in edges.items() if sum(v.values()) >= support}
-    score = {v: float(s) for vs in edges.values() for v, s in vs.items()}
-    for v in score:
-        score[v] = max(float(vs[v]) for vs in edges.values() if v in vs)
-    for turn in range(rounds):
-        conf = {p: sum(score[v] for v in vs) / len(vs) for p, vs in edges.items()}
-        if turn + 1 < rounds:
-            new = dict(score)
-            for v in score:
-                rest = 1.0
-                for p, vs in edges.items():
-                    if v in vs and conf[p] >= confidence:
-                        rest *= 1 - conf[p]
-                new[v] = max(score[v], 1 - rest)
-            score = new
-    return {p for p, c in conf.items() if c >= confidence}
+                edges[p].add(value)
+    shape = lambda v: re.sub("[0-9]+", "9", re.sub("[A-Za-z]+", "a", v))
+    for _ in range(rounds):
+        conf = {}
+        for p, vs in edges.items():
+            if len(vs & trusted) >= support:
+                alike = Counter(map(shape, vs))
+                conf[p] = sum(1 if v in trusted else alike[shape(v)] / len(vs) for v in vs) / len(vs)
+        good = {p: c for p, c in conf.items() if c >= confidence}
+        new = {v for p in good for v in edges[p]} - trusted
+        new = {v for v in new if 1 - math.prod(1 - c for p, c in good.items() if v in edges[p]) >= confidence}
+        if not new:
+            break
+        trusted |= new
+    return set(good), trusted
 
 
 def test_patterns_bootstrap_unseen_identifiers(spark):
     texts = [f"please write to u{i}@mail.com today friend" for i in range(9)]
     texts += ["please write to XK-993817 today friend", "the code was ZZ-112233 nothing more"]
-    texts += [f"my contact is u{i}@mail.com or so" for i in range(4)] + ["my contact is XK-993817 or so", "my contact is QQ-556677 or so"]
+    texts += [f"my contact is u{i}@mail.com or so" for i in range(4)] + ["my contact is XK-993817 or so", "my contact is (QQ-556677) or so"]
+    texts += [f"his badge shows {a}-{n} of us" for a, n in (("QQ", 556677), ("XK", 993817))] + ["his badge shows AB-1 of us", "his badge shows QR-77 of us"]
+    texts += [f"my name is X{i}Y or not" for i in range(3)] + ["my contact is u9@mail.com or so"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    good = slow_learn(texts)
-    assert "C to _ today" in good and "C is _ or" in good  # the second only once XK-993817 counts
-    assert {r.pattern for r in pii.learn_patterns(docs.select(pii_seeds(), pii._candidates("text").alias("candidates"))).collect()} == good
+    good, trusted = slow_learn(texts)
+    assert {"C to _ today", "C is _ or"} <= good and "QQ-556677" in trusted and "ZZ-112233" not in trusted
+    patterns, values = pii.learn(docs.select(pii_seeds(), pii._candidates("text").alias("candidates")))
+    assert {r.pattern for r in patterns.collect()} == good and {r.value for r in values.collect()} == trusted
     learned = {i: [texts[i][a:b] for a, b in found["learned"]] for i, found in got(pii.find(docs)) if found["learned"]}
-    assert learned == {9: ["XK-993817"], 15: ["XK-993817"], 16: ["QQ-556677"]}
+    assert learned[9] == ["XK-993817"] and learned[15] == ["XK-993817"] and learned[16] == ["QQ-556677"] and 10 not in learned
+
+
+def test_new_identifiers_induce_patterns_of_their_own(spark):
+    """Badge numbers stand beside mail addresses in one context; what they teach finds others in a context without any seed."""
+    texts = [f"please contact u{i}@mail.com for help" for i in range(6)] + [f"please contact BD-{i}44 for help" for i in range(6)]
+    texts += [f"holder of badge BD-{i}44 entered today" for i in range(4)] + [f"holder of badge BD-{i}91 entered today" for i in range(8)]
+    texts += ["version of file v1.2 came today"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    learned = {i: [texts[i][a:b] for a, b in found["learned"]] for i, found in got(pii.find(docs))}
+    wanted = {i: [re.search(r"BD-[0-9]+", t).group()] for i, t in enumerate(texts) if "BD-" in t}
+    assert {i: v for i, v in learned.items() if v} == wanted
+
+
+def test_keys_and_long_context_words(spark):
+    rng, word = random.Random(1), "w" * 300
+    keys = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(5)]
+    texts = [f'x {word}{i % 2} api token = "{k}" end' for i, k in enumerate(keys)] + ['an api token = "abc-55-short" end', "see page 12345 of it"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    learned = {i: [texts[i][a:b] for a, b in found["learned"]] for i, found in got(pii.find(docs))}
+    assert [learned[i] for i in range(7)] == [*[[k] for k in keys], ["abc-55-short"], []]
+
+
+def test_whole_query_equals_the_plain_version(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for r in pii_query(spark, sf).collect():
+        assert len(r.base_sha256) == 64
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for i, found in got(pii.find(docs)):
+        keys = {(m.start() + g.start(), m.start() + g.end()) for m in re.finditer(r"\S*[0-9]\S*", texts[i]) for g in [re.search(r"[^\W_].*[^\W_]|[^\W_]", m.group())] if g and KEY.fullmatch(g.group())}
+        assert keys <= set(found["learned"])
 
 
 def pii_seeds():
