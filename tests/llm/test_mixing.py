@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import defaultdict
 
 import pytest
@@ -67,5 +68,25 @@ def test_corner_cases(spark):
     assert mixing.mix(docs.limit(0), {"s": 2}).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(docs, {"s": 0})
-    with pytest.raises(ValueError):
-        mixing.mix(docs, {}, max_sources=1)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_simulation_equals_slot_by_slot_model(seed):
+    rng = random.Random(seed)
+    names = [f"s{i:02}" for i in range(rng.randrange(1, 9))]
+    weights = {s: rng.randrange(1, 6) for s in names}
+    sizes = {s: rng.randrange(1, rng.choice([3, 30])) for s in names}
+    got = {}
+    for s, phase, start, total, first, took, weight, slots in mixing.simulate(names, [weights[s] for s in names], [sizes[s] for s in names]):
+        for b in range(took):
+            got[start + b // weight * total + slots[b % weight]] = (phase, s, first + b)
+    assert [got[k] for k in range(len(got))] == slow(sizes, weights, 1)
+
+
+def test_both_ways_make_the_same_mix_and_no_number_of_sources_is_refused(spark):
+    docs = spark.createDataFrame([(i, f"s{i * i % 23}", "p", "w") for i in range(400)], "doc_id int, source string, phases string, _source string")
+    one, two = (sorted(map(tuple, mixing.mix(docs, {"s1": 4, "s3": 3}, block=2, text_col=None, max_sources=m).collect())) for m in (500, 5))
+    assert one == two and len(one) == 400 and {r[2:4] for r in one} == {("p", "w")}
+    many = spark.createDataFrame([(i, f"s{i % 700}") for i in range(1500)], "doc_id int, source string")
+    got = mixing.mix(many, {"s5": 40}, block=1, text_col=None).collect()
+    assert sorted(r.position for r in got) == list(range(1500))
