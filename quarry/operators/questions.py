@@ -116,16 +116,19 @@ def filters_of(queries: DataFrame, mode: str = "hard_only") -> DataFrame:
     return queries.withColumns({f: F.when(use(name), F.col(c)) for f, (name, c) in source.items()})
 
 
-def filter_chunks(chunks: DataFrame, queries: DataFrame, most_queries: int = 20_000) -> DataFrame:
-    """Pairs of a question and a chunk that passes its filters; a null never passes.
-
-    The predicate is no equality, so every chunk meets every question; the questions are broadcast in blocks of at most
-    ``most_queries``. Constant filters (is_parent and the like) belong on ``chunks`` beforehand. ``chunks`` must not have
-    columns that start with ``f_`` or a ``qid``."""
-    cols = ["qid", "f_stage", "f_gas_agent", "f_targets", "f_T", "f_P", "f_coal_name"]
-    asked = queries.select(*cols)
-    n = asked.count()
-    blocks = max(1, -(-n // most_queries))
+#: Chunk columns that the filters read, and the question's filter columns.
+FILTERED = ("stage", "gas_agent", "targets", "T_K", "T_min_K", "T_max_K", "P_MPa", "P_min_MPa", "P_max_MPa", "coal_name")
+FILTERS = ("f_stage", "f_gas_agent", "f_targets", "f_T", "f_P", "f_coal_name")
+
+
+def filter_columns(queries: DataFrame, chunks: DataFrame) -> tuple[list[str], list[str]]:
+    """(filter columns of the questions, chunk columns they read). Beside the named filters every other column ``f_x`` of the
+    questions (f_document_id, f_chunk_level, f_tenant_id and the like) asks for equality with a chunk column x."""
+    plain = [c for c in queries.columns if c.startswith("f_") and c not in FILTERS and c[2:] in chunks.columns]
+    return [*FILTERS, *plain], [*FILTERED, *[c[2:] for c in plain]]
+
+
+def _passes(filters: list[str]) -> Column:
     f = F.col
     ok = (
         (f("f_stage").isNull() | (f("stage") == f("f_stage")))
@@ -135,16 +138,56 @@ def filter_chunks(chunks: DataFrame, queries: DataFrame, most_queries: int = 20_
         & (f("f_P").isNull() | _within(f("P_MPa"), f("P_min_MPa"), f("P_max_MPa"), f("f_P.lo"), f("f_P.hi")))
         & (f("f_coal_name").isNull() | F.coalesce(f("coal_name") == f("f_coal_name"), F.lit(False)))
     )
-    parts = [asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) for b in range(blocks)]
+    for c in filters:
+        if c not in FILTERS:
+            ok = ok & (f(c).isNull() | F.coalesce(f(c[2:]) == f(c), F.lit(False)))
+    return ok
+
+
+def filter_chunks(chunks: DataFrame, queries: DataFrame, most_queries: int = 20_000) -> DataFrame:
+    """Pairs of a question and a chunk that passes its filters; a null never passes. A join with a predicate that is no
+    equality, for candidate tables that are small already; the searches use ``passing_groups``.
+
+    The questions are broadcast in blocks of at most ``most_queries``. ``chunks`` must not have columns that start with
+    ``f_`` or a ``qid``."""
+    filters, _ = filter_columns(queries, chunks)
+    asked = queries.select("qid", *filters)
+    blocks = max(1, -(-asked.count() // most_queries))
     out = None
-    for part in parts:
-        pairs = chunks.join(F.broadcast(part), ok).drop(*cols[1:])
+    for b in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+        pairs = chunks.join(F.broadcast(part), _passes(filters)).drop(*filters)
         out = pairs if out is None else out.unionByName(pairs)
     return out
 
 
-def relax_filters(queries: DataFrame, parents: DataFrame, children: DataFrame, drop: tuple[str, ...] = ("f_T", "f_P")) -> DataFrame:
-    """The questions that found no parents or no children, with the filters ``drop`` lifted and ``two_stage_fallback`` true.
-    The search for them runs again without the restriction to parents."""
+def filter_group(chunks: DataFrame, read: list[str]) -> Column:
+    """Text that is equal for chunks which every filter treats alike."""
+    return F.to_json(F.struct(*[F.col(c) for c in read]))
+
+
+def passing_groups(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(group, qid): which groups of chunks with equal filtered columns pass a question's filters. Chunks are grouped and
+    questions with equal filters are taken once, so the predicate meets groups and different filters, not chunks."""
+    filters, read = filter_columns(queries, chunks)
+    groups = chunks.groupBy(filter_group(chunks, read).alias("group")).agg(F.first(F.struct(*read)).alias("m")).select("group", "m.*")
+    same = F.to_json(F.struct(*filters))
+    distinct = queries.groupBy(same.alias("qid")).agg(F.first(F.struct(*filters)).alias("f")).select("qid", "f.*")
+    found = filter_chunks(groups, distinct).select("group", F.col("qid").alias("same"))
+    return found.join(queries.select("qid", same.alias("same")), "same").select("group", "qid")
+
+
+#: The fields that the usual relaxation lifts, and their filter columns here.
+RELAXED = (("T_range_K", "P_range_MPa"),)
+_FILTER_OF = {"T_range_K": "f_T", "P_range_MPa": "f_P"}
+
+
+def relax_filters(queries: DataFrame, parents: DataFrame, children: DataFrame, rules: tuple[tuple[str, ...], ...] = RELAXED, max_steps: int = 2) -> DataFrame:
+    """The questions that found no parents or no children, with the fields of the first ``max_steps`` of the ordered ``rules``
+    lifted, ``two_stage_fallback`` true and ``relax_steps``, the number of rules used. The search for them runs again without
+    the restriction to parents. Unknown fields are passed over."""
     served = parents.select("qid").distinct().join(children.select("qid").distinct(), "qid")
-    return queries.join(served, "qid", "left_anti").withColumns({c: F.lit(None).cast(queries.schema[c].dataType) for c in drop} | {"two_stage_fallback": F.lit(True)})
+    used = rules[:max_steps]
+    lifted = {_FILTER_OF.get(f, f"f_{f}") for rule in used for f in rule} & set(queries.columns)
+    out = queries.join(served, "qid", "left_anti")
+    return out.withColumns({c: F.lit(None).cast(queries.schema[c].dataType) for c in sorted(lifted)} | {"two_stage_fallback": F.lit(True), "relax_steps": F.lit(len(used))})

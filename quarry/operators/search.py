@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import tokenize
 from quarry.operators.layout import is_reference_like
-from quarry.operators.questions import filter_chunks, filters_of, parse_queries, range_overlap, relax_filters, rewrite_queries
+from quarry.operators.questions import RELAXED, _passes, filter_columns, filter_group, filters_of, parse_queries, passing_groups, range_overlap, relax_filters, rewrite_queries
 from quarry.scratch import materialize
 
 DIGITS = 6
@@ -27,49 +27,125 @@ def top_k(df: DataFrame, k: int, order: list[Column], by: str = "qid") -> DataFr
     return _ranked(df, order, by).where(F.col("rank") <= k)
 
 
+def _question_terms(queries: DataFrame, query_col: str) -> DataFrame:
+    return queries.select("qid", F.explode(tokenize(query_col)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+
+
 def bm25_rank(queries: DataFrame, candidates: DataFrame, text_col: str = "text", query_col: str = "rewritten", k1: float = 1.5, b: float = 0.75, zeros: bool = True, k: int | None = None, texts: DataFrame | None = None) -> DataFrame:
     """(qid, chunk_id, score, rank): BM25 with the statistics of each question's own candidates.
 
     ``candidates``: (qid, chunk_id, text), or without text where ``texts`` (chunk_id, text) has it once a chunk; they are read
-    three times, so a table serves better than a plan. A term repeated in the question counts again. With ``zeros`` candidates without
-    any term stay at 0, else they go. Scores are rounded; ties are in the order of chunk_id. Texts are tokenised once for
-    each chunk, and only the terms that some question has go on."""
-    terms = queries.select("qid", F.explode(tokenize(query_col)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    asked = F.broadcast(terms.select("term").distinct().agg(F.collect_set("term").alias("asked")))
+    three times, so a table serves better than a plan. A term repeated in the question counts again. With ``zeros`` candidates
+    without any term stay at 0, else they go. Scores are rounded; ties are in the order of chunk_id. For candidates that are
+    all chunks passing a filter, ``bm25_search`` does the same without listing them."""
+    terms = _question_terms(queries, query_col)
     chunks = candidates.select("chunk_id", text_col).distinct() if texts is None else texts.select("chunk_id", text_col)
-    tokens = chunks.select("chunk_id", tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("t")).join(asked)
-    counted = tokens.select("chunk_id", F.size("t").alias("dl"), F.array_intersect("t", "asked").alias("hits"), "t")
-    tf = F.transform("hits", lambda h: F.struct(h.alias("term"), F.size(F.filter("t", lambda x: x == h)).alias("tf")))
-    counted = materialize(counted.select("chunk_id", "dl", tf.alias("tfs")), "tf")
-    pairs = candidates.select("qid", "chunk_id").join(counted, "chunk_id")
-    stats = pairs.groupBy("qid").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = F.broadcast(terms.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("term", "qtf"))).alias("wanted")))
-    own = F.filter("tfs", lambda h: F.map_contains_key("wanted", h["term"]))
-    hits = pairs.join(wanted, "qid").select("qid", "chunk_id", "dl", "wanted", F.explode(own).alias("h"))
-    hits = hits.select("qid", "chunk_id", "dl", "h.term", "h.tf", F.try_element_at("wanted", F.col("h.term")).alias("qtf"))
+    chunks = chunks.join(candidates.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    tokens = materialize(chunks.select("chunk_id", tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("t")), "tokens")
+    pairs = candidates.select("qid", "chunk_id")
+    stats = pairs.join(tokens.select("chunk_id", F.size("t").alias("dl")), "chunk_id").groupBy("qid").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    tf = tokens.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    tf = tf.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    hits = materialize(tf.join(pairs, "chunk_id").join(terms, ["qid", "term"]), "hits")
     df = hits.groupBy("qid", "term").agg(F.count("*").alias("df"))
-    known = F.broadcast(df.join(stats, "qid").withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).select("qid", "term", "idf", "avgdl"))
+    known = df.join(stats, "qid").withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).select("qid", "term", "idf", "avgdl")
     part = F.col("qtf") * F.col("idf") * (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
     scored = hits.join(known, ["qid", "term"]).groupBy("qid", "chunk_id").agg(F.sum(part).alias("score"))
     if zeros:
-        scored = candidates.select("qid", "chunk_id").distinct().join(scored, ["qid", "chunk_id"], "left")
+        scored = pairs.distinct().join(scored, ["qid", "chunk_id"], "left")
     scored = scored.withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), DIGITS))
     order = [F.desc("score"), F.asc("chunk_id")]
     return top_k(scored, k, order) if k else _ranked(scored, order)
 
 
+def _blocks(rows: DataFrame, most: int) -> list[DataFrame]:
+    """The questions in ``rows`` (qid) in parts of about ``most``, by hash, for one broadcast each."""
+    n = max(1, -(-rows.select("qid").distinct().count() // most))
+    return [rows if n == 1 else rows.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)]
+
+
+def _best_rows(key_order: np.ndarray, score: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """Of ``rows`` the k of highest score, ties by key order."""
+    if len(rows) > k:
+        cut = np.partition(score[rows], len(rows) - k)[len(rows) - k]
+        rows = rows[score[rows] >= cut]
+    return rows[np.lexsort((key_order[rows], -score[rows]))[:k]]
+
+
+def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, text_col: str = "text", query_col: str = "rewritten", k1: float = 1.5, b: float = 0.75, zeros: bool = False, most_queries: int = 2_000) -> DataFrame:
+    """(qid, chunk_id, score, rank): the k best chunks by BM25 of those that pass each question's filters; the statistics are
+    those of all that pass.
+
+    No table of questions and chunks is made. Counts of chunks and terms are summed for groups of chunks with equal filtered
+    columns and then over the groups that pass. The term weights of a block of questions are broadcast, each Arrow batch of
+    tokenised chunks is scored against them, and k rows a question leave a batch. Ties are in the order of chunk_id."""
+    _, read = filter_columns(queries, chunks)
+    terms = materialize(_question_terms(queries, query_col), "terms")
+    passing = materialize(passing_groups(chunks, queries), "passing")
+    tokens = materialize(chunks.select("chunk_id", filter_group(chunks, read).alias("group"), tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("t")), "tokens")
+    counts = tokens.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.size("t")).alias("dl"))
+    stats = passing.join(counts, "group").groupBy("qid").agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("n")).alias("avgdl"))
+    held = tokens.select("group", F.explode(F.array_distinct("t")).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    held = held.groupBy("group", "term").agg(F.count("*").alias("n"))
+    df = held.join(passing, "group").join(terms, ["qid", "term"]).groupBy("qid", "term", "qtf").agg(F.sum("n").alias("df"))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weights = stats.join(df, "qid", "left").select("qid", "avgdl", "term", F.coalesce(F.col("qtf") * idf, F.lit(0.0)).alias("w"))
+    weights = materialize(weights, "weights")
+    kind, out = chunks.schema["chunk_id"].dataType.simpleString(), None
+    for part in _blocks(weights, most_queries):
+        asked: dict = {}
+        for r in part.toLocalIterator():
+            avgdl, own = asked.setdefault(r.qid, (r.avgdl, {}))
+            if r.term is not None:
+                own[r.term] = r.w
+        vocab = {t: i for i, t in enumerate(sorted({t for _, own in asked.values() for t in own}))}
+        names = sorted(asked)
+        shared = chunks.sparkSession.sparkContext.broadcast((vocab, names, [(asked[q][0], np.array([vocab[t] for t in asked[q][1]], dtype=np.int64), np.array(list(asked[q][1].values()))) for q in names]))
+
+        def score(batches, shared=shared):
+            vocab, names, asked = shared.value
+            place = {q: i for i, q in enumerate(names)}
+            for pdf in batches:
+                size = len(pdf)
+                tf = np.zeros((len(vocab) + 1, size))
+                dl = np.fromiter(map(len, pdf["t"]), dtype=np.float64, count=size)
+                at = np.fromiter((vocab.get(t, -1) for ts in pdf["t"] for t in ts), dtype=np.int64)
+                np.add.at(tf, (at, np.repeat(np.arange(size), dl.astype(np.int64))), 1.0)
+                keys = pdf["chunk_id"].to_numpy()
+                order = np.argsort(np.argsort(keys, kind="stable"), kind="stable")
+                mine: dict[int, list[int]] = {}
+                for i, qs in enumerate(pdf["qids"]):
+                    for q in qs:
+                        if q in place:
+                            mine.setdefault(place[q], []).append(i)
+                for j, rows in mine.items():
+                    avgdl, ts, w = asked[j]
+                    rows = np.array(rows)
+                    own = tf[np.ix_(ts, rows)]
+                    got = np.round((w[:, None] * own * (k1 + 1) / (own + k1 * (1 - b + b * dl[rows] / avgdl))).sum(axis=0), DIGITS) if avgdl else np.zeros(len(rows))
+                    full = np.zeros(size)
+                    full[rows] = got
+                    best = _best_rows(order, full, rows if zeros else rows[got > 0], k)
+                    yield pd.DataFrame({"qid": names[j], "chunk_id": keys[best], "score": full[best]})
+
+        allowed = passing.join(part.select("qid").distinct(), "qid", "left_semi").groupBy("group").agg(F.collect_set("qid").alias("qids"))
+        rows = tokens.join(allowed, "group").select("chunk_id", "t", "qids")
+        found = rows.mapInPandas(score, f"qid {queries.schema['qid'].dataType.simpleString()}, chunk_id {kind}, score double")
+        out = found if out is None else out.unionByName(found)
+    return top_k(out, k, [F.desc("score"), F.asc("chunk_id")])
+
+
 def knn_topk(probes: DataFrame, chunks: DataFrame, k: int, key: str = "chunk_id", vector: str = "embedding", most_probes: int = 10_000, allowed: str | None = None) -> DataFrame:
     """(qid, key, cosine, rank): the exact k nearest rows of every probe (qid, vector).
 
-    Probes are broadcast in blocks of at most ``most_probes``; each Arrow batch is one matrix product and passes on k rows a
-    probe. With ``allowed``, an array column of ``chunks`` with the qids that may see a row, others are left out. Zero or
-    null vectors match nothing."""
+    Probes are broadcast in blocks of about ``most_probes``, fetched one after the other; each Arrow batch is one matrix
+    product and passes on k rows a probe. With ``allowed``, an array column of ``chunks`` with the qids that may see a row,
+    others are left out. Zero or null vectors match nothing."""
     ids = chunks.schema[key].dataType.simpleString()
     qtype = probes.schema["qid"].dataType.simpleString()
-    rows = sorted(((r.qid, r.v) for r in probes.select("qid", F.col(vector).alias("v")).where("v IS NOT NULL").toLocalIterator()), key=lambda r: str(r[0]))
     spark, out = chunks.sparkSession, None
-    for at in range(0, max(1, len(rows)), most_probes):
-        block = rows[at : at + most_probes]
+    for part in _blocks(probes.select("qid", F.col(vector).alias("v")).where("v IS NOT NULL"), most_probes):
+        block = sorted(((r.qid, r.v) for r in part.toLocalIterator()), key=lambda r: str(r[0]))
         matrix = np.array([v for _, v in block], dtype=np.float64).reshape(len(block), -1)
         norms = np.linalg.norm(matrix, axis=1, keepdims=True) if len(block) else np.zeros((0, 1))
         shared = spark.sparkContext.broadcast(([q for q, _ in block], matrix / np.where(norms == 0, 1, norms)))
@@ -91,10 +167,10 @@ def knn_topk(probes: DataFrame, chunks: DataFrame, k: int, key: str = "chunk_id"
                         mask[i, [place[q] for q in qs if q in place]] = True
                     cos[~mask] = -np.inf
                 keys = pdf["key"].to_numpy()
-                order = np.argsort(keys, kind="stable")
-                best = order[np.argsort(-cos[order], axis=0, kind="stable")[:k]]
-                parts = [pd.DataFrame({"qid": q, "key": keys[best[:, j]], "cosine": cos[best[:, j], j]}) for j, q in enumerate(names)]
-                yield pd.concat(parts).query("cosine > -inf")
+                order = np.argsort(np.argsort(keys, kind="stable"), kind="stable")
+                for j, q in enumerate(names):
+                    best = _best_rows(order, cos[:, j], np.flatnonzero(cos[:, j] > -np.inf), k)
+                    yield pd.DataFrame({"qid": q, "key": keys[best], "cosine": cos[best, j]})
 
         cols = [F.col(key).alias("key"), F.col(vector).alias("v"), *([F.col(allowed).alias("allowed")] if allowed else [])]
         part = chunks.select(*cols).mapInPandas(nearest, f"qid {qtype}, key {ids}, cosine double")
@@ -102,6 +178,13 @@ def knn_topk(probes: DataFrame, chunks: DataFrame, k: int, key: str = "chunk_id"
     return top_k(out.withColumnRenamed("key", key), k, [F.desc("cosine"), F.asc(key)])
 
 
+def _seen_by(chunks: DataFrame, queries: DataFrame, vector: str) -> DataFrame:
+    """(chunk_id, vector, allowed): the chunks that pass some question's filters, with the qids they pass."""
+    _, read = filter_columns(queries, chunks)
+    allowed = passing_groups(chunks, queries).groupBy("group").agg(F.collect_set("qid").alias("allowed"))
+    return chunks.select("chunk_id", vector, filter_group(chunks, read).alias("group")).join(materialize(allowed, "allowed"), "group").drop("group")
+
+
 def rrf_fuse(lists: list[DataFrame], k: int = 60, mode: str = "rrf", key: str = "chunk_id") -> DataFrame:
     """(qid, key, score, rank) from ranked lists (qid, key, rank): the sum of 1 / (k + rank). ``mode`` bm25 or vector takes the
     first or second list alone. Ties keep the order of the first list, then the second."""
@@ -119,33 +202,42 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, k_candidates: int, k_fi
 
     ``queries``: qid, rewritten, filters (``filters_of``) and a query vector. ``restrict`` (qid, parent_id) leaves only
     children of these parents."""
-    passed = filter_chunks(chunks, queries)
-    if restrict is not None:
-        passed = passed.join(restrict.select("qid", "parent_id").distinct(), ["qid", "parent_id"], "left_semi")
-    passed = materialize(passed.select("qid", "chunk_id"), "passed")
-    lexical = bm25_rank(queries, passed, zeros=False, k=k_candidates, texts=chunks)
-    seen = chunks.select("chunk_id", vector).join(passed.groupBy("chunk_id").agg(F.collect_set("qid").alias("allowed")), "chunk_id")
-    near = knn_topk(queries.select("qid", F.col("q_embedding").alias(vector)), seen, k_candidates, vector=vector, allowed="allowed")
+    probes = queries.select("qid", F.col("q_embedding").alias(vector))
+    if restrict is None:
+        lexical = bm25_search(queries, chunks, k_candidates)
+        near = knn_topk(probes, _seen_by(chunks, queries, vector), k_candidates, vector=vector, allowed="allowed")
+    else:
+        filters, read = filter_columns(queries, chunks)
+        own = chunks.select("chunk_id", "parent_id", *read).join(restrict.select("qid", "parent_id").distinct(), "parent_id")
+        passed = own.join(queries.select("qid", *filters), "qid").where(_passes(filters)).select("qid", "chunk_id")
+        passed = materialize(passed, "passed")
+        lexical = bm25_rank(queries, passed, zeros=False, k=k_candidates, texts=chunks)
+        seen = chunks.select("chunk_id", vector).join(passed.groupBy("chunk_id").agg(F.collect_set("qid").alias("allowed")), "chunk_id")
+        near = knn_topk(probes, seen, k_candidates, vector=vector, allowed="allowed")
     return rrf_fuse([lexical, near], mode=mode).where(F.col("rank") <= k_final)
 
 
-def two_stage_search(queries: DataFrame, chunks: DataFrame, k: int = 6, parent_candidates: int = 200, parent_final: int = 60, child_candidates: int = 300, child_final: int = 30, mode: str = "rrf") -> DataFrame:
-    """Ranked children (qid, chunk_id, rank, heading_path, two_stage_fallback and the parents found): children of the best
-    parents; questions without parents or children search again without that restriction and without number filters."""
+def two_stage_search(
+    queries: DataFrame, chunks: DataFrame, k: int = 6, parent_candidates: int = 200, parent_final: int = 60, child_candidates: int = 300, child_final: int = 30,
+    mode: str = "rrf", rules: tuple[tuple[str, ...], ...] = RELAXED, max_steps: int = 2,
+) -> DataFrame:
+    """Ranked children (qid, chunk_id, rank, heading_path, two_stage_fallback, relax_steps and the parents found): children of
+    the best parents; questions without parents or children search again without that restriction and relaxed."""
     parents = materialize(hybrid_search(queries, chunks.where("is_parent"), parent_candidates, parent_final, mode), "parents")
     best = parents.select("qid", F.col("chunk_id").alias("parent_id"))
     children = chunks.where("NOT is_parent")
     own = materialize(hybrid_search(queries, children, child_candidates, max(child_final, k), mode, restrict=best), "children")
-    relaxed = materialize(relax_filters(queries, parents, own), "relaxed")
-    ranked = own.join(relaxed.select("qid"), "qid", "left_anti").withColumn("two_stage_fallback", F.lit(False))
+    relaxed = materialize(relax_filters(queries, parents, own, rules, max_steps), "relaxed")
+    ranked = own.join(relaxed.select("qid"), "qid", "left_anti").withColumns({"two_stage_fallback": F.lit(False), "relax_steps": F.lit(0)})
     if not relaxed.isEmpty():
         again = hybrid_search(relaxed, children, child_candidates, max(child_final, k), mode)
-        ranked = ranked.unionByName(again.withColumn("two_stage_fallback", F.lit(True)))
-    headings = chunks.where("is_parent").select(F.col("chunk_id").alias("parent_id"), F.col("heading_path").alias("parent_heading")).join(best, "parent_id", "left_semi")
-    placed = ranked.join(chunks.select("chunk_id", "parent_id", "heading_path"), "chunk_id").join(headings, "parent_id", "left")
+        ranked = ranked.unionByName(again.join(relaxed.select("qid", "two_stage_fallback", "relax_steps"), "qid"))
+    headings = chunks.where("is_parent").select(F.col("chunk_id").alias("parent_id"), F.col("heading_path").alias("parent_heading"))
+    headings = headings.join(best, "parent_id").select("qid", "parent_id", "parent_heading")
+    placed = ranked.join(chunks.select("chunk_id", "parent_id", "heading_path"), "chunk_id").join(headings, ["qid", "parent_id"], "left")
     found = parents.groupBy("qid").agg(F.count("*").alias("parent_hits"))
     out = placed.withColumn("heading_path", F.coalesce("parent_heading", "heading_path")).join(found, "qid", "left")
-    return out.select("qid", "chunk_id", "rank", "heading_path", "two_stage_fallback", F.coalesce("parent_hits", F.lit(0)).alias("parent_hits"))
+    return out.select("qid", "chunk_id", "rank", "heading_path", "two_stage_fallback", "relax_steps", F.coalesce("parent_hits", F.lit(0)).alias("parent_hits"))
 
 
 def _constraint_score(c: Column) -> Column:
@@ -199,25 +291,53 @@ def cap_per_source(ranked: DataFrame, k: int, max_per_source: int = 2, source: s
     return _ranked(out, [F.asc("rank")]).where(F.col("rank") <= k)
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 6, candidates: int = 200, max_per_source: int = 2, where_mode: str = "hard_only", scores: DataFrame | None = None) -> DataFrame:
-    """The single-stage route for a table of questions: parse, rewrite, filter, BM25, soft scores, external scores, cap."""
+def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 6, candidates: int | None = None, max_per_source: int = 2, where_mode: str = "hard_only", scores: DataFrame | None = None, fuse: bool = True) -> DataFrame:
+    """The single-stage route for a table of questions (qid, raw, q_embedding): parse, rewrite, the ``candidates`` (``k`` where
+    not given) nearest vectors of the chunks that pass, BM25 over these, fusion of both ranks, soft scores, external scores,
+    cap. Beside the results each row has the numbers of its question's trace."""
     asked = materialize(filters_of(rewrite_queries(parse_queries(queries)), where_mode), "asked")
-    passed = materialize(filter_chunks(chunks, asked).select("qid", "chunk_id"), "passed")
-    lexical = materialize(bm25_rank(asked, passed, zeros=False, k=candidates, texts=chunks), "lexical")
-    ranked = soft_rank(lexical, chunks, asked)
+    probes = asked.select("qid", F.col("q_embedding").alias("embedding"))
+    near = materialize(knn_topk(probes, _seen_by(chunks, asked, "embedding"), candidates or k, allowed="allowed"), "near")
+    first = near
+    if fuse:
+        lexical = bm25_rank(asked, near.select("qid", "chunk_id"), texts=chunks)
+        first = rrf_fuse([near, lexical])
+    ranked = materialize(soft_rank(first, chunks, asked), "ranked")
+    counted = near.groupBy("qid").agg(F.count("*").alias("vector_candidates")).join(ranked.groupBy("qid").agg(F.count("*").alias("postfiltered")), "qid", "left")
     if scores is not None:
         ranked = apply_rerank_scores(ranked, scores, k)
-    return cap_per_source(ranked.join(chunks.select("chunk_id", "source_file", "page", "section"), "chunk_id"), k, max_per_source)
+    held = ranked.join(chunks.select("chunk_id", "source_file", "page", "section"), "chunk_id").join(counted, "qid")
+    return cap_per_source(held, k, max_per_source)
 
 
-def retrieve_batch(queries: DataFrame, chunks: DataFrame, k: int = 6, max_per_source: int = 2, where_mode: str = "hard_only", scores: DataFrame | None = None, mode: str = "rrf") -> DataFrame:
+def retrieve_batch(queries: DataFrame, chunks: DataFrame, k: int = 6, max_per_source: int = 2, where_mode: str = "hard_only", scores: DataFrame | None = None, mode: str = "rrf", rules: tuple[tuple[str, ...], ...] = RELAXED, max_steps: int = 2) -> DataFrame:
     """The two-stage route: parents, children, relaxation, soft scores, external scores, cap. ``queries``: qid, raw and
-    q_embedding; ``chunks``: parents and children with an embedding. Returns the ranked children with their place."""
+    q_embedding; ``chunks``: parents and children with an embedding. Returns the ranked children with their place and the
+    numbers of their question's trace: parent_hits, child_hits, relax_steps, postfiltered."""
     asked = materialize(filters_of(rewrite_queries(parse_queries(queries)), where_mode), "asked")
-    staged = materialize(two_stage_search(asked, chunks, k, mode=mode), "staged")
-    ranked = soft_rank(staged, chunks, asked)
+    staged = materialize(two_stage_search(asked, chunks, k, mode=mode, rules=rules, max_steps=max_steps), "staged")
+    ranked = materialize(soft_rank(staged, chunks, asked), "ranked")
+    counted = staged.groupBy("qid").agg(F.count("*").alias("child_hits")).join(ranked.groupBy("qid").agg(F.count("*").alias("postfiltered")), "qid", "left")
     if scores is not None:
         ranked = apply_rerank_scores(ranked, scores, k)
-    place = staged.select("qid", "chunk_id", "heading_path", "two_stage_fallback", "parent_hits")
-    held = ranked.join(place, ["qid", "chunk_id"]).join(chunks.select("chunk_id", "source_file", "page"), "chunk_id")
+    place = staged.select("qid", "chunk_id", "heading_path", "two_stage_fallback", "relax_steps", "parent_hits")
+    held = ranked.join(place, ["qid", "chunk_id"]).join(chunks.select("chunk_id", "source_file", "page"), "chunk_id").join(counted, "qid")
     return cap_per_source(held, k, max_per_source)
+
+
+def retrieval_trace(queries: DataFrame, results: DataFrame, top: int = 3) -> DataFrame:
+    """One row for each question (qid): the counts that ``results`` (of ``retrieve`` or ``retrieve_batch``) have for it, and its
+    ``top`` scores and citations; zeros and empty lists for a question without results."""
+    numbers = [c for c in ("vector_candidates", "parent_hits", "child_hits", "relax_steps", "postfiltered") if c in results.columns]
+    heading = F.concat(F.lit(" ["), F.nullif(F.col("heading_path"), F.lit("")), F.lit("]")) if "heading_path" in results.columns else F.lit("")
+    cited = F.concat(F.coalesce("source_file", F.lit("unknown")), F.coalesce(heading, F.lit("")), F.lit(" #"), F.col("chunk_id").cast("string"))
+    own = results.where(F.col("rank") <= top).select("qid", F.struct("rank", "chunk_id", "score", cited.alias("cited")).alias("r"))
+    own = own.groupBy("qid").agg(F.sort_array(F.collect_list("r")).alias("r"))
+    counts = results.groupBy("qid").agg(F.count("*").alias("final"), *[F.max(c).alias(c) for c in numbers])
+    out = queries.select("qid").join(counts, "qid", "left").join(own, "qid", "left")
+    tops = F.transform("r", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["score"].alias("score")))
+    return out.select(
+        "qid", *[F.coalesce(c, F.lit(0)).alias(c) for c in [*numbers, "final"]],
+        F.coalesce(tops, F.expr("filter(array(struct(cast(null AS string) AS chunk_id, cast(null AS double) AS score)), x -> false)")).alias("score_top"),
+        F.coalesce(F.col("r.cited"), F.expr("cast(array() AS array<string>)")).alias("citations"),
+    )

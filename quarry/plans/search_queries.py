@@ -59,31 +59,62 @@ asked AS (SELECT *, CASE WHEN len(terms) > 0 THEN raw || ' ' || array_to_string(
   CASE WHEN len(terms) > 0 THEN 'zh_rules' WHEN {_any('low', MECHANISM)} THEN 'mechanism_rules' ELSE '' END AS reason FROM q)"""
 
 
-def _passing(mode: str) -> str:
+def _passing(mode: str, name: str = "pairs", texts: str = "meta", numbers: bool = True, join: str = "true") -> str:
+    """CTE ``name``: questions with the rows of ``texts`` that pass their filters."""
     hard = "must" if mode == "hard_only" else "true"
     sets = "" if mode == "hard_only" else " AND (q_gas IS NULL OR coalesce(list_has_any(gas_agent, q_gas), false)) AND (q_targets IS NULL OR coalesce(list_has_any(targets, q_targets), false))"
     within = "(coalesce({v} BETWEEN {lo} AND {hi}, false) OR coalesce({a} <= {hi} AND {b} >= {lo}, false))"
     t = within.format(v="T_K", lo="t_lo", hi="t_hi", a="T_min_K", b="T_max_K")
     p = within.format(v="P_MPa", lo="p_lo", hi="p_hi", a="P_min_MPa", b="P_max_MPa")
-    return f"""pairs AS (SELECT asked.*, meta.* FROM asked JOIN meta ON (q_stage = 'unknown' OR NOT {hard} OR stage = q_stage)
-      AND (t_lo IS NULL OR NOT {hard} OR {t}) AND (p_lo IS NULL OR NOT {hard} OR {p}){sets})"""
+    both = f" AND (t_lo IS NULL OR NOT {hard} OR {t}) AND (p_lo IS NULL OR NOT {hard} OR {p})" if numbers else ""
+    return f"{name} AS (SELECT asked.*, x.* FROM asked JOIN {texts} x ON {join} AND (q_stage = 'unknown' OR NOT {hard} OR stage = q_stage){both}{sets})"
 
 
 _TOK = "list_transform(regexp_extract_all({c}, '[A-Za-z0-9_]+|[一-鿿]'), lambda x: lower(x))"
 
 
-def _bm25(pairs: str = "pairs", zeros: bool = True, k: int = 20) -> str:
-    keep = f"(SELECT qid, chunk_id, coalesce(score, 0) AS score FROM {pairs} LEFT JOIN sums USING (qid, chunk_id))" if zeros else "sums"
+def _bm25(pairs: str = "pairs", zeros: bool = True, k: int | None = 20, x: str = "", texts: str = "meta") -> str:
+    """CTE ``{x}lex``: the first ``k`` of each question's ``pairs``, with the CTEs it needs under the same prefix."""
+    keep = f"(SELECT qid, chunk_id, coalesce(score, 0) AS score FROM {pairs} LEFT JOIN {x}sums USING (qid, chunk_id))" if zeros else f"{x}sums"
     return f"""
-qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({_TOK.format(c="rewritten")}) AS term FROM asked) GROUP BY qid, term),
-ct AS (SELECT chunk_id, {_TOK.format(c="text")} AS toks FROM meta),
-tf AS (SELECT chunk_id, len(toks) AS dl, term, count(*) AS tf FROM (SELECT chunk_id, toks, unnest(toks) AS term FROM ct) GROUP BY chunk_id, toks, term),
-stat AS (SELECT qid, count(*) AS n, avg(len(toks)) AS avgdl FROM {pairs} JOIN ct USING (chunk_id) GROUP BY qid),
-hit AS (SELECT p.qid, p.chunk_id, tf.dl, tf.tf, tf.term, qt.qtf FROM {pairs} p JOIN tf USING (chunk_id) JOIN qt ON qt.qid = p.qid AND qt.term = tf.term),
-df AS (SELECT qid, term, count(*) AS df FROM hit GROUP BY qid, term),
-sums AS (SELECT qid, chunk_id, sum(qtf * ln((n - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE)) + 1) * (tf * CAST(2.5 AS DOUBLE) / (tf + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / avgdl)))) AS score
-  FROM hit JOIN df USING (qid, term) JOIN stat USING (qid) GROUP BY qid, chunk_id),
-lex AS (SELECT qid, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM {keep} QUALIFY rank <= {k})"""
+{x}qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({_TOK.format(c="rewritten")}) AS term FROM asked) GROUP BY qid, term),
+{x}ct AS (SELECT chunk_id, {_TOK.format(c="text")} AS toks FROM {texts}),
+{x}tf AS (SELECT chunk_id, len(toks) AS dl, term, count(*) AS tf FROM (SELECT chunk_id, toks, unnest(toks) AS term FROM {x}ct) GROUP BY chunk_id, toks, term),
+{x}stat AS (SELECT qid, count(*) AS n, avg(len(toks)) AS avgdl FROM {pairs} JOIN {x}ct USING (chunk_id) GROUP BY qid),
+{x}hit AS (SELECT p.qid, p.chunk_id, t.dl, t.tf, t.term, q.qtf FROM {pairs} p JOIN {x}tf t USING (chunk_id) JOIN {x}qt q ON q.qid = p.qid AND q.term = t.term),
+{x}df AS (SELECT qid, term, count(*) AS df FROM {x}hit GROUP BY qid, term),
+{x}sums AS (SELECT qid, chunk_id, sum(qtf * ln((n - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE)) + 1) * (tf * CAST(2.5 AS DOUBLE) / (tf + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / avgdl)))) AS score
+  FROM {x}hit JOIN {x}df USING (qid, term) JOIN {x}stat USING (qid) GROUP BY qid, chunk_id),
+{x}lex AS (SELECT qid, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM {keep}{f" QUALIFY rank <= {k}" if k else ""})"""
+
+
+def _near(pairs: str, k: int, x: str = "") -> str:
+    """CTE ``{x}near``: the ``k`` nearest vectors of each question's ``pairs``."""
+    return f"""
+{x}near AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, chunk_id) AS rank FROM {pairs} JOIN cosines USING (qid, v) QUALIFY rank <= {k})"""
+
+
+def _fused(first: str, second: str, name: str, k: int | None) -> str:
+    """CTE ``name``: two ranked lists fused."""
+    return f"""
+{name}_all AS (SELECT qid, chunk_id, round(coalesce(CAST(1 AS DOUBLE) / (60 + a.rank), 0) + coalesce(CAST(1 AS DOUBLE) / (60 + b.rank), 0), 9) AS score, a.rank AS ra, b.rank AS rb
+  FROM {first} a FULL JOIN {second} b USING (qid, chunk_id)),
+{name} AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ra NULLS LAST, rb NULLS LAST, chunk_id) AS rank FROM {name}_all{f" QUALIFY rank <= {k}" if k else ""})"""
+
+
+def _hybrid(pairs: str, name: str, texts: str, candidates: int, final: int) -> str:
+    x = name + "_"
+    return f"{_bm25(pairs, False, candidates, x, texts)}, {_near(pairs, candidates, x)}, {_fused(f'{x}lex', f'{x}near', name, final)}"
+
+
+#: Chunks as children of one parent for each source and page, all with a vector; and every question's cosine to each vector.
+SQL_FAMILY = """
+kids AS (SELECT m.*, source_file || '#' || CAST(page AS VARCHAR) AS parent_id, '' AS heading_path,
+    (CAST(split_part(chunk_id, '_', 1) AS BIGINT) + 31 * CAST(split_part(chunk_id, '_', 3) AS BIGINT)) % (SELECT count(*) FROM embeddings) AS v FROM meta m),
+folks AS (SELECT * REPLACE (parent_id AS chunk_id, 'Page ' || CAST(page AS VARCHAR) AS heading_path)
+  FROM (SELECT * FROM kids QUALIFY row_number() OVER (PARTITION BY source_file, page ORDER BY chunk_id) = 1)),
+vec AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS len FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)),
+cosines AS (SELECT qid, b.vec_id AS v, round(list_dot_product(a.e, b.e) / a.len / b.len, 6) AS cosine FROM asked JOIN vec a ON CAST(a.vec_id AS VARCHAR) = qid, vec b)"""
 
 
 # --------------------------------------------------------------------------------------------------------- the queries
@@ -137,7 +168,7 @@ def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best of each question's candidates by BM25."""
     q = materialize(asked(spark, sf_dir), "asked")
     chunks = materialize(tagged(spark, sf_dir), "tagged")
-    return se.bm25_rank(q, materialize(passing(chunks, q).select("qid", "chunk_id"), "passed"), k=20, texts=chunks)
+    return se.bm25_search(q, chunks, 20, zeros=True)
 
 
 QUERIES["bm25_rank"] = bm25_rank
@@ -218,10 +249,12 @@ WITH r AS (SELECT lang AS qid, doc_id AS chunk_id, source AS source_file, row_nu
 c AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY qid, source_file ORDER BY o) <= 2)
 SELECT qid, chunk_id, source_file, CAST(row_number() OVER (PARTITION BY qid ORDER BY o) AS INT) AS rank FROM c QUALIFY rank <= 30"""
 
-_SOFT = """
+def _soft(first: str = "lex", texts: str = "meta") -> str:
+    """CTE ``ranked``: the rows of a ranked list by soft constraints."""
+    return f"""
 cand AS (
-  SELECT lex.qid, lex.chunk_id, lex.rank AS before, q_stage, q_gas, q_targets, must, t_lo, t_hi, p_lo, p_hi, meta.* EXCLUDE (chunk_id)
-  FROM lex JOIN asked USING (qid) JOIN meta USING (chunk_id) WHERE section NOT IN ('references', 'acknowledgements', 'contents', 'appendix')),
+  SELECT l.qid, l.chunk_id, l.rank AS before, q_stage, q_gas, q_targets, must, t_lo, t_hi, p_lo, p_hi, x.* EXCLUDE (chunk_id)
+  FROM {first} l JOIN asked USING (qid) JOIN {texts} x USING (chunk_id) WHERE section NOT IN ('references', 'acknowledgements', 'contents', 'appendix')),
 soft AS (
   SELECT *, round(CAST(1 AS DOUBLE) / before
     + CASE WHEN q_stage = 'unknown' OR must THEN 0 WHEN stage = q_stage THEN CAST(0.6 AS DOUBLE) ELSE CAST(-0.3 AS DOUBLE) * 0.6 END
@@ -237,39 +270,26 @@ def soft_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 200 best by BM25 of each question, by soft constraints."""
     q = materialize(asked(spark, sf_dir, "hard_only"), "asked")
     chunks = materialize(tagged(spark, sf_dir), "tagged")
-    lexical = se.bm25_rank(q, materialize(passing(chunks, q).select("qid", "chunk_id"), "passed"), zeros=False, k=200, texts=chunks)
-    return se.soft_rank(lexical, chunks, q)
+    return se.soft_rank(se.bm25_search(q, chunks, 200), chunks, q)
 
 
 QUERIES["soft_rank"] = soft_rank
-_ROUTE = f"WITH {SQL_ASKED}, {SQL_META}, {_passing('hard_only')}, {_bm25(zeros=False, k=200)}, {_SOFT}"
+_ROUTE = f"WITH {SQL_ASKED}, {SQL_META}, {_passing('hard_only')}, {_bm25(zeros=False, k=200)}, {_soft()}"
 ORACLE["soft_rank"] = f"{_ROUTE} SELECT qid, chunk_id, score, CAST(o AS INT) AS rank FROM ranked"
 
 
-def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The single-stage route for all questions."""
-    out = se.retrieve(questions(spark, sf_dir), materialize(tagged(spark, sf_dir), "tagged"))
-    return out.select("qid", "chunk_id", "source_file", "page", "score", "rank")
-
-
-QUERIES["retrieve"] = retrieve
-ORACLE["retrieve"] = f"""{_ROUTE},
-capped AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY qid, source_file ORDER BY o) <= 2)
-SELECT qid, chunk_id, source_file, page, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY o) AS INT) AS rank FROM capped QUALIFY rank <= 6"""
-
-
 # ----------------------------------------------------------------------------------------------- parents and children
 def family(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks as children of one parent for each source and page, all with an embedding from the vector table."""
-    rows = tagged(spark, sf_dir)
-    key = F.pmod(F.xxhash64("chunk_id"), F.lit(500))
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_v"), "embedding")
+    part = F.split("chunk_id", "_")
+    rows = materialize(tagged(spark, sf_dir), "tagged").withColumn("_v", (part[0].cast("long") + 31 * part[2].cast("long")) % F.lit(vectors.count()))
     parent = F.concat_ws("#", "source_file", F.col("page").cast("string"))
-    fields = ["section", "stage", "gas_agent", "targets", "T_K", "T_min_K", "T_max_K", "P_MPa", "P_min_MPa", "P_max_MPa", "coal_name", "text"]
+    fields = ["section", "stage", "gas_agent", "targets", "T_K", "T_min_K", "T_max_K", "P_MPa", "P_min_MPa", "P_max_MPa", "coal_name", "text", "_v"]
     children = rows.select("chunk_id", parent.alias("parent_id"), F.lit(False).alias("is_parent"), F.lit("").alias("heading_path"), "source_file", "page", *fields)
     first = rows.groupBy("source_file", "page").agg(F.min_by(F.struct(*fields), "chunk_id").alias("f"))
     parents = first.select(parent.alias("chunk_id"), parent.alias("parent_id"), F.lit(True).alias("is_parent"), F.concat(F.lit("Page "), F.col("page").cast("string")).alias("heading_path"), "source_file", "page", "f.*")
-    return children.unionByName(parents).withColumn("_v", key).join(vectors, "_v").drop("_v")
+    return materialize(children.unionByName(parents).join(vectors, "_v").drop("_v"), "family")
 
 
 def with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,6 +298,21 @@ def with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions(spark, sf_dir).join(vectors, "qid")
 
 
+def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The single-stage route for all questions."""
+    out = se.retrieve(with_vectors(spark, sf_dir), family(spark, sf_dir).where("NOT is_parent"), candidates=60)
+    return out.select("qid", "chunk_id", "source_file", "page", "score", "rank", "vector_candidates", "postfiltered")
+
+
+QUERIES["retrieve"] = retrieve
+_CAPPED = "capped AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY qid, source_file ORDER BY o) <= 2)"
+ORACLE["retrieve"] = f"""WITH {SQL_ASKED}, {SQL_META}, {SQL_FAMILY}, {_passing('hard_only', texts='kids')}, {_near('pairs', 60)}, {_bm25('near', k=None, texts='kids')},
+{_fused('near', 'lex', 'fused', None)}, {_soft('fused', 'kids')}, {_CAPPED}
+SELECT qid, chunk_id, source_file, page, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY o) AS INT) AS rank,
+  (SELECT count(*) FROM near n WHERE n.qid = capped.qid) AS vector_candidates, (SELECT count(*) FROM ranked n WHERE n.qid = capped.qid) AS postfiltered
+FROM capped QUALIFY rank <= 6"""
+
+
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical and vector candidates of every question, fused."""
     q = materialize(filters_of(rewrite(parse(with_vectors(spark, sf_dir))), "full"), "asked")
@@ -287,16 +322,48 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def two_stage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children of the best parents of every question."""
     q = materialize(filters_of(rewrite(parse(with_vectors(spark, sf_dir))), "hard_only"), "asked")
-    return se.two_stage_search(q, materialize(family(spark, sf_dir), "family"))
+    return se.two_stage_search(q, family(spark, sf_dir))
 
 
 def retrieve_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole two-stage route for all questions."""
-    out = se.retrieve_batch(with_vectors(spark, sf_dir), materialize(family(spark, sf_dir), "family"))
-    return out.select("qid", "rank", "chunk_id", "score", "source_file", "page", "heading_path", "two_stage_fallback", "parent_hits")
-
-
-QUERIES |= {"hybrid_search": hybrid_search, "two_stage_search": two_stage_search, "retrieve_batch": retrieve_batch}
+    out = se.retrieve_batch(with_vectors(spark, sf_dir), family(spark, sf_dir))
+    return out.select("qid", "rank", "chunk_id", "score", "source_file", "page", "heading_path", "two_stage_fallback", "parent_hits", "child_hits", "relax_steps", "postfiltered")
+
+
+def retrieval_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trace of every question on the two-stage route."""
+    asked_ = with_vectors(spark, sf_dir)
+    out = se.retrieval_trace(asked_, se.retrieve_batch(asked_, family(spark, sf_dir)))
+    return out.select("qid", "parent_hits", "child_hits", "relax_steps", "postfiltered", "final", F.array_join("score_top.chunk_id", ",").alias("top"), F.array_join("citations", "; ").alias("citations"))
+
+
+QUERIES |= {"hybrid_search": hybrid_search, "two_stage_search": two_stage_search, "retrieve_batch": retrieve_batch, "retrieval_trace": retrieval_trace}
+ORACLE["hybrid_search"] = f"""WITH {SQL_ASKED}, {SQL_META}, {SQL_FAMILY}, {_passing('full', texts='kids')}, {_hybrid('pairs', 'found', 'kids', 100, 30)}
+SELECT qid, chunk_id, score, CAST(rank AS INT) AS rank FROM found"""
+_STAGED = f"""{SQL_ASKED}, {SQL_META}, {SQL_FAMILY}, {_passing('hard_only', 'above', 'folks')}, {_hybrid('above', 'parents', 'folks', 200, 60)},
+below AS (SELECT l.* FROM (WITH {_passing('hard_only', 'l', 'kids')} SELECT * FROM l) l JOIN parents ON parents.qid = l.qid AND parents.chunk_id = l.parent_id),
+{_hybrid('below', 'own', 'kids', 300, 30)},
+open AS (SELECT qid FROM asked WHERE qid NOT IN (SELECT qid FROM parents) OR qid NOT IN (SELECT qid FROM own)),
+wide AS (SELECT w.* FROM (WITH {_passing('hard_only', 'w', 'kids', numbers=False)} SELECT * FROM w) w WHERE qid IN (SELECT qid FROM open)),
+{_hybrid('wide', 'again', 'kids', 300, 30)},
+staged AS (
+  SELECT r.qid, r.chunk_id, r.rank, coalesce(f.heading_path, '') AS heading_path, fallback AS two_stage_fallback, CAST(fallback AS INT) AS relax_steps,
+    (SELECT count(*) FROM parents p WHERE p.qid = r.qid) AS parent_hits
+  FROM (SELECT *, false AS fallback FROM own WHERE qid NOT IN (SELECT qid FROM open) UNION ALL SELECT *, true AS fallback FROM again) r
+    JOIN kids k ON k.chunk_id = r.chunk_id LEFT JOIN parents p ON p.qid = r.qid AND p.chunk_id = k.parent_id LEFT JOIN folks f ON f.chunk_id = p.chunk_id)"""
+ORACLE["two_stage_search"] = f"WITH {_STAGED} SELECT qid, chunk_id, CAST(rank AS INT) AS rank, heading_path, two_stage_fallback, relax_steps, parent_hits FROM staged"
+_BATCH = f"""WITH {_STAGED}, {_soft('staged', 'kids')}, {_CAPPED},
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY o) AS INT) AS place FROM capped),
+final AS (SELECT c.qid, place AS rank, c.chunk_id, c.score, source_file, page, s.heading_path, two_stage_fallback, parent_hits,
+  (SELECT count(*) FROM staged n WHERE n.qid = c.qid) AS child_hits, relax_steps, (SELECT count(*) FROM ranked n WHERE n.qid = c.qid) AS postfiltered
+FROM placed c JOIN staged s ON s.qid = c.qid AND s.chunk_id = c.chunk_id WHERE place <= 6)"""
+ORACLE["retrieve_batch"] = f"{_BATCH} SELECT * FROM final"
+ORACLE["retrieval_trace"] = f"""{_BATCH}
+SELECT asked.qid, coalesce(max(parent_hits), 0) AS parent_hits, coalesce(max(child_hits), 0) AS child_hits, coalesce(max(relax_steps), 0) AS relax_steps, coalesce(max(postfiltered), 0) AS postfiltered,
+  count(chunk_id) AS final, coalesce(string_agg(chunk_id, ',' ORDER BY rank) FILTER (rank <= 3), '') AS top,
+  coalesce(string_agg(source_file || CASE WHEN heading_path = '' THEN '' ELSE ' [' || heading_path || ']' END || ' #' || chunk_id, '; ' ORDER BY rank) FILTER (rank <= 3), '') AS citations
+FROM (SELECT a.qid FROM asked a JOIN vec ON CAST(vec_id AS VARCHAR) = a.qid) asked LEFT JOIN final ON final.qid = asked.qid GROUP BY asked.qid"""
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,14 +390,14 @@ ORACLE["build_context"] = f"WITH {_CONTEXT} SELECT qid, md5(markdown) AS markdow
 
 def answer_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers or refusals for each source's longest documents."""
-    results = _results(spark, sf_dir).where("page % 3 = 0")
-    return gate(_results(spark, sf_dir).select("qid").distinct(), context(results))
+    results = _results(spark, sf_dir)
+    return gate(results.select("qid").distinct(), context(results))
 
 
 QUERIES["answer_gate"] = answer_gate
 ORACLE["answer_gate"] = """
 WITH r AS (SELECT source AS qid, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
-d AS (SELECT qid, count(DISTINCT lower(trim(text, ' '))) AS n FROM r WHERE rank <= 8 AND (doc_id % 40) % 3 = 0 GROUP BY qid)
+d AS (SELECT qid, count(DISTINCT lower(trim(text, ' '))) AS n FROM r WHERE rank <= 8 GROUP BY qid)
 SELECT s.qid, CASE WHEN n IS NULL THEN '未检索到相关证据。建议：放宽条件（温度/压力范围）或减少过滤条件（气化剂/阶段）。' WHEN n < 2 THEN '无法可靠回答：证据不足。请补充更明确的工况/目标污染物证据。'
   ELSE '基于检索证据，结论如下：' || chr(10) || chr(10) || '- 关键结论请结合证据片段核验 ' || array_to_string(list_transform(range(1, n + 1), lambda i: '[S' || CAST(i AS VARCHAR) || ']'), ' ') || chr(10) END AS answer_text,
   CASE WHEN n IS NULL THEN 'no_results' WHEN n < 2 THEN 'insufficient_evidence' ELSE 'answered' END AS reason

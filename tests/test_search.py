@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry.operators import evaluate as ev
 from quarry.operators import search as se
 from quarry.operators.context import answer_gate, build_context
-from quarry.operators.questions import filters_of, parse_queries, rewrite_queries
+from quarry.operators.questions import filter_chunks, filters_of, parse_queries, relax_filters, rewrite_queries
 
 CHUNK = "chunk_id string, parent_id string, is_parent boolean, heading_path string, source_file string, page int, section string, stage string, gas_agent array<string>, targets array<string>, T_K double, T_min_K double, T_max_K double, P_MPa double, P_min_MPa double, P_max_MPa double, coal_name string, text string, embedding array<float>"
 
@@ -68,7 +68,7 @@ def test_knn_and_fusion(spark):
 
 def test_single_stage_route(spark):
     chunks = spark.createDataFrame([C1, C2, chunk("r", "refs.pdf", "steam gasification NH3 references", section="references"), *[chunk(f"a{i}", "x.pdf", f"steam gasification NH3 {i}") for i in range(3)]], CHUNK)
-    queries = spark.createDataFrame([("q", ASK)], "qid string, raw string")
+    queries = spark.createDataFrame([("q", ASK, [1.0, 0.0])], "qid string, raw string, q_embedding array<float>")
     got = [(r.chunk_id, r.source_file) for r in se.retrieve(queries, chunks, max_per_source=1).orderBy("rank").collect()]
     assert got[0] == ("c1", "a.pdf") and [s for _, s in got].count("x.pdf") == 1 and ("r", "refs.pdf") not in got
     scores = spark.createDataFrame([("q", "a1", 9.0), ("q", "c1", 1.0)], "qid string, chunk_id string, relevance_score double")
@@ -95,7 +95,32 @@ def test_two_stage_route_and_fallback(spark):
     assert {r.chunk_id for r in second} == {"k0", "k1", "k2", "k9"} and all(r.two_stage_fallback and r.parent_hits == 0 for r in second)
     queries = spark.createDataFrame([("q", ASK, [1.0, 0.0])], "qid string, raw string, q_embedding array<float>")
     final = se.retrieve_batch(queries, chunks, max_per_source=2).collect()
-    assert len(final) == 2 and sorted(r["rank"] for r in final) == [1, 2]
+    assert len(final) == 2 and sorted(r["rank"] for r in final) == [1, 2] and all((r.parent_hits, r.child_hits, r.relax_steps) == (1, 3, 0) for r in final)
+    both = spark.createDataFrame([("q",), ("none",)], "qid string")
+    trace = {r.qid: r for r in se.retrieval_trace(both, se.retrieve_batch(queries, chunks, max_per_source=2)).collect()}
+    assert trace["q"].final == 2 and trace["q"].citations[0] == f"a.pdf [M > E] #{trace['q'].score_top[0].chunk_id}" and trace["none"].final == 0 and not trace["none"].citations
+
+
+def test_search_over_filters_equals_ranking_of_the_listed_candidates(spark):
+    rng = random.Random(8)
+    words = ["steam", "gasification", "NH3", "tar", "coal", "of"]
+    rows = [chunk(f"c{i:03d}", f"s{i % 4}", " ".join(rng.choices(words, k=rng.randrange(0, 7))), rng.choice(["gasification", "pyrolysis", None]), rng.choice([["steam"], None]), None, rng.choice([400.0, 1200.0, None])) for i in range(150)]
+    chunks = spark.createDataFrame(rows, CHUNK)
+    for mode, zeros, most in (("full", True, 1), ("hard_only", False, 100)):
+        q = asked(spark, ASK, "only steam gasification of tar", "coal tar NH3", "nothing known", mode=mode)
+        listed = se.bm25_rank(q, filter_chunks(chunks, q).select("qid", "chunk_id"), k=9, texts=chunks).collect()
+        got = se.bm25_search(q, chunks, 9, zeros=zeros, most_queries=most)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, [r for r in listed if zeros or r.score > 0]))
+
+
+def test_equality_filters_and_relaxation_rules(spark):
+    chunks = spark.createDataFrame([C1, C2], CHUNK).withColumn("tenant_id", F.when(F.col("chunk_id") == "c1", "t1"))
+    q = asked(spark, "steam tar").withColumn("f_tenant_id", F.lit("t1"))
+    assert [r.chunk_id for r in se.bm25_search(q, chunks, 5).collect()] == ["c1"]
+    none = q.select("qid").limit(0)
+    relaxed = relax_filters(q, none, none, rules=(("tenant_id",), ("T_range_K",), ("stage",)), max_steps=1).first()
+    assert relaxed.f_tenant_id is None and relaxed.relax_steps == 1 and relaxed.two_stage_fallback
+    assert relax_filters(q, none, none, max_steps=0).first().f_tenant_id == "t1"
 
 
 def test_context_and_answers(spark):
