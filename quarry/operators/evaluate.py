@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from quarry.functions.helpers import json_parses
 from quarry.operators.layout import is_reference_like
 from quarry.operators.questions import range_overlap
+from quarry.operators.search import knn_topk
 
 GOLD = "qid STRING, query STRING, expected_stage STRING, expected_sources ARRAY<STRUCT<source_file: STRING, page: INT, chunk_id: STRING>>"
 
@@ -117,38 +119,40 @@ def ingest_stats(diff: DataFrame, pages: DataFrame, chunks: DataFrame, dropped:
 
 def validate_chunks(chunks: DataFrame, expected_dims: int, required: Mapping[str, str], min_docs: int = 1, vector: str = "embedding") -> DataFrame:
     """One row (doc_count, embedding_dims, ok, errors): enough rows, required columns and types, vectors of one length, and a
-    stored vector that finds itself."""
+    search with a stored vector that finds a row."""
     errors = [f"missing field: {c}" if c not in chunks.columns else f"field type mismatch: {c}={dict(chunks.dtypes)[c]} expected={t}" for c, t in required.items() if dict(chunks.dtypes).get(c) != t]
     size = F.size(vector) if vector in chunks.columns else F.lit(None).cast("int")
-    norm = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x) if vector in chunks.columns else F.lit(0.0)
-    one = chunks.agg(F.count("*").alias("doc_count"), F.max(size).alias("embedding_dims"), F.min(size).alias("_least"), F.count_if(norm > 0).alias("_found"))
+    hits = 0
+    if vector in chunks.columns:
+        probe = chunks.where(F.size(vector) == expected_dims).select(F.lit("self").alias("qid"), vector).limit(1)
+        hits = knn_topk(probe, chunks.where(F.size(vector) == expected_dims).select(F.lit(0).alias("chunk_id"), vector), 1, vector=vector).where("cosine > 0").count()
+    one = chunks.agg(F.count("*").alias("doc_count"), F.max(size).alias("embedding_dims"), F.min(size).alias("_least"))
     found = [
         F.when(F.col("doc_count") < min_docs, F.concat(F.lit("doc_count="), F.col("doc_count").cast("string"), F.lit(f" < {min_docs}"))),
         F.when((F.coalesce("embedding_dims", F.lit(-1)) != expected_dims) | (F.col("_least") != expected_dims), F.concat(F.lit("embedding dims mismatch: "), F.coalesce(F.col("embedding_dims").cast("string"), F.lit("none")), F.lit(f" expected={expected_dims}"))),
-        F.when(F.col("_found") == 0, "self-search returned no hits"),
+        F.when(F.lit(hits == 0), "self-search returned no hits"),
     ]
     every = F.concat(F.array(*[F.lit(e) for e in errors]).cast("array<string>"), F.array_compact(F.array(*found)))
     return one.withColumn("errors", every).select("doc_count", "embedding_dims", (F.size("errors") == 0).alias("ok"), "errors")
 
 
 def build_train_val(pairs: DataFrame, val_ratio: float = 0.1, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(train, val) of complete pairs in a seeded hash order: the lowest max(1, n * ratio) hashes validate. The cut is found
-    on the hashes alone; no global window, and texts stay where they are."""
+    """(train, val) of complete pairs in a seeded hash order: the lowest max(1, n * ratio) hashes validate.
+
+    The cut is found from the counts of 65,536 buckets of the hash; only the pairs of the bucket it falls in are ordered, by
+    hash alone, and texts stay where they are."""
     key = F.md5(F.concat_ws("\x01", F.lit(str(seed)), "instruction", "input", "output"))
-    whole = pairs.where("instruction IS NOT NULL AND input IS NOT NULL AND output IS NOT NULL").withColumn("_h", key)
-    n = whole.count()
-    n_val = max(1, int(n * val_ratio)) if n else 0
-    counts = whole.groupBy("_h").agg(F.count("*").alias("_c"))
-    chosen = counts.orderBy("_h").limit(n_val)
-    marked = whole.withColumn("_n", F.row_number().over(W.partitionBy("_h").orderBy("_h")))
-    before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    bucketed = chosen.withColumn("_b", F.substring("_h", 1, 3))
-    sums = bucketed.groupBy("_b").agg(F.sum("_c").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0)))
-    inside = W.partitionBy("_b").orderBy("_h").rowsBetween(W.unboundedPreceding, -1)
-    start = bucketed.join(F.broadcast(sums), "_b").select("_h", (F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0))).alias("_start"))
-    val = F.coalesce(F.col("_start") + F.col("_n") <= n_val, F.lit(False))
-    split = marked.join(start, "_h", "left").withColumn("_val", val)
-    return tuple(split.where(F.col("_val") == v).select(*pairs.columns) for v in (False, True))
+    whole = pairs.where("instruction IS NOT NULL AND input IS NOT NULL AND output IS NOT NULL").withColumn("_h", key).withColumn("_b", F.substring("_h", 1, 4))
+    counts = sorted((r["_b"], r["_c"]) for r in whole.groupBy("_b").agg(F.count("*").alias("_c")).collect())
+    upto = list(accumulate(c for _, c in counts))
+    n_val = max(1, int(upto[-1] * val_ratio)) if counts else 0
+    edge, before = next(((b, total - c) for (b, c), total in zip(counts, upto) if total >= n_val), ("", 0))
+    hashes = whole.where(F.col("_b") == edge).groupBy("_h").agg(F.count("*").alias("_c"))
+    starts = hashes.withColumn("_start", F.lit(before) + F.coalesce(F.sum("_c").over(W.partitionBy(F.substring("_h", 1, 4)).orderBy("_h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    inside = whole.where(F.col("_b") == edge).withColumn("_n", F.row_number().over(W.partitionBy("_h").orderBy("_h"))).join(starts.select("_h", "_start"), "_h")
+    chosen = F.col("_start") + F.col("_n") <= n_val
+    parts = [whole.where(F.col("_b") > edge).select(*pairs.columns), whole.where(F.col("_b") < edge).select(*pairs.columns)]
+    return tuple(part.unionByName(inside.where(keep).select(*pairs.columns)) for part, keep in zip(parts, (~chosen, chosen)))
 
 
 def format_training_text(pairs: DataFrame) -> DataFrame:

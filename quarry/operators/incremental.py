@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 from quarry.functions.text import cache_key
 
 
+def latest_rows(rows: DataFrame, key: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each key: the last in ``order``; of equal ones, or without an order, the highest digest of the whole row, so
+    that the choice does not depend on how rows arrive."""
+    digest = F.md5(F.to_json(F.struct("*")))
+    return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*[F.desc(c) for c in order], digest.desc()))).where("_n = 1").drop("_n")
+
+
 def upsert(existing: DataFrame, new: DataFrame, key: str = "chunk_id", order: tuple[str, ...] = ()) -> DataFrame:
-    """``existing`` with the rows of ``new`` inserted or replaced by key; of several new rows the last in ``order`` wins.
+    """``existing`` with the rows of ``new`` inserted or replaced by key; of several new rows ``latest_rows`` chooses.
     Only the new rows are sorted; the old ones are kept by an anti join."""
-    latest = F.row_number().over(W.partitionBy(key).orderBy(*[F.desc(c) for c in order] or [F.lit(1)]))
-    last = new.withColumn("_n", latest).where("_n = 1").drop("_n")
+    last = latest_rows(new, key, order)
     return existing.join(last.select(key), key, "left_anti").unionByName(last)
 
 

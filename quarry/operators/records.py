@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.text import MOLAR_MASS, STP_LITRES, stable_id
+from quarry.operators.incremental import latest_rows
 
 POLLUTANT = "STRUCT<value: DOUBLE, unit: STRING, basis: STRING, value_norm: DOUBLE, unit_norm: STRING>"
 RECORD = f"STRUCT<stage: STRING, coal_name: STRING, reactor_type: STRING, T_K: DOUBLE, P_MPa: DOUBLE, gas_agent: ARRAY<STRING>, ratios: MAP<STRING, DOUBLE>, pollutants: MAP<STRING, {POLLUTANT}>>"
@@ -97,29 +98,52 @@ def _differs(old: Column, new: Column) -> Column:
     return F.coalesce(F.exists(F.map_keys(new), off), F.lit(False))
 
 
+def _slices(rows: DataFrame, by: str, n: int = 64) -> Column:
+    """Number of the slice of ``by`` a row is in: at most ``n`` slices of about equal size, in its order, equal values together;
+    one slice where ``by`` is no number or time."""
+    kind = rows.schema[by].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long", "float", "double", "timestamp"):
+        return F.lit(0)
+    value = F.col(by).cast("double")
+    cuts = rows.agg(F.percentile_approx(value, [i / n for i in range(1, n)], 1000).alias("c")).first()["c"] or []
+    return F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>"), lambda c: c < F.coalesce(value, F.lit(float("-inf")))))
+
+
 def detect_conflicts(records: DataFrame, stored: DataFrame | None = None, order: tuple[str, ...] = ("seq",)) -> tuple[DataFrame, DataFrame]:
     """(records + is_conflict, conflicts): each record against the one before it with the same signature, in ``order``; the
     first against the newest stored one.
 
-    Only the columns compared go through the window. A signature of no condition at all says nothing about conflicts, and it
-    would gather every bare record: such rows pass with is_conflict 0."""
-    bare = (F.coalesce("stage", F.lit("unknown")) == "unknown") & F.col("T_K").isNull() & F.col("P_MPa").isNull() & F.coalesce("coal_name", "reactor_type").isNull() & (F.coalesce(F.size("gas_agent"), F.lit(0)) <= 0) & (F.coalesce(F.size("ratios"), F.lit(0)) <= 0)
-    keyed = records.withColumn("_bare", F.coalesce(bare, F.lit(False)))
-    w = W.partitionBy("signature").orderBy(*order)
-    compared = keyed.where("NOT _bare")
-    before = F.lag(F.struct("record_id", "pollutants")).over(w)
-    rows = compared.withColumn("_old", before)
+    One common condition may hold a large part of all records. The window therefore goes by signature and slice of the first
+    order column, and the first record of a slice takes the last one of the slice before it from a table of slice ends."""
+    rows = records.withColumn("_slice", _slices(records, order[0]))
+    own = F.struct("record_id", "pollutants")
+    before = F.lag(own).over(W.partitionBy("signature", "_slice").orderBy(*order))
+    ends = rows.groupBy("signature", "_slice").agg(F.max_by(own, F.struct(*order)).alias("_end"))
+    ends = ends.withColumn("_carried", F.lag("_end").over(W.partitionBy("signature").orderBy("_slice"))).drop("_end")
+    rows = rows.withColumn("_old", before).join(ends, ["signature", "_slice"]).withColumn("_old", F.coalesce("_old", "_carried")).drop("_carried", "_slice")
     if stored is not None:
-        newest = stored.groupBy("signature").agg(F.max_by(F.struct("record_id", "pollutants"), F.struct("updated_at", "record_id")).alias("_stored"))
+        newest = stored.groupBy("signature").agg(F.max_by(own, F.struct("updated_at", "record_id")).alias("_stored"))
         rows = rows.join(newest, "signature", "left").withColumn("_old", F.coalesce("_old", "_stored")).drop("_stored")
     rows = rows.withColumn("is_conflict", F.coalesce(_differs(F.col("_old.pollutants"), F.col("pollutants")), F.lit(False)).cast("int"))
     conflicts = rows.where("is_conflict = 1").select("signature", F.col("_old.record_id").alias("existing_record_id"), F.col("record_id").alias("new_record_id"), F.col("_old.pollutants").alias("existing_pollutants"), F.col("pollutants").alias("new_pollutants"))
-    calm = keyed.where("_bare").withColumn("is_conflict", F.lit(0))
-    return rows.drop("_old", "_bare").unionByName(calm.drop("_bare")), conflicts
+    return rows.drop("_old").select(*records.columns, "is_conflict"), conflicts
 
 
-def upsert_records(stored: DataFrame, new: DataFrame, key: str = "record_id") -> DataFrame:
-    """The records after the run: new rows replace stored ones of the same id but keep their created_at."""
+def upsert_records(stored: DataFrame, new: DataFrame, key: str = "record_id", order: tuple[str, ...] = ("updated_at",)) -> DataFrame:
+    """The records after the run: new rows replace stored ones of the same id but keep their created_at. Of several new rows
+    of one id the last in ``order`` counts."""
+    last = latest_rows(new, key, tuple(c for c in order if c in new.columns))
     old = stored.select(F.col(key).alias("_key"), F.col("created_at").alias("_created"))
-    merged = new.join(old, new[key] == old["_key"], "left").withColumn("created_at", F.coalesce("_created", "created_at")).drop("_key", "_created")
-    return stored.join(new.select(key), key, "left_anti").unionByName(merged.select(*stored.columns))
+    merged = last.join(old, last[key] == old["_key"], "left").withColumn("created_at", F.coalesce("_created", "created_at")).drop("_key", "_created")
+    return stored.join(last.select(key), key, "left_anti").unionByName(merged.select(*stored.columns))
+
+
+def evidence_rows(records: DataFrame) -> DataFrame:
+    """The evidence of saved records, one row each: record_id, source_file, page, chunk_id and quote."""
+    return records.select("record_id", "source_file", "page", "chunk_id", "quote").distinct()
+
+
+def run_counts(attempted: DataFrame, saved: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """One row with the sizes of a run: attempted, saved, conflicts."""
+    parts = [df.agg(F.count("*").alias(n)) for df, n in ((attempted, "attempted"), (saved, "saved"), (conflicts, "conflicts"))]
+    return parts[0].crossJoin(parts[1]).crossJoin(parts[2])

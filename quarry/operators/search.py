@@ -146,8 +146,8 @@ def knn_topk(probes: DataFrame, chunks: DataFrame, k: int, key: str = "chunk_id"
     spark, out = chunks.sparkSession, None
     for part in _blocks(probes.select("qid", F.col(vector).alias("v")).where("v IS NOT NULL"), most_probes):
         block = sorted(((r.qid, r.v) for r in part.toLocalIterator()), key=lambda r: str(r[0]))
-        matrix = np.array([v for _, v in block], dtype=np.float64).reshape(len(block), -1)
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True) if len(block) else np.zeros((0, 1))
+        matrix = np.array([v for _, v in block], dtype=np.float64).reshape(len(block), -1 if block else 1)
+        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
         shared = spark.sparkContext.broadcast(([q for q, _ in block], matrix / np.where(norms == 0, 1, norms)))
 
         def nearest(batches, shared=shared):

@@ -140,6 +140,30 @@ ORACLE["upsert_records"] = f"""WITH r AS ({said(RECORDS)})
 SELECT record_id, CASE WHEN seq % 3 = 0 THEN 'coupled' ELSE stage END AS stage, CASE WHEN seq % 2 = 0 THEN seq % 100000 ELSE seq % 70001 END AS created FROM r WHERE seq % 2 = 0 OR seq % 3 = 0"""
 
 
+def record_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence rows of all records, each brought twice."""
+    rows = view(spark, sf_dir, RECORDS).select("record_id", "source_file", (F.col("seq") % 40).cast("int").alias("page"), F.concat(F.lit("c"), "record_id").alias("chunk_id"), F.concat(F.col("pollutant"), F.lit(" in "), F.col("unit")).alias("quote"))
+    return rc.evidence_rows(rows.unionByName(rows))
+
+
+def record_run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of a run over all records: attempted, saved and in conflict."""
+    rows = _signed(spark, sf_dir)
+    saved, _ = rc.validate_records(rows)
+    return rc.run_counts(rows, saved, rc.detect_conflicts(saved, order=("seq", "record_id"))[1])
+
+
+QUERIES |= {"record_evidence": record_evidence, "record_run_counts": record_run_counts}
+ORACLE["record_evidence"] = f"""WITH r AS ({said(RECORDS)})
+SELECT record_id, source_file, CAST(seq % 40 AS INT) AS page, 'c' || record_id AS chunk_id, pollutant || ' in ' || unit AS quote FROM r"""
+
+ORACLE["record_run_counts"] = f"""WITH {SQL_RECORDS},
+v AS (SELECT * FROM rec WHERE coalesce(T_K, 200) >= 200 AND value IS NOT NULL),
+o AS (SELECT norm, pollutant, lag(pollutant) OVER w AS old_pollutant, lag(norm) OVER w AS old_norm FROM v WINDOW w AS (PARTITION BY signature ORDER BY seq, record_id))
+SELECT (SELECT count(*) FROM rec) AS attempted, (SELECT count(*) FROM v) AS saved,
+  (SELECT count(*) FROM o WHERE pollutant = old_pollutant AND abs(old_norm - norm) / abs(old_norm) > CAST(0.2 AS DOUBLE)) AS conflicts"""
+
+
 def export_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest 2000 records in the export's columns."""
     out = export_rows(_stamped(spark, sf_dir))

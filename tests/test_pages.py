@@ -9,6 +9,7 @@ from quarry.functions.helpers import tokens
 from quarry.operators import chunking as ch
 from quarry.operators import layout as lo
 from quarry.sources import readers as rd
+from quarry.streaming import ingest
 from quarry.streaming.ingest import latest, stream_ingest
 
 
@@ -105,6 +106,12 @@ def test_scan_and_stream(spark, tmp_path):
     run()
     assert first < {r.chunk_id for r in latest(spark, out).collect()}
     assert latest(spark, out).where("stage = 'pyrolysis'").count() > 0
+    rows("a", "Now quite another text, of gasification.").write.mode("append").parquet(str(pages))
+    run()
+    now = latest(spark, out)
+    assert now.where("source_file = 'a' AND stage = 'pyrolysis'").count() == 0 and now.where("source_file = 'a'").count() > 0 and now.where("source_file = 'b'").count() > 0
+    versions = {p: sorted(held) for p, held in ingest._versions(spark, out).items()}
+    assert len(versions) == 2 and max(map(len, versions.values())) == 2  # only the parts touched are written again
 
 
 def test_nothing_in_the_library_imports_the_llm_subpackage():

@@ -49,7 +49,16 @@ def test_conflicts(spark):
     stored = signed.where("record_id = 'c'").withColumn("updated_at", F.lit(1))
     assert {r.record_id for r in rc.detect_conflicts(signed, stored)[0].where("is_conflict = 1").collect()} == {"a", "c"}
     bare = signed.select("record_id", F.lit("unknown").alias("stage"), *[F.lit(None).cast(signed.schema[c].dataType).alias(c) for c in ("coal_name", "reactor_type", "T_K", "P_MPa", "gas_agent", "ratios")], "pollutants", "seq", "signature")
-    assert rc.detect_conflicts(bare)[0].where("is_conflict = 1").count() == 0
+    assert {r.record_id for r in rc.detect_conflicts(bare)[0].where("is_conflict = 1").collect()} == {"c"}
+
+
+def test_conflicts_of_one_common_condition_cross_slices(spark):
+    rows = [record(f"r{i}", 10.0 * (2 if i % 5 == 0 else 1), seq=i // 2) for i in range(300)]
+    signed = rc.normalize_pollutants(spark.createDataFrame(rows, SCHEMA)).withColumn("signature", F.lit("s"))
+    got = {r.record_id for r in rc.detect_conflicts(signed, order=("seq", "record_id"))[0].where("is_conflict = 1").collect()}
+    ordered = sorted(rows, key=lambda r: (r[-1], r[0]))
+    value = lambda r: r[8]["NH3"][0]
+    assert got == {b[0] for a, b in zip(ordered, ordered[1:]) if abs(value(a) - value(b)) / value(a) > 0.2}
 
 
 def test_outputs_and_quotes(spark):
@@ -65,6 +74,9 @@ def test_upserts(spark):
     new = spark.createDataFrame([("b", "s1", 9), ("c", "s1", 9)], "record_id string, stage string, created_at int")
     assert sorted(map(tuple, rc.upsert_records(old, new).collect())) == [("a", "s0", 1), ("b", "s1", 1), ("c", "s1", 9)]
     many = new.unionByName(spark.createDataFrame([("c", "s2", 10)], new.schema))
+    assert sorted(map(tuple, rc.upsert_records(old, many, order=("created_at",)).collect())) == [("a", "s0", 1), ("b", "s1", 1), ("c", "s2", 10)]
+    tied = inc.latest_rows(spark.createDataFrame([("k", "x"), ("k", "y")], "record_id string, stage string").repartition(2), "record_id").collect()
+    assert tied == inc.latest_rows(spark.createDataFrame([("k", "y"), ("k", "x")], "record_id string, stage string"), "record_id").collect()
     assert sorted(map(tuple, inc.upsert(old, many, "record_id", ("created_at",)).collect())) == [("a", "s0", 1), ("b", "s1", 9), ("c", "s2", 10)]
 
 
