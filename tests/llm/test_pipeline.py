@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from quarry.llm.decontaminate import WINDOW
 from quarry.scratch import materialize
 from tests.llm.test_decontaminate import words_of
 from tests.llm.test_line_dedup import slow as slow_lines
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_near_copies import slow_components, slow_pairs, slow_set
 
 
 def test_every_stage_does_its_work_on_all_that_came_before(spark):
@@ -35,8 +37,8 @@ def test_every_stage_does_its_work_on_all_that_came_before(spark):
         text = r.text if whole else "\n".join(lines)
         assert seen["line_dedup"][r.doc_id].text == text and seen["line_dedup"][r.doc_id].n_chars == len(text)
 
-    prints = {i: slow_fingerprint(r.text) for i, r in seen["line_dedup"].items()}
-    assert set(seen["near_duplicates"]) == set(slow_components(prints).values())
+    sets = {i: slow_set(r.text) for i, r in seen["line_dedup"].items()}
+    assert set(seen["near_duplicates"]) == set(slow_components(sets, slow_pairs(sets)).values())
 
     windows = set()
     for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
@@ -53,3 +55,22 @@ def test_every_stage_does_its_work_on_all_that_came_before(spark):
 
     assert set(seen["mixing"]) == set(seen["decontamination"])
     assert {r.doc_id for r in cp.run(spark, sf).collect()} == set(seen["mixing"])
+
+
+def test_stages_take_any_rows_and_columns(spark):
+    sf = "/root/testdata/sf0.001"
+    first = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = [(None, None, None, None, None), (1, "", "en", "src0", 0), (1, "", "en", "src0", 0), (2, "word " * 50_000, None, "src0", 1), (None, "no id here at all", "en", None, 2)]
+    docs = first.unionByName(spark.createDataFrame(odd, first.schema))
+    names = ["drop", "phases", "kept_lines", "_row", "toxicity", "spans", "fp", "slot", "cut"]
+    docs = docs.withColumns({c: F.lit(c) for c in names})
+    columns = docs.columns
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, sf)
+        assert (out.columns == columns) if name != cp.STAGES[-1][0] else (out.columns[: len(columns)] == columns)
+        kept = [c for c in names if name != "mixing" or c != "slot"]
+        assert out.select(*kept).distinct().count() == 1
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        docs = materialize(out, name) if name != cp.STAGES[-1][0] else docs
+    texts = [r.text for r in docs.collect() if r.doc_id is None]
+    assert "no id here at all" in texts and None in texts
