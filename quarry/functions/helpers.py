@@ -51,7 +51,7 @@ ABBREVIATIONS = ("e.g.", "i.e.", "etc.", "dr.", "mr.", "mrs.", "vs.", "fig.")
 
 def sentences(text: str, min_len: int = 8) -> list[str]:
     """Pieces after a stop, an abbreviation with what follows, short pieces with the next one."""
-    parts = [p.strip() for p in re.sub(r"(?<=[.!?。！？；;:：])\s*", "\x00", text.strip()).split("\x00") if p.strip()]
+    parts = [p.strip() for p in re.split(r"(?<=[.!?。！？；;:：])\s*", text.strip()) if p.strip()]
     whole: list[str] = []
     waiting = False
     for part in parts:
