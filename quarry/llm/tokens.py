@@ -29,9 +29,10 @@ def alnum_words(text: bytes | None) -> list[bytes]:
     return [] if text is None else text.lower().translate(_ALNUM).split()
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of whole texts stay small: documents may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts stay small: documents may be very long. The option holds for the session and is read when
+    a plan runs, so all operators here set the same number."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
 def packed(df: DataFrame) -> Column:

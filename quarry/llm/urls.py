@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.tokens import small_batches
+from quarry.llm.tokens import packed, unpacked
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -99,11 +99,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     ``rules`` has text (``host/path``) and verdict (allow or block); null ones are no rules. Up to ``max_rules`` rules make
     a trie that is broadcast; more are joined by host. The longest rule text that fits decides, of equal ones a block;
     without one rule is null and the verdict is ``default``. Null urls and texts without ``://`` have an empty host and path
-    and fit no rule. Columns named like the new ones are replaced; an empty table gives an empty result.
+    and fit no rule; urls of any length are read whole; repeated rows are judged alike. Columns named like the new ones are
+    replaced, others may have any name; an empty table gives an empty result.
     """
     spark = pages.sparkSession
     stated = rules.where("text IS NOT NULL AND verdict IS NOT NULL").select("text", "verdict")
-    keyed = pages.withColumns({"_host": url_host(url_col), "_path": url_path(url_col)})
+    keyed = pages.select(packed(pages), url_host(url_col).alias("_host"), url_path(url_col).alias("_path"))
     first = stated.limit(max_rules + 1).collect()
     if len(first) > max_rules:
         out = _by_join(keyed, stated)
@@ -114,7 +115,6 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
         def look_up(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
             return pd.DataFrame([trie.value.find(h, p) for h, p in zip(hosts, paths)], columns=["rule", "verdict"])
 
-        small_batches(spark, 5000)
         out = keyed.withColumn("_rule", look_up("_host", "_path"))
     new = {"host": F.col("_host"), "path": F.col("_path"), "rule": F.col("_rule.rule"), "verdict": F.coalesce("_rule.verdict", F.lit(default))}
-    return out.withColumns(new).drop("_host", "_path", "_rule")
+    return unpacked(out, pages.columns, new)

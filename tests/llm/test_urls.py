@@ -43,3 +43,14 @@ def test_trie_and_join_equal_brute_force(spark):
             assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, verdict or "unknown"), url
     assert urls.filter_urls(pages.limit(0), table).count() == 0
     assert {r.verdict for r in urls.filter_urls(pages, table.limit(0)).collect()} == {"allow"}
+
+
+def test_long_urls_repeats_and_any_columns(spark):
+    long = "http://a.org/" + "x/" * 200_000 + "?q"
+    rows = [(1, long, "h", "p", "r"), (2, "http://a.org/", "h", "p", "r"), (2, "http://a.org/", "h", "p", "r")]
+    pages = spark.createDataFrame(rows, "page_id int, url string, _host string, _path string, host string")
+    table = spark.createDataFrame([("a.org/", "block"), ("a.org/x/x", "allow")], "text string, verdict string")
+    for bound in (10, 1):
+        got = sorted(urls.filter_urls(pages, table, max_rules=bound).collect(), key=lambda r: r.page_id)
+        assert [(r.page_id, r.rule, r.verdict, r._host, r._path, r.host) for r in got] == [(1, "a.org/x/x", "allow", "h", "p", "a.org")] + [(2, "a.org/", "block", "h", "p", "a.org")] * 2
+        assert len(got[0].path) == 400_001
