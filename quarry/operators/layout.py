@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.helpers import merge_wrapped_lines
 from quarry.functions.text import fix_hyphenation, markdown_whitespace, normalize_bullets
@@ -140,28 +141,44 @@ def infer_section(text: str | Column) -> Column:
     return F.when(is_reference_like(text), "references").otherwise(F.coalesce(*by_word))
 
 
+_ANY_CHAR = r"[^\n\r\u0085\u2028\u2029]"
+_HEADING = re.compile(rf"(#{{1,6}})\s+({_ANY_CHAR}*\S)\s*", re.ASCII)
+
+
+def sections(text: str, max_depth: int) -> list[tuple[int, int, str, str]]:
+    """(number, level, path, lines) of the text before, between and after the headings of one document."""
+    found, titles, level, lines = [], [""] * (max_depth + 1), 0, []
+    number = 0
+
+    def close() -> None:
+        if lines:
+            path = " > ".join(t for t in titles[1:] if t)
+            found.append((number, level, path or "(root)", "\n".join(lines)))
+
+    for line in re.split("\r\n|[\n\r]", text):
+        heading = _HEADING.fullmatch(line) if line.startswith("#") else None
+        if heading is None or len(heading[1]) > max_depth:
+            lines.append(line)
+            continue
+        close()
+        level, number, lines = len(heading[1]), number + 1, []
+        titles[level:] = [heading[2].strip(" "), *[""] * (max_depth - level)]
+    close()
+    return found
+
+
+_SECTION = T.StructType([T.StructField("section_ord", T.LongType()), T.StructField("level", T.IntegerType()), T.StructField("heading_path", T.StringType()), T.StructField("content", T.StringType())])
+
+
 def parse_markdown_sections(docs: DataFrame, doc: str = "doc_id", text_col: str = "text", max_depth: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc, *keep, section_ord, level, heading_path, content): text between headings of up to ``max_depth`` marks. The path
     joins the current heading of each level; a heading clears the deeper ones; empty sections go.
 
-    Lines are numbered within their document, so one very long document is one group of lines but never one value: the
-    running headings are windows that spill."""
-    rows = docs.select(doc, *keep, F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\r\n|[\n\r]")).alias("pos", "line"))
-    marks = F.length(F.regexp_extract("line", rf"^(#{{1,{max_depth}}})\s+.*\S\s*$", 1))
-    rows = rows.withColumn("level", marks).withColumn("title", F.when(marks > 0, F.trim(F.regexp_extract("line", r"^#{1,6}\s+(.*\S)\s*$", 1))))
-    order = W.partitionBy(doc).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    heads = {f"_p{k}": F.max(F.when(F.col("level") == k, F.col("pos"))).over(order) for k in range(1, max_depth + 1)}
-    names = {f"_t{k}": F.last(F.when(F.col("level") == k, F.col("title")), ignorenulls=True).over(order) for k in range(1, max_depth + 1)}
-    rows = rows.withColumns(heads | names | {"section_ord": F.sum((F.col("level") > 0).cast("int")).over(order)})
-    alive = []
-    for k in range(1, max_depth + 1):
-        higher = reduce(F.greatest, [F.coalesce(f"_p{j}", F.lit(-1)) for j in range(1, k)], F.lit(-1)) if k == 2 else (F.greatest(*[F.coalesce(f"_p{j}", F.lit(-1)) for j in range(1, k)]) if k > 2 else F.lit(-1))
-        alive.append(F.when(F.col(f"_p{k}") > higher, F.col(f"_t{k}")))
-    last = F.greatest(*[F.coalesce(f"_p{k}", F.lit(-1)) for k in range(1, max_depth + 1)])
-    level = F.coalesce(*[F.when((F.col(f"_p{k}") == last) & (last >= 0), F.lit(k)) for k in range(1, max_depth + 1)], F.lit(0))
-    path = F.array_join(F.array_compact(F.array(*alive)), " > ")
-    rows = rows.withColumns({"heading_path": F.when(path == "", "(root)").otherwise(path), "_level": level})
-    body = rows.where(F.col("level") == 0).groupBy(doc, *keep, "section_ord", F.col("_level").alias("level"), "heading_path")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda z: z["line"]), "\n")
-    out = body.agg(F.regexp_replace(text, r"(?U)^\s+|\s+$", "").alias("content"))
-    return out.where("content <> ''")
+    A row is a whole document, and its headings are followed within the row: nothing is shuffled."""
+
+    @F.pandas_udf(T.ArrayType(_SECTION))
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sections(t or "", max_depth), na_action=None)
+
+    rows = docs.select(doc, *keep, F.explode(cut.asNondeterministic()(F.col(text_col).cast("string"))).alias("s")).select(doc, *keep, "s.*")
+    return rows.withColumn("content", F.regexp_replace("content", r"(?U)^\s+|\s+$", "")).where("content <> ''")

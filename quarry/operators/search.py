@@ -266,7 +266,7 @@ def soft_rank(ranked: DataFrame, chunks: DataFrame, queries: DataFrame, drop_sec
     """(qid, chunk_id, score, rank): soft constraints plus 1 / rank, without noise sections and reference lists."""
     soft = queries.select("qid", F.filter("constraints", lambda c: c["priority"] == "soft").alias("soft"))
     cols = ["chunk_id", "section", "stage", "gas_agent", "targets", "T_K", "T_min_K", "T_max_K", "P_MPa", "P_min_MPa", "P_max_MPa", "coal_name", "text"]
-    rows = ranked.select("qid", "chunk_id", F.col("rank").alias("before")).join(chunks.select(*cols), "chunk_id").join(F.broadcast(soft), "qid")
+    rows = ranked.select("qid", "chunk_id", F.col("rank").alias("before")).join(chunks.select(*cols), "chunk_id").join(soft, "qid")
     rows = rows.where(~F.lower(F.trim(F.coalesce("section", F.lit("unknown")))).isin(*drop_sections)) if drop_sections else rows
     rows = rows.where(~is_reference_like("text")) if drop_reference_like else rows
     score = F.aggregate("soft", F.lit(0.0), lambda s, c: s + _constraint_score(c)) + 1.0 / F.col("before")
