@@ -12,7 +12,8 @@ from quarry.operators import incremental as inc
 from quarry.operators.evaluate import build_train_val, eval_precision_recall_mrr
 from quarry.operators.evaluate import match_gold as matched
 from quarry.plans.search_queries import asked
-from quarry.plans.upkeep_queries import _top, gold, ingest_stats, pairs
+from quarry.plans.upkeep_queries import _TOP, _top, gold, ingest_stats, pairs
+from quarry.plans.upkeep_queries import ORACLE as UPKEEP
 from quarry.plans.views import QUESTIONS, said, table
 from quarry.scratch import shared_dir
 from quarry.sources import readers as rd
@@ -171,6 +172,10 @@ def write_train_val(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"append_query_log": append_query_log, "append_run_metrics": append_run_metrics, "log_ingest_run": log_ingest_run, "write_train_val": write_train_val}
+ORACLE["append_query_log"] = f"""WITH {_TOP}, questions AS ({said(QUESTIONS)}),
+t AS (SELECT qid, '["' || string_agg(chunk_id, '","' ORDER BY rank) || '"]' AS ids, count(DISTINCT source_file) AS d FROM hits GROUP BY qid)
+SELECT q.qid, raw AS query, ids AS top_chunk_ids_json, coalesce(d, 0) AS diversity_k, 'spark' AS backend, 'two_stage' AS mode FROM questions q LEFT JOIN t USING (qid)"""
+ORACLE["append_run_metrics"] = f"SELECT 'run1' AS run_id, 'chunks' AS index_name, CAST((SELECT count(*) FROM lineitem) AS INT) AS doc_count, * FROM ({UPKEEP['eval_precision_recall_mrr']})"
 ORACLE["log_ingest_run"] = "SELECT 'run1' AS run_id, count(*) AS chunks, 'ok' AS status FROM lineitem"
 ORACLE["write_train_val"] = """WITH p AS (SELECT count(*) AS n FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant')
 SELECT 'train' AS side, n - greatest(1, n // 10) AS n FROM p UNION ALL SELECT 'val', greatest(1, n // 10) FROM p"""
