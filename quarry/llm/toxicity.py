@@ -1,10 +1,10 @@
 """Toxicity by nearest labelled examples.
 
 Texts are TF-IDF vectors over all words of the labelled examples; a word's weight also has its relevance frequency, that is
-how much more of the toxic texts than of the others hold it. The examples form an inverted index in blocks: for every word
-the postings of each block lie together under the largest weight the word has in the block. A text's neighbours under exact
-cosine are found by adding up these maxima to a bound for every block, scoring the best blocks, and then only those others
-whose bound reaches the k-th best cosine so far. Votes weighted by similarity are calibrated on the examples themselves,
+how much more of the toxic texts than of the others hold it. The examples form an inverted index in blocks, with the largest
+weight of every common word in each block. A text's neighbours under exact cosine are found by adding up its rare words,
+then the maxima of its common words to a bound for every block, and going on with the blocks whose bound reaches the k-th
+best sum. Votes weighted by similarity are calibrated on the examples themselves,
 each judged without itself.
 """
 
@@ -26,7 +26,7 @@ from quarry.llm.tokens import alnum_words, small_batches, utf8
 from quarry.scratch import materialize
 
 BLOCK = 16
-COMMON = 16  # a term in more than one of so many examples is common
+COMMON = 4  # a term in more than one of so many examples is common
 _NONE = np.zeros(0, dtype=np.int64)
 
 
@@ -40,7 +40,8 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 class BlockMaxIndex:
     """Exact cosine search over unit vectors (term ids, weights). The examples are put in an order that brings those with
-    the same frequent terms together, and cut into blocks of ``BLOCK``; ``postings`` counts what searches have read."""
+    the same frequent terms together, and cut into blocks of ``BLOCK``, for which the common terms, those in more than one of
+    ``COMMON`` examples, keep their maxima; ``postings`` counts what searches have read."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         self.size, self.blocks, self.postings = len(vectors), -(-len(vectors) // BLOCK), 0
@@ -55,32 +56,47 @@ class BlockMaxIndex:
         docs = np.repeat(self.place, [len(t) for t, _ in vectors]) if vectors else _NONE
         by = np.lexsort((docs, terms))
         self.docs, self.weights = docs[by], weights[by]
-        pair = terms[by] * max(1, self.blocks) + self.docs // BLOCK
-        first = np.flatnonzero(np.diff(pair, prepend=-1))
-        self.first = np.append(first, len(pair))  # postings of each (term, block)
-        self.block = self.docs[first] // BLOCK
-        self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
-        self.start = np.searchsorted(terms[by][first], np.arange(n_terms + 1))  # (term, block) entries of each term
+        self.start = np.searchsorted(terms[by], np.arange(n_terms + 1))  # postings of each term
+        often = np.flatnonzero(self.times > self.size // COMMON) if self.size else _NONE
+        self.row = np.full(n_terms, -1, dtype=np.int64)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), self.size))  # postings of the common terms, as rows
+        for r, t in enumerate(often.tolist()):
+            here = slice(self.start[t], self.start[t + 1])
+            self.dense[r, self.docs[here]] = self.weights[here]
+        self.edges = np.arange(0, self.size, BLOCK)
+        self.tops = np.maximum.reduceat(self.dense, self.edges, axis=1) if len(often) else np.zeros((0, self.blocks))  # maxima by block
 
     def nearest(self, terms: np.ndarray, values: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(positions, cosines) of the k examples of highest positive cosine, best first, ties by position; ``without`` is
         left out.
 
         The telling terms, those of short posting lists, are added up first. What the common terms can add to the examples
-        of a block is bounded by their maxima in it, so they are read only in blocks that hold an example whose sum and bound
-        together reach the k-th best sum. No other example can be among the k, so the result is exact."""
-        common = self.times[terms] > self.size // COMMON
-        scores = self._scores(*self._entries(terms[~common], values[~common]))
+        of a block is bounded by their maxima in it, so only blocks with an example whose sum and bound together reach the
+        k-th best sum matter. No other example can be among the k, so the result is exact. Common terms are rows of a matrix:
+        where few blocks are open only these are read, else the rows are added whole, which is faster than picking."""
+        common = self.row[terms] >= 0
+        rare = terms[~common]
+        at, size = _ranges(self.start[rare], self.start[rare + 1])
+        scores = np.bincount(self.docs[at], np.repeat(values[~common], size) * self.weights[at], minlength=self.size).astype(np.float64, copy=False)
+        self.postings += len(at)
         if 0 <= without < self.size:
             scores[self.place[without]] = -2.0
-        entries, value = self._entries(terms[common], values[common])
-        if len(entries):
-            bound = np.bincount(self.block[entries], value * self.most[entries], minlength=self.blocks) + 1e-9
+        rows, own = self.row[terms[common]], values[common]
+        if len(rows):
+            bound = own @ self.tops[rows] + 1e-9
             reached = max(0.0, np.partition(scores, -k)[-k]) if len(scores) > k else 0.0
-            open_ = np.zeros(self.blocks, dtype=bool)
-            open_[np.flatnonzero(scores + np.repeat(bound, BLOCK)[: self.size] >= reached) // BLOCK] = True
-            here = open_[self.block[entries]]
-            scores += self._scores(entries[here], value[here])
+            most = np.maximum.reduceat(scores, self.edges)
+            open_ = np.flatnonzero(most + bound >= reached)
+            self.postings += len(open_) * BLOCK * len(rows)
+            if 4 * len(open_) < self.blocks:
+                here = (open_[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+                here = here[here < self.size]
+                scores[here] += own @ self.dense[np.ix_(rows, here)]
+            else:
+                part = np.empty(self.size)
+                for r, v in zip(rows.tolist(), own.tolist()):
+                    scores += np.multiply(self.dense[r], v, out=part)
         found = np.flatnonzero(scores > 0)
         if len(found) > 4 * k:
             found = found[scores[found] >= np.partition(scores, -k)[-k] - 1e-11]
@@ -88,17 +104,6 @@ class BlockMaxIndex:
         top = np.lexsort((positions, -cosines))[:k]
         return positions[top], cosines[top]
 
-    def _entries(self, terms: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The (term, block) entries of the terms, with each one's weight in the query."""
-        entries, size = _ranges(self.start[terms], self.start[terms + 1])
-        return entries, np.repeat(values, size)
-
-    def _scores(self, entries: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """What the postings under the entries add to each example, in the order of the index."""
-        at, size = _ranges(self.first[entries], self.first[entries + 1])
-        self.postings += len(at)
-        return np.bincount(self.docs[at], np.repeat(value, size) * self.weights[at], minlength=self.size).astype(np.float64, copy=False)
-
 
 @dataclass
 class Model:
