@@ -170,13 +170,13 @@ def learn(rows: DataFrame, rounds: int = 5, support: int = 3, confidence: float
     edges = edges.where("pattern IS NOT NULL").select("pattern", "value")
     patterns = edges.sparkSession.createDataFrame([], "pattern string, conf double")
     for _ in range(rounds):
-        wanted = edges.join(trusted, "value", "left_semi").groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-        held = edges.join(wanted.select("pattern"), "pattern", "left_semi").join(trusted.withColumn("sure", F.lit(1)), "value", "left")
+        held = edges.join(trusted.withColumn("sure", F.lit(1)), "value", "left")
         held = materialize(held.select("pattern", "value", F.coalesce("sure", F.lit(0)).alias("sure")), "held")
         alike = held.groupBy("pattern", _shape(F.col("value")).alias("shape")).agg(F.count("*").alias("n"), F.sum("sure").alias("t"))
         summed = alike.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum((F.col("n") - F.col("t")) * F.col("n")).alias("u"))
         conf = F.col("t") / F.col("n") + F.col("u") / F.col("n") / F.col("n")
-        patterns = materialize(summed.select("pattern", conf.alias("conf")).where(F.col("conf") >= confidence), "patterns")
+        patterns = summed.where(F.col("t") >= support).select("pattern", conf.alias("conf")).where(F.col("conf") >= confidence)
+        patterns = materialize(patterns, "patterns")
         raised = held.where("sure = 0").join(patterns, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-9)))))).alias("score"))
         new = materialize(raised.where(F.col("score") >= confidence).select("value"), "new")
         if new.isEmpty():
