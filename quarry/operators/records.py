@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import MOLAR_MASS, STP_LITRES, stable_id
 from quarry.operators.incremental import latest_rows
+from quarry.scratch import materialize
 
 POLLUTANT = "STRUCT<value: DOUBLE, unit: STRING, basis: STRING, value_norm: DOUBLE, unit_norm: STRING>"
 RECORD = f"STRUCT<stage: STRING, coal_name: STRING, reactor_type: STRING, T_K: DOUBLE, P_MPa: DOUBLE, gas_agent: ARRAY<STRING>, ratios: MAP<STRING, DOUBLE>, pollutants: MAP<STRING, {POLLUTANT}>>"
@@ -98,7 +99,7 @@ def _differs(old: Column, new: Column) -> Column:
     return F.coalesce(F.exists(F.map_keys(new), off), F.lit(False))
 
 
-def _slices(rows: DataFrame, by: str, n: int = 64) -> Column:
+def _slices(rows: DataFrame, by: str, n: int = 16) -> Column:
     """Number of the slice of ``by`` a row is in: at most ``n`` slices of about equal size, in its order, equal values together;
     one slice where ``by`` is no number or time."""
     kind = rows.schema[by].dataType.typeName()
@@ -115,6 +116,7 @@ def detect_conflicts(records: DataFrame, stored: DataFrame | None = None, order:
 
     One common condition may hold a large part of all records. The window therefore goes by signature and slice of the first
     order column, and the first record of a slice takes the last one of the slice before it from a table of slice ends."""
+    records = materialize(records, "records")
     rows = records.withColumn("_slice", _slices(records, order[0]))
     own = F.struct("record_id", "pollutants")
     before = F.lag(own).over(W.partitionBy("signature", "_slice").orderBy(*order))
