@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, licenses, line_dedup, mixing, nbsvm, pii, quality_rules, simhash, toxicity, urls
+from quarry.llm import decontaminate, licenses, line_dedup, mixing, nbsvm, pii, quality_rules, runs, simhash, toxicity, urls
 from quarry.llm.labelled import held_out
 from quarry.llm.oracle import ORACLE
 from quarry.scratch import materialize
@@ -106,6 +106,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.digest(list(pii.BASE)), 256).alias("base_sha256"), pii.digest(pii.KINDS).alias("spans"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents."""
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = runs.with_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), hash_col=hashed)
+    best, n = runs.longest(), F.size("periodic.runs").cast("long")
+    return found.select(
+        "doc_id",
+        n.alias("n_runs"),
+        *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.call_function("div", best["length"] * 1000, best["period"]).alias("exponent_milli"),
+        F.sha2(runs.digest(), 256).alias("runs_sha256"),
+        F.sha2(F.col("periodic.text"), 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -126,6 +141,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_license_scan": op9_license_scan,
         "op10_pii": op10_pii,
+        "op13_periodic_runs": op13_periodic_runs,
         "pipeline": pipeline,
     }
 
