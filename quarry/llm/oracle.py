@@ -81,3 +81,28 @@ placed AS (SELECT source, slot, ran AS phase, row_number() OVER (PARTITION BY pi
 SELECT doc_id, n.source AS source, CAST(phase AS INT) AS phase, block, slot, slot * 16 + n % 16 AS position
 FROM n JOIN placed ON n.source = placed.source AND n.n // 16 = placed.block
 """
+
+#: {least} and {wanted} are the least count of a candidate and the number of phrases of a language.
+COLLOCATIONS = rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\n-\r]')) AS piece FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM t),
+one AS (SELECT lang, unnest(w) AS phrase FROM w),
+total AS (SELECT lang, count(*) AS n FROM one GROUP BY lang),
+spots AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS f FROM spots GROUP BY ALL),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= {{least}}),
+cuts AS (
+  SELECT c.lang, c.phrase, c.k, c.a, j, l.f AS l, r.f AS r, CAST((2000000::HUGEINT * c.a) // (l.f::HUGEINT + r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) AS c
+  JOIN f AS l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:j], ' ')
+  JOIN f AS r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_parts AS (
+  SELECT lang, a AS longer, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c WHERE k > 2))),
+around AS (SELECT lang, phrase, max(longer) AS most FROM inner_parts GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN around USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * a),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN total USING (lang) WHERE rank <= {{wanted}}
+"""
+ORACLE["op11_collocations"] = COLLOCATIONS.format(least=30, wanted=2000)

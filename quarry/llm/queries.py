@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, licenses, line_dedup, mixing, nbsvm, pii, quality_rules, runs, simhash, toxicity, urls
+from quarry.llm import collocations, decontaminate, licenses, line_dedup, mixing, nbsvm, pii, quality_rules, runs, simhash, toxicity, urls
 from quarry.llm.labelled import held_out
 from quarry.llm.oracle import ORACLE
 from quarry.scratch import materialize
@@ -106,6 +106,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.digest(list(pii.BASE)), 256).alias("base_sha256"), pii.digest(pii.KINDS).alias("spans"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language in all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in all documents."""
     hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -141,6 +146,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_license_scan": op9_license_scan,
         "op10_pii": op10_pii,
+        "op11_collocations": op11_collocations,
         "op13_periodic_runs": op13_periodic_runs,
         "pipeline": pipeline,
     }
