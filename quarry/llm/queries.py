@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import collocations, decontaminate, licenses, line_dedup, mixing, nbsvm, pii, quality_rules, runs, simhash, toxicity, urls
+from quarry.llm import collocations, decontaminate, language_model, licenses, line_dedup, mixing, nbsvm, pii, quality_rules, runs, simhash, toxicity, urls
 from quarry.llm.labelled import held_out
 from quarry.llm.oracle import ORACLE
 from quarry.scratch import materialize
@@ -111,6 +111,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
 
 
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents."""
+    return language_model.with_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in all documents."""
     hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -147,6 +152,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_license_scan": op9_license_scan,
         "op10_pii": op10_pii,
         "op11_collocations": op11_collocations,
+        "op12_language_model": op12_language_model,
         "op13_periodic_runs": op13_periodic_runs,
         "pipeline": pipeline,
     }
