@@ -22,13 +22,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.llm.bitmaps import MASK, bitmap, holds, low_bits
 from quarry.llm.tokens import small_batches, utf8
 from quarry.scratch import materialize
 
@@ -40,8 +40,6 @@ SCALE = 2_000_000
 COVERED = 80
 NO_LANGUAGE = "und"
 
-#: Bits of a hash map: 4 MiB, whatever the size of the input.
-BITS = 25
 _PIECES = b".,;:!?\x0a\x0b\x0c\x0d"
 _CUT = 0xFF  # no byte of UTF-8
 _TABLE = bytes(_CUT if c in _PIECES else c for c in range(256))
@@ -69,7 +67,7 @@ class _Words:
 
     def __missing__(self, word: bytes) -> int:
         h = _hash(self.lang, word)
-        at = h & ((1 << BITS) - 1)
+        at = h & MASK
         number = 0
         if self.frequent is None or self.frequent[at >> 3] >> (at & 7) & 1:
             number = len(self.words)
@@ -162,7 +160,7 @@ def _count_pairs(frequent: np.ndarray):
 
 
 def _pair_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a >> np.uint64(7) ^ b) & np.uint64((1 << BITS) - 1)
+    return (a >> np.uint64(7) ^ b) & np.uint64(MASK)
 
 
 def _stretches(frequent: np.ndarray, pairs: np.ndarray):
@@ -178,7 +176,7 @@ def _stretches(frequent: np.ndarray, pairs: np.ndarray):
                 codes = np.concatenate([mine.codes(t) for t in texts])
                 hashes = np.array(mine.hashes, dtype=np.uint64)[codes]
                 at = _pair_bits(hashes[:-1], hashes[1:])
-                good = (codes[:-1] > 0) & (codes[1:] > 0) & ((pairs[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1) > 0)
+                good = (codes[:-1] > 0) & (codes[1:] > 0) & holds(pairs, at)
                 edge = np.diff(np.r_[0, good.astype(np.int8), 0])
                 first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + 1
                 long = last - first >= 3
@@ -198,38 +196,10 @@ def _stretches(frequent: np.ndarray, pairs: np.ndarray):
     return run
 
 
-def _bitmap(at: DataFrame) -> np.ndarray:
-    """The hash map with the bits ``at`` (one long column) set: blocks are made by the tasks, the driver joins 1,024 of them."""
-    bits = at.toDF("at").select(F.shiftright("at", 15).alias("block"), F.col("at").bitwiseAND(F.lit((1 << 15) - 1)).cast("int").alias("at"))
-
-    def blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = np.zeros(1 << (BITS - 3), dtype=np.uint8)
-        for p in parts:
-            spot = (p["block"].to_numpy(np.int64) << 15) + p["at"].to_numpy(np.int64)
-            np.bitwise_or.at(made, spot >> 3, (1 << (spot & 7)).astype(np.uint8))
-        rows = made.reshape(-1, 1 << 12)
-        some = np.flatnonzero(rows.any(axis=1))
-        yield pd.DataFrame({"block": some.astype(np.int32), "bits": [rows[i].tobytes() for i in some]})
-
-    def joined(p: pd.DataFrame) -> pd.DataFrame:
-        made = np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in p["bits"]])
-        return pd.DataFrame({"block": p["block"].iloc[:1], "bits": [made.tobytes()]})
-
-    schema = "block int, bits binary"
-    out = np.zeros((1 << (BITS - 15), 1 << 12), dtype=np.uint8)
-    for r in bits.mapInPandas(blocks, schema).groupBy("block").applyInPandas(joined, schema).collect():
-        out[r["block"]] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return out.reshape(-1)
-
-
 def _spark_hash(word: str | Column) -> Column:
     return F.xxhash64(F.concat("lang", F.lit("\x00"), word))
 
 
-def _low(x: Column) -> Column:
-    return x.bitwiseAND(F.lit((1 << BITS) - 1))
-
-
 def _score(a: str, parts: Column) -> Column:
     """floor(2,000,000 a / parts), exact beyond 64 bits."""
     wide = F.lit(SCALE).cast("decimal(38,0)") * F.col(a).cast("decimal(19,0)")
@@ -253,11 +223,11 @@ class _Growth:
         words = materialize(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")), "words")
         self.totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
         self.words = words.where(F.col("f") >= LEAST_COUNT)
-        frequent = spark.sparkContext.broadcast(_bitmap(self.words.select(_low(_spark_hash("phrase")))))
+        frequent = spark.sparkContext.broadcast(bitmap(self.words.select(low_bits(_spark_hash("phrase")))))
         counted = texts.mapInArrow(lambda b: _count_pairs(frequent.value)(b), _COUNTS).withColumn("phrase", F.col("phrase").cast("string"))
         self.counts = {1: self.words, 2: materialize(_summed(counted), "pairs")}
         one, two = _spark_hash(_first("phrase", 1)), _spark_hash(_first("phrase", -1))
-        bits = _bitmap(self.counts[2].select(_low(F.shiftrightunsigned(one, 7).bitwiseXOR(two))))
+        bits = bitmap(self.counts[2].select(low_bits(F.shiftrightunsigned(one, 7).bitwiseXOR(two))))
         pairs = spark.sparkContext.broadcast(bits)
         found = texts.mapInArrow(lambda b: _stretches(frequent.value, pairs.value)(b), _COUNTS).withColumn("phrase", F.col("phrase").cast("string"))
         self.stretches = materialize(found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "stretches")
