@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.metadata import N
 from quarry.functions.ontology import DOMAIN, QUESTION_STAGES, Ontology, _has, tag_gas_agents, tag_targets
+from quarry.operators.intervals import cells, first_meeting, levels
 
 #: Fixed values.
 MUST = ["必须", "only", "strict", "严格", "仅"]
@@ -144,21 +145,77 @@ def _passes(filters: list[str]) -> Column:
     return ok
 
 
-def filter_chunks(chunks: DataFrame, queries: DataFrame, most_queries: int = 20_000) -> DataFrame:
-    """Pairs of a question and a chunk that passes its filters; a null never passes. A join with a predicate that is no
-    equality, for candidate tables that are small already; the searches use ``passing_groups``.
+#: Cell widths of temperatures (K) and pressures (MPa).
+_WIDTHS = {"T": 16.0, "P": 0.25}
+_ANY = "*"
 
-    The questions are broadcast in blocks of at most ``most_queries``. ``chunks`` must not have columns that start with
-    ``f_`` or a ``qid``."""
+
+def _extent(kind: str) -> tuple[Column, Column]:
+    """What the point and the range of a chunk cover together."""
+    point, low, high = (F.col(c) for c in (("T_K", "T_min_K", "T_max_K") if kind == "T" else ("P_MPa", "P_min_MPa", "P_max_MPa")))
+    return F.least(point, low, high), F.greatest(point, low, high)
+
+
+def _asked(kind: str) -> tuple[Column, Column]:
+    return F.col(f"f_{kind}.lo"), F.col(f"f_{kind}.hi")
+
+
+def _anchor(plain: list[str]) -> Column:
+    """The filter by which a question finds its chunks: the narrowest that it has."""
+    f = F.col
+    out = F.when(f("f_T").isNotNull(), "T").when(f("f_P").isNotNull(), "P").when(f("f_coal_name").isNotNull(), "coal_name")
+    for c in plain:
+        out = out.when(f(c).isNotNull(), c[2:])
+    return out.when(f("f_gas_agent").isNotNull(), "gas_agent").when(f("f_targets").isNotNull(), "targets").when(f("f_stage").isNotNull(), "stage").otherwise(_ANY)
+
+
+_KEY = "array<struct<kind:string,stage:string,word:string,level:int,cell:bigint>>"
+
+
+def _words(kind: str, words: Column) -> Column:
+    made = F.transform(words, lambda w: F.struct(F.lit(kind).alias("kind"), F.lit(_ANY).alias("stage"), w.cast("string").alias("word"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("cell")))
+    return F.coalesce(made.cast(_KEY), F.array().cast(_KEY))
+
+
+def _ranges(kind: str, stage: Column, found: Column) -> Column:
+    made = F.transform(found, lambda c: F.struct(F.lit(kind).alias("kind"), stage.alias("stage"), F.lit("").alias("word"), c["level"].alias("level"), c["cell"].alias("cell")))
+    return made.cast(_KEY)
+
+
+def filter_chunks(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Pairs of a question and a chunk that passes its filters; a null never passes.
+
+    Chunks and questions meet by equality on one filter of the question, the narrowest it has: cells of its temperature or
+    pressure range together with its stage, its coal, gas agents, targets or any other column; then all filters are tested. A
+    question without filters meets every chunk. ``chunks`` must not have columns that start with ``f_`` or a ``qid``."""
     filters, _ = filter_columns(queries, chunks)
-    asked = queries.select("qid", *filters)
-    blocks = max(1, -(-asked.count() // most_queries))
-    out = None
-    for b in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        pairs = chunks.join(F.broadcast(part), _passes(filters)).drop(*filters)
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
+    plain = [c for c in filters if c not in FILTERS]
+    asked = queries.select("qid", *filters).withColumn("f__anchor", _anchor(plain))
+    kinds = {r["f__anchor"] for r in asked.select("f__anchor").distinct().collect()}
+    asks, has = [F.when(F.col("f__anchor") == _ANY, _words(_ANY, F.array(F.lit(""))))], []
+    if _ANY in kinds:
+        has.append(_words(_ANY, F.array(F.lit(""))))
+    counts = {}
+    for kind, width in _WIDTHS.items():
+        if kind not in kinds:
+            continue
+        mine, theirs = levels(asked.where(F.col("f__anchor") == kind), *_asked(kind), width), levels(chunks, *_extent(kind), width)
+        stage = F.coalesce(F.concat(F.lit("="), "f_stage"), F.lit(_ANY))
+        asks.append(F.when(F.col("f__anchor") == kind, _ranges(kind, stage, cells(*_asked(kind), theirs, width))))
+        covered = cells(*_extent(kind), mine, width)
+        has += [_ranges(kind, F.lit(_ANY), covered), F.when(F.col("stage").isNotNull(), _ranges(kind, F.concat(F.lit("="), "stage"), covered)).otherwise(F.array().cast(_KEY))]
+        counts[kind] = first_meeting(F.col("f__key.level"), F.col("f__key.cell"), _extent(kind), _asked(kind), width)
+    for kind in sorted(kinds - set(_WIDTHS) - {_ANY}):
+        several = kind in ("gas_agent", "targets")
+        question, chunk = F.col(f"f_{kind}"), F.col(f"`{kind}`")
+        asks.append(F.when(F.col("f__anchor") == kind, _words(kind, F.array_distinct(question) if several else F.array(question))))
+        has.append(_words(kind, F.array_distinct(chunk) if several else F.when(chunk.isNotNull(), F.array(chunk))))
+        if several:
+            counts[kind] = F.col("f__key.word") == F.array_intersect(chunk, question)[0]
+    left = chunks.withColumn("f__key", F.explode(F.concat(*has) if has else F.array().cast(_KEY)))
+    right = asked.withColumn("f__key", F.explode(F.coalesce(*asks, F.array().cast(_KEY)))).drop("f__anchor")
+    once = F.coalesce(*[F.when(F.col("f__key.kind") == k, c) for k, c in counts.items()], F.lit(True))
+    return left.join(right, "f__key").where(once & _passes(filters)).drop("f__key", *filters)
 
 
 def filter_group(chunks: DataFrame, read: list[str]) -> Column:
