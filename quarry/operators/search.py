@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokenize
+from quarry.operators import postings
 from quarry.operators.layout import is_reference_like
 from quarry.operators.questions import RELAXED, _passes, filter_columns, filter_group, filters_of, parse_queries, passing_groups, range_overlap, relax_filters, rewrite_queries
 from quarry.scratch import materialize
@@ -72,67 +73,13 @@ def _best_rows(key_order: np.ndarray, score: np.ndarray, rows: np.ndarray, k: in
     return rows[np.lexsort((key_order[rows], -score[rows]))[:k]]
 
 
-def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, text_col: str = "text", query_col: str = "rewritten", k1: float = 1.5, b: float = 0.75, zeros: bool = False, most_queries: int = 2_000) -> DataFrame:
+def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, text_col: str = "text", query_col: str = "rewritten", k1: float = 1.5, b: float = 0.75, zeros: bool = False, block: int = postings.BLOCK) -> DataFrame:
     """(qid, chunk_id, score, rank): the k best chunks by BM25 of those that pass each question's filters; the statistics are
-    those of all that pass.
-
-    No table of questions and chunks is made. Counts of chunks and terms are summed for groups of chunks with equal filtered
-    columns and then over the groups that pass. The term weights of a block of questions are broadcast, each Arrow batch of
-    tokenised chunks is scored against them, and k rows a question leave a batch. Ties are in the order of chunk_id."""
-    _, read = filter_columns(queries, chunks)
+    those of all that pass. Chunks are inverted once and blocks that cannot hold a result are not scored (``postings``). Ties are
+    in the order of chunk_id."""
     terms = materialize(_question_terms(queries, query_col), "terms")
-    passing = materialize(passing_groups(chunks, queries), "passing")
-    tokens = materialize(chunks.select("chunk_id", filter_group(chunks, read).alias("group"), tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("t")), "tokens")
-    counts = tokens.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.size("t")).alias("dl"))
-    stats = passing.join(counts, "group").groupBy("qid").agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("n")).alias("avgdl"))
-    held = tokens.select("group", F.explode(F.array_distinct("t")).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    held = held.groupBy("group", "term").agg(F.count("*").alias("n"))
-    df = held.join(passing, "group").join(terms, ["qid", "term"]).groupBy("qid", "term", "qtf").agg(F.sum("n").alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weights = stats.join(df, "qid", "left").select("qid", "avgdl", "term", F.coalesce(F.col("qtf") * idf, F.lit(0.0)).alias("w"))
-    weights = materialize(weights, "weights")
-    kind, out = chunks.schema["chunk_id"].dataType.simpleString(), None
-    for part in _blocks(weights, most_queries):
-        asked: dict = {}
-        for r in part.toLocalIterator():
-            avgdl, own = asked.setdefault(r.qid, (r.avgdl, {}))
-            if r.term is not None:
-                own[r.term] = r.w
-        vocab = {t: i for i, t in enumerate(sorted({t for _, own in asked.values() for t in own}))}
-        names = sorted(asked)
-        shared = chunks.sparkSession.sparkContext.broadcast((vocab, names, [(asked[q][0], np.array([vocab[t] for t in asked[q][1]], dtype=np.int64), np.array(list(asked[q][1].values()))) for q in names]))
-
-        def score(batches, shared=shared):
-            vocab, names, asked = shared.value
-            place = {q: i for i, q in enumerate(names)}
-            for pdf in batches:
-                size = len(pdf)
-                tf = np.zeros((len(vocab) + 1, size))
-                dl = np.fromiter(map(len, pdf["t"]), dtype=np.float64, count=size)
-                at = np.fromiter((vocab.get(t, -1) for ts in pdf["t"] for t in ts), dtype=np.int64)
-                np.add.at(tf, (at, np.repeat(np.arange(size), dl.astype(np.int64))), 1.0)
-                keys = pdf["chunk_id"].to_numpy()
-                order = np.argsort(np.argsort(keys, kind="stable"), kind="stable")
-                mine: dict[int, list[int]] = {}
-                for i, qs in enumerate(pdf["qids"]):
-                    for q in qs:
-                        if q in place:
-                            mine.setdefault(place[q], []).append(i)
-                for j, rows in mine.items():
-                    avgdl, ts, w = asked[j]
-                    rows = np.array(rows)
-                    own = tf[np.ix_(ts, rows)]
-                    got = np.round((w[:, None] * own * (k1 + 1) / (own + k1 * (1 - b + b * dl[rows] / avgdl))).sum(axis=0), DIGITS) if avgdl else np.zeros(len(rows))
-                    full = np.zeros(size)
-                    full[rows] = got
-                    best = _best_rows(order, full, rows if zeros else rows[got > 0], k)
-                    yield pd.DataFrame({"qid": names[j], "chunk_id": keys[best], "score": full[best]})
-
-        allowed = passing.join(part.select("qid").distinct(), "qid", "left_semi").groupBy("group").agg(F.collect_set("qid").alias("qids"))
-        rows = tokens.join(allowed, "group").select("chunk_id", "t", "qids")
-        found = rows.mapInPandas(score, f"qid {queries.schema['qid'].dataType.simpleString()}, chunk_id {kind}, score double")
-        out = found if out is None else out.unionByName(found)
-    return top_k(out, k, [F.desc("score"), F.asc("chunk_id")])
+    found = postings.search(queries, chunks, terms, k, text_col, k1, b, zeros, block)
+    return top_k(found, k, [F.desc("score"), F.asc("chunk_id")])
 
 
 def knn_topk(probes: DataFrame, chunks: DataFrame, k: int, key: str = "chunk_id", vector: str = "embedding", most_probes: int = 10_000, allowed: str | None = None) -> DataFrame:

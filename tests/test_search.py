@@ -106,10 +106,10 @@ def test_search_over_filters_equals_ranking_of_the_listed_candidates(spark):
     words = ["steam", "gasification", "NH3", "tar", "coal", "of"]
     rows = [chunk(f"c{i:03d}", f"s{i % 4}", " ".join(rng.choices(words, k=rng.randrange(0, 7))), rng.choice(["gasification", "pyrolysis", None]), rng.choice([["steam"], None]), None, rng.choice([400.0, 1200.0, None])) for i in range(150)]
     chunks = spark.createDataFrame(rows, CHUNK)
-    for mode, zeros, most in (("full", True, 1), ("hard_only", False, 100)):
+    for mode, zeros, block in (("full", True, 7), ("full", False, 3), ("hard_only", False, 4096)):
         q = asked(spark, ASK, "only steam gasification of tar", "coal tar NH3", "nothing known", mode=mode)
         listed = se.bm25_rank(q, filter_chunks(chunks, q).select("qid", "chunk_id"), k=9, texts=chunks).collect()
-        got = se.bm25_search(q, chunks, 9, zeros=zeros, most_queries=most)
+        got = se.bm25_search(q, chunks, 9, zeros=zeros, block=block)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, [r for r in listed if zeros or r.score > 0]))
 
 
