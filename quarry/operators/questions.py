@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions.metadata import N
 from quarry.functions.ontology import DOMAIN, QUESTION_STAGES, Ontology, _has, tag_gas_agents, tag_targets
 from quarry.operators.intervals import cells, first_meeting, levels
+from quarry.scratch import materialize
 
 #: Fixed values.
 MUST = ["必须", "only", "strict", "严格", "仅"]
@@ -187,7 +188,8 @@ def filter_chunks(chunks: DataFrame, queries: DataFrame) -> DataFrame:
 
     Chunks and questions meet by equality on one filter of the question, the narrowest it has: cells of its temperature or
     pressure range together with its stage, its coal, gas agents, targets or any other column; then all filters are tested. A
-    question without filters meets every chunk. ``chunks`` must not have columns that start with ``f_`` or a ``qid``."""
+    question without filters meets every chunk. Both tables are read several times, so tables serve better than plans. ``chunks``
+    must not have columns that start with ``f_`` or a ``qid``."""
     filters, _ = filter_columns(queries, chunks)
     plain = [c for c in filters if c not in FILTERS]
     asked = queries.select("qid", *filters).withColumn("f__anchor", _anchor(plain))
@@ -227,7 +229,8 @@ def passing_groups(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """(group, qid): which groups of chunks with equal filtered columns pass a question's filters. Chunks are grouped and
     questions with equal filters are taken once, so the predicate meets groups and different filters, not chunks."""
     filters, read = filter_columns(queries, chunks)
-    groups = chunks.groupBy(filter_group(chunks, read).alias("group")).agg(F.first(F.struct(*read)).alias("m")).select("group", "m.*")
+    groups = chunks.groupBy(filter_group(chunks, read).alias("group")).agg(F.first(F.struct(*read)).alias("m"))
+    groups = materialize(groups.select("group", "m.*"), "groups")
     same = F.to_json(F.struct(*filters))
     distinct = queries.groupBy(same.alias("qid")).agg(F.first(F.struct(*filters)).alias("f")).select("qid", "f.*")
     found = filter_chunks(groups, distinct).select("group", F.col("qid").alias("same"))

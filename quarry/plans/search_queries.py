@@ -145,7 +145,7 @@ ORACLE["rewrite_queries"] = f"WITH {SQL_ASKED} SELECT qid, rewritten, reason AS
 
 def filter_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many chunks, and which first and last, pass all filters of each question."""
-    pairs = passing(tagged(spark, sf_dir), asked(spark, sf_dir))
+    pairs = passing(materialize(tagged(spark, sf_dir), "tagged"), materialize(asked(spark, sf_dir), "asked"))
     return pairs.groupBy("qid").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first_chunk"), F.max("chunk_id").alias("last_chunk"))
 
 
@@ -178,7 +178,7 @@ ORACLE["bm25_rank"] = f"WITH {SQL_ASKED}, {SQL_META}, {_passing('full')}, {_bm25
 def relax_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions that pass no chunk, with their number filters lifted."""
     q = materialize(asked(spark, sf_dir), "asked")
-    hits = materialize(passing(tagged(spark, sf_dir), q).select("qid").distinct(), "hits")
+    hits = materialize(passing(materialize(tagged(spark, sf_dir), "tagged"), q).select("qid").distinct(), "hits")
     return relax(q, hits, hits).select("qid", F.col("f_T").isNull().alias("t_lifted"), F.col("f_P").isNull().alias("p_lifted"), "two_stage_fallback")
 
 
