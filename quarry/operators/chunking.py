@@ -152,8 +152,8 @@ def chunk_hierarchical(
     """Parent and child rows: chunk_id, parent_id, is_parent, chunk_level, doc, *keep, section_ord, heading_path,
     position_start, position_end and text.
 
-    One id function serves both sides: a parent's id is a hash of document, section number, path and place in the section, a
-    child's of its parent, place and text. A document without sections gives no chunk. ``doc`` must name one document."""
+    One id function serves both sides: a parent's id is a hash of document, section number, path, place in the section and text, a
+    child's of its parent, place and text; so pages of one document have ids of their own. A page without sections gives no chunk."""
     sections = parse_markdown_sections(pages, doc, text_col, max_depth, keep)
     kind = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("children", T.ArrayType(T.StringType()))]))
 
@@ -161,7 +161,7 @@ def chunk_hierarchical(
         return [(p, children(p, threshold, max_child, overlap)) for p in pack([u for u, _ in units(content)], max_parent, "\n\n")]
 
     rows = sections.select(doc, *keep, "section_ord", "heading_path", F.posexplode(_column(cut, kind).asNondeterministic()("content")).alias("at", "p"))
-    parent_id = F.sha1(F.concat_ws("|", F.col(doc).cast("string"), F.col("section_ord").cast("string"), "heading_path", F.col("at").cast("string")))
+    parent_id = F.sha1(F.concat_ws("|", F.col(doc).cast("string"), F.col("section_ord").cast("string"), "heading_path", F.col("at").cast("string"), F.substring(F.sha1("p.text"), 1, 16)))
     rows = rows.withColumn("parent_id", parent_id)
     own = F.struct(F.lit(True).alias("is_parent"), F.col("at").alias("k"), F.col("p.text").alias("text"))
     below = F.transform("p.children", lambda c, k: F.struct(F.lit(False).alias("is_parent"), k.alias("k"), c.alias("text")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import cache_key
 
 
-def latest_rows(rows: DataFrame, key: str, order: tuple[str, ...] = ()) -> DataFrame:
+def latest_rows(rows: DataFrame, key: str | list[str], order: tuple[str, ...] = ()) -> DataFrame:
     """One row for each key: the last in ``order``; of equal ones, or without an order, the highest digest of the whole row, so
     that the choice does not depend on how rows arrive."""
     digest = F.md5(F.to_json(F.struct("*")))
@@ -79,21 +82,26 @@ def version_name(prefix: str, embedding_version: str, schema_hash: str, stamp: s
 
 def publish_version(df: DataFrame, root: str, name: str, ok: bool = True) -> DataFrame:
     """Write one version below ``root`` and, if ``ok``, make it the current one; the former becomes the previous.
-    Returns the pointer table (current, previous). The pointer is one small table that is appended to: the last row counts."""
-    spark = df.sparkSession
+    Returns the pointer table (current, previous).
+
+    The pointer is a file for each change, numbered from 0, of which the highest counts. A file is created only where none of its
+    number exists, so of two publishers that saw the same state one takes the next number and the other, finding it taken, looks
+    again: no change is lost, and which one is current does not depend on chance."""
     df.write.mode("overwrite").parquet(f"{root}/{name}")
-    now = pointer(spark, root)
     if not ok:
-        return now
-    return _point(spark, root, name, now.first()["current"] if not now.isEmpty() else None)
+        return pointer(df.sparkSession, root)
+    return _point(df.sparkSession, root, lambda now: (name, now["current"] if now else None))
 
 
 def rollback(spark: SparkSession, root: str) -> DataFrame:
     """Make the previous version current again."""
-    now = pointer(spark, root).first()
-    if now is None or now["previous"] is None:
-        raise ValueError("no previous version")
-    return _point(spark, root, now["previous"], now["current"])
+
+    def back(now):
+        if now is None or now["previous"] is None:
+            raise ValueError("no previous version")
+        return now["previous"], now["current"]
+
+    return _point(spark, root, back)
 
 
 _POINTER = "seq LONG, current STRING, previous STRING"
@@ -104,13 +112,39 @@ def pointer(spark: SparkSession, root: str) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_pointer")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], "current STRING, previous STRING")
-    return spark.read.schema(_POINTER).json(f"{root}/_pointer").orderBy(F.desc("seq")).limit(1).select("current", "previous")
-
-
-def _point(spark: SparkSession, root: str, current: str, previous: str | None) -> DataFrame:
-    path = f"{root}/_pointer"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    seq = spark.read.schema(_POINTER).json(path).count() if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else 0
-    spark.createDataFrame([(seq, current, previous)], _POINTER).coalesce(1).write.mode("append").json(path)
-    return pointer(spark, root)
-
+    return _changes(spark, root).orderBy(F.desc("seq")).limit(1).select("current", "previous")
+
+
+def _changes(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(_POINTER).json(f"{root}/_pointer").where("seq IS NOT NULL")
+
+
+def _newest(spark: SparkSession, root: str):
+    return None if pointer(spark, root).isEmpty() else _changes(spark, root).orderBy(F.desc("seq")).first()
+
+
+def _put(spark: SparkSession, root: str, seq: int, current: str, previous: str | None) -> bool:
+    """Create the pointer file of this number; false where it exists."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_pointer/{seq:012d}.json")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        return False
+    try:
+        out = fs.create(path, False)
+    except Exception:  # created by another publisher since
+        if fs.exists(path):
+            return False
+        raise
+    out.write(bytearray(json.dumps({"seq": seq, "current": current, "previous": previous}).encode() + b"\n"))
+    out.close()
+    return True
+
+
+def _point(spark: SparkSession, root: str, change, tries: int = 20) -> DataFrame:
+    """Append what ``change`` makes of the newest pointer, as often as another publisher comes first."""
+    for turn in range(tries):
+        now = _newest(spark, root)
+        if _put(spark, root, now["seq"] + 1 if now else 0, *change(now)):
+            return pointer(spark, root)
+        time.sleep(0.05 * turn)  # the file of the other may still be empty
+    raise RuntimeError(f"{tries} other publications came first")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,18 +12,46 @@ from pyspark.sql import functions as F
 from quarry.functions.helpers import html_to_text, sanitize_unicode
 from quarry.functions.text import detect_language, normalize_text
 from quarry.operators.evaluate import GOLD
+from quarry.scratch import materialize
 
 
 def _suffix(path: str = "path"):
     return F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
 
 
-def scan_files(spark: SparkSession, roots: list[str], include: list[str], exclude: list[str] = ()) -> DataFrame:
-    """(path, mtime_ns, size, sha256) of the files below ``roots`` with a wanted extension."""
+def _listed(spark: SparkSession, roots: list[str], include: list[str], exclude: list[str]) -> DataFrame:
+    """(path, mtime_ns, size, content); content is read only where it is used."""
     want, leave = [e.lower().lstrip(".") for e in include], [e.lower().lstrip(".") for e in exclude]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots))
     files = files.where(_suffix().isin(*want) & ~_suffix().isin(*leave))
-    return files.select("path", (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    return files.select("path", (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size"), "content")
+
+
+def scan_files(spark: SparkSession, roots: list[str], include: list[str], exclude: list[str] = (), manifest: DataFrame | None = None, most_paths: int = 10_000) -> DataFrame:
+    """(path, mtime_ns, size, sha256) of the files below ``roots`` with a wanted extension.
+
+    With a ``manifest`` (path, mtime_ns, size, sha256) files whose time and size it has are not opened: the listing alone is
+    compared with it, and only the others are read and hashed, by their paths where these are at most ``most_paths``, else by
+    reading the roots."""
+    listing = _listed(spark, roots, include, exclude)
+    hashed = lambda df: df.select("path", "mtime_ns", "size", F.sha2("content", 256).alias("sha256"))
+    if manifest is None:
+        return hashed(listing)
+    key = ["path", "mtime_ns", "size"]
+    known = listing.select(*key).join(manifest.where("sha256 IS NOT NULL").select(*key, "sha256").dropDuplicates(key), key, "left")
+    known = materialize(known, "listing")
+    paths = [r["path"] for r in known.where("sha256 IS NULL").select("path").limit(most_paths + 1).collect()]
+    kept = known.where("sha256 IS NOT NULL")
+    if not paths:
+        return kept
+    if len(paths) > most_paths:
+        return kept.unionByName(hashed(listing.join(known.where("sha256 IS NULL").select("path"), "path", "left_semi")))
+    return kept.unionByName(hashed(_listed(spark, [escaped(x) for x in paths], include, exclude)))
+
+
+def escaped(path: str) -> str:
+    """A path that names itself where patterns are expected."""
+    return re.sub(r"([\\*?\[\]{},^])", r"\\\1", path)
 
 
 def load_text(files: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions.helpers import tokens
 from quarry.operators import chunking as ch
 from quarry.operators import layout as lo
+from quarry.operators.incremental import upsert
 from quarry.sources import readers as rd
 from quarry.streaming import ingest
 from quarry.streaming.ingest import latest, stream_ingest
@@ -114,6 +115,51 @@ def test_scan_and_stream(spark, tmp_path):
     assert len(versions) == 2 and max(map(len, versions.values())) == 2  # only the parts touched are written again
 
 
+def test_only_changed_files_are_opened(spark, tmp_path):
+    import os
+
+    folder = tmp_path / "in"
+    (folder / "deep").mkdir(parents=True)
+    for name in ("a.txt", "b.txt", "deep/c [1].txt", "d.pdf"):
+        (folder / name).write_text(name)
+    manifest = spark.createDataFrame(rd.scan_files(spark, [str(folder)], ["txt"]).collect())
+    before = {r.path: r.sha256 for r in manifest.collect()}
+    stamp = os.stat(folder / "a.txt")
+    (folder / "a.txt").write_text("A.txt")  # as long and as old as before, so nothing tells that it must be read
+    os.utime(folder / "a.txt", ns=(stamp.st_atime_ns, stamp.st_mtime_ns))
+    (folder / "deep/c [1].txt").write_text("longer than before")
+    (folder / "e.txt").write_text("new")
+    for most in (10, 0):
+        got = {r.path: r.sha256 for r in rd.scan_files(spark, [str(folder)], ["txt"], manifest=manifest, most_paths=most).collect()}
+        fresh = {r.path: r.sha256 for r in rd.scan_files(spark, [str(folder)], ["txt"]).collect()}
+        assert len(got) == 4 and {p.rsplit("/", 1)[1] for p in got if got[p] != fresh[p]} == {"a.txt"}
+        assert {p.rsplit("/", 1)[1] for p in before if before[p] == got[p]} == {"a.txt", "b.txt"}
+
+
+def test_pages_of_a_document_in_several_batches(spark, tmp_path):
+    schema = "source_file string, page int, text string"
+    pages = [(d, k, f"# Part {k}\nPyrolysis of {d} at {900 + k} K on page {k}. More of it follows here.") for d in "abc" for k in range(3)]
+
+    def ingested(name, files, together):
+        folder, out = tmp_path / name / "in", str(tmp_path / name / "out")
+        for rows in files:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        stream_ingest(spark, str(folder), spark.createDataFrame([], schema).schema, out, str(tmp_path / name / "cp"), page="page", files=together).awaitTermination()
+        return sorted((r.source_file, r.chunk_id, r.text) for r in latest(spark, out).collect())
+
+    one = ingested("one", [pages], 100)
+    assert len({c for _, c, _ in one}) == len(one) >= 18
+    again = [("a", 1, "A page that is replaced later, of steam.")]
+    assert ingested("many", [pages[0:2], again, [pages[2], *pages[4:6]], pages[6:], [pages[1], pages[3]]], 1) == one
+
+
+def test_pages_of_one_file_keep_all_their_text(spark):
+    files = spark.createDataFrame([("f.txt", "First paragraph of it.\n\nSecond paragraph.\n\nThird one.\n\nSecond paragraph.")], "path string, text string")
+    chunks = ch.chunk_hierarchical(rd.load_text(files))
+    kept = upsert(chunks.limit(0), chunks)
+    assert {r.text for r in kept.where("is_parent").collect()} == {r.text for r in chunks.where("is_parent").collect()} and kept.where("is_parent").count() == 3
+
+
 def test_nothing_in_the_library_imports_the_llm_subpackage():
     import pathlib
 

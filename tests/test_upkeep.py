@@ -100,3 +100,16 @@ def test_versions(spark, tmp_path):
     assert tuple(inc.rollback(spark, root).first()) == ("one", "two")
     with pytest.raises(ValueError):
         inc.rollback(spark, str(tmp_path / "none"))
+
+
+def test_two_publishers_take_turns(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "v")
+    inc.publish_version(spark.range(1), root, "one")
+    seen = inc._newest(spark, root)
+    inc.publish_version(spark.range(2), root, "two")  # comes between the look and the change of the next
+    looks = iter([seen])
+    look = inc._newest
+    monkeypatch.setattr(inc, "_newest", lambda *a: next(looks, None) or look(*a))
+    assert tuple(inc.publish_version(spark.range(3), root, "three").first()) == ("three", "two")
+    assert sorted((r.seq, r.current, r.previous) for r in inc._changes(spark, root).collect()) == [(0, "one", None), (1, "two", "one"), (2, "three", "two")]
+    assert not inc._put(spark, root, 2, "late", None) and tuple(inc.pointer(spark, root).first()) == ("three", "two")
