@@ -50,10 +50,13 @@ class Trie:
             held = ends.setdefault("ends", {})
             if key not in held or verdict == "block":
                 held[key] = (text, verdict)
+                ends["sizes"] = sorted({*ends.get("sizes", ()), len(key)})
 
     def find(self, host: str, path: str) -> tuple[str | None, str | None]:
-        """(rule text, verdict) of the longest rule that fits; (None, None) without one."""
+        """(rule text, verdict) of the longest rule that fits, of equally long ones a block, then the last text; (None, None)
+        without one."""
         best: tuple[str | None, str | None] = (None, None)
+        order = lambda r: (len(r[0]), r[1] == "block", r[0])
         node = self.root
         segments = path[1:].split("/") if path.startswith("/") else None
         for label in reversed(host.split(".")):
@@ -61,7 +64,7 @@ class Trie:
             if node is None:
                 break
             for rule in self._fits(node, segments):
-                if best[0] is None or len(rule[0]) > len(best[0]) or (len(rule[0]) == len(best[0]) and rule[1] == "block"):
+                if best[0] is None or order(rule) > order(best):
                     best = rule
         return best
 
@@ -73,8 +76,8 @@ class Trie:
             return
         at = node["path"]
         for k, segment in enumerate(segments):
-            for start, rule in at.get("ends", {}).items():
-                if segment.startswith(start):
+            for size in at.get("sizes", ()):  # the starts of the segment that are as long as some rule's
+                if size <= len(segment) and (rule := at["ends"].get(segment[:size])):
                     yield rule
             at = at.get("segments", {}).get(segment) if k < len(segments) - 1 else None
             if at is None:
@@ -97,8 +100,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     """``pages`` plus host, path, rule and verdict.
 
     ``rules`` has text (``host/path``) and verdict (allow or block); null ones are no rules. Up to ``max_rules`` rules make
-    a trie that is broadcast; more are joined by host. The longest rule text that fits decides, of equal ones a block;
-    without one rule is null and the verdict is ``default``. Null urls and texts without ``://`` have an empty host and path
+    a trie that is broadcast; more are joined by host. The longest rule text that fits decides, of equal ones a block, then the
+    last text in order; without one rule is null and the verdict is ``default``. Null urls and texts without ``://`` have an empty host and path
     and fit no rule; urls of any length are read whole; repeated rows are judged alike. Columns named like the new ones are
     replaced, others may have any name; an empty table gives an empty result.
     """
