@@ -122,11 +122,11 @@ def _candidates(text: str | Column) -> Column:
     left, right, key), without what stands around their letters and digits; ``key``: at least 20 characters of a key's
     alphabet with five letters and five digits."""
     text = F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))
-    found = _spans(text, _ANY, F.regexp_like(text, F.lit("[0-9]")))
     base = lambda v: F.regexp_like(v, F.lit(BASE["email"])) | F.regexp_like(v, F.lit(BASE["ip"])) | _valid("card", v) | F.regexp_like(v, F.lit(r"\+[0-9]"))
     lead = lambda v: F.length(F.regexp_extract(v, r"^[^\p{L}\p{N}]+", 0))
     bare = lambda v: F.regexp_replace(v, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     key = lambda v: F.regexp_like(v, F.lit(r"^(?=(?:[^0-9]*[0-9]){5})(?=(?:[^A-Za-z]*[A-Za-z]){5})[A-Za-z0-9_+/=-]{20,}$"))
+    found = F.filter(_spans(text, _ANY, F.regexp_like(text, F.lit("[0-9]"))), lambda z: ~base(z["value"]))
     cut = F.transform(
         found,
         lambda z: F.struct(
@@ -138,7 +138,12 @@ def _candidates(text: str | Column) -> Column:
             key(bare(z["value"])).alias("key"),
         ),
     )
-    return F.filter(cut, lambda z: ((F.length(_digits(z["value"])) >= 5) | F.regexp_like(z["value"], F.lit(r"\p{L}"))) & ~base(z["value"]))
+    return F.filter(cut, lambda z: (F.length(_digits(z["value"])) >= 5) | F.regexp_like(z["value"], F.lit(r"\p{L}")))
+
+
+def _apart(candidates: str, spans: list[str]) -> Column:
+    """The candidates that share no place with any of the spans."""
+    return F.filter(candidates, lambda z: ~F.exists(F.concat(*spans), lambda b: (z["start"] < b["end"]) & (z["end"] > b["start"])))
 
 
 def _patterns(left: str, right: str) -> Column:
@@ -187,23 +192,25 @@ def learn(rows: DataFrame, rounds: int = 5, support: int = 3, confidence: float
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 5, support: int = 3, confidence: float = 0.7) -> DataFrame:
     """One row per input row: the id, and for each of KINDS an array of (start, end) in code points, ascending; ``learned``
-    are the spans the method adds.
+    are the spans the method adds, ``discovered`` those of them that only patterns have found, without the key-like seeds.
 
     Base matches are leftmost and do not overlap within a kind; those failing their test (IP parts, Luhn, digit counts) are
-    dropped. Learned are all places of trusted values (see ``learn``); such a span touches no e-mail, IP, card or phone
-    match. Null and empty texts have no spans; texts of any length are read whole; null and repeated ids keep their rows; an
+    dropped. Learned are all places of trusted values (see ``learn``); such a span touches no valid e-mail, IP, card or
+    phone match. Null and empty texts have no spans; texts of any length are read whole; null and repeated ids keep their rows; an
     empty table gives an empty result; other columns are not read.
     """
     kinds = base_spans("_text")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumns(kinds)
     spans = {k: F.transform(k, lambda z: F.struct(z["start"].alias("start"), z["end"].alias("end"))).alias(k) for k in BASE}
     held = rows.select(F.monotonically_increasing_id().alias("row"), "_id", *spans.values(), F.concat(*BASE).alias("seeds"), _candidates("_text").alias("candidates"))
-    held = materialize(held, "spans")
+    held = materialize(held.withColumn("candidates", _apart("candidates", list(BASE))), "spans")
     _, trusted = learn(held, rounds, support, confidence)
-    tried = held.select("row", F.explode("candidates").alias("o")).select("row", "o.start", "o.end", "o.value")
-    learned = tried.join(trusted, "value", "left_semi").groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("learned"))
+    tried = held.select("row", F.explode("candidates").alias("o")).select("row", "o.start", "o.end", "o.value", "o.key")
+    learned = tried.join(trusted, "value", "left_semi").groupBy("row").agg(
+        F.sort_array(F.collect_set(F.struct("start", "end"))).alias("learned"), F.sort_array(F.collect_set(F.when(~F.col("key"), F.struct("start", "end")))).alias("discovered")
+    )
     empty = F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, end: INT>>)")
-    return held.join(learned, "row", "left").select(F.col("_id").alias(id_col), *BASE, F.coalesce("learned", empty).alias("learned"))
+    return held.join(learned, "row", "left").select(F.col("_id").alias(id_col), *BASE, F.coalesce("learned", empty).alias("learned"), F.coalesce("discovered", empty).alias("discovered"))
 
 
 def digest(kinds: list[str]) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from quarry.llm import pii
 from quarry.llm.queries import op10_pii as pii_query
 
@@ -75,6 +78,11 @@ def slow_learn(texts, rounds=5, support=3, confidence=0.7):
                 continue
             for p in contexts(text[: m.start()], text[m.end() :]):
                 edges[p].add(value)
+    return slow_bootstrap(edges, trusted, rounds, support, confidence)
+
+
+def slow_bootstrap(edges, trusted, rounds=5, support=3, confidence=0.7):
+    """(patterns, trusted values) from the values of every pattern."""
     shape = lambda v: re.sub("[0-9]+", "9", re.sub("[A-Za-z]+", "a", v))
     for _ in range(rounds):
         conf = {}
@@ -87,7 +95,7 @@ def slow_learn(texts, rounds=5, support=3, confidence=0.7):
         new = {v for v in new if 1 - math.prod(1 - c for p, c in good.items() if v in edges[p]) >= confidence}
         if not new:
             break
-        trusted |= new
+        trusted = trusted | new
     return set(good), trusted
 
 
@@ -126,14 +134,63 @@ def test_keys_and_long_context_words(spark):
     assert [learned[i] for i in range(7)] == [*[[k] for k in keys], ["abc-55-short"], []]
 
 
+def slow_tokens(text):
+    """[(start, end, value, key, left, right, base)] of tokens: base matches of every kind, then candidates apart from them."""
+    spans, out = slow(text), []
+    beside = lambda a, b: (text[:a], text[b:])
+    for kind in BASE:
+        out += [(a, b, text[a:b], False, *beside(a, b), True) for a, b in spans[kind]]
+    every = [s for kind in BASE for s in spans[kind]]
+    token = rf"(?:(?<![^{pii._SPACE}])[^{pii._SPACE}0-9]*+[0-9][^{pii._SPACE}]*+)"
+    for m in re.finditer("|".join([*(BASE[k] for k in ("email", "ip", "phone", "card")), token]), text):
+        value = m.group()
+        if any(re.search(BASE[k], value) for k in ("email", "ip")) or valid("card", value) or re.search(r"\+[0-9]", value):
+            continue
+        g = re.search(r"[^\W_](.*[^\W_])?", value, re.DOTALL)
+        if not g:
+            continue
+        a, b = m.start() + g.start(), m.start() + g.end()
+        bare = text[a:b]
+        if (len(re.findall("[0-9]", bare)) >= 5 or re.search(r"[^\W\d_]", bare)) and not any(a < y and b > x for x, y in every):
+            out.append((a, b, bare, bool(KEY.fullmatch(bare)), *beside(m.start(), m.end()), False))
+    return out
+
+
 def test_whole_query_equals_the_plain_version(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for r in pii_query(spark, sf).collect():
-        assert len(r.base_sha256) == 64
     texts = {r.doc_id: r.text for r in docs.collect()}
-    for i, found in got(pii.find(docs)):
-        keys = {(m.start() + g.start(), m.start() + g.end()) for m in re.finditer(r"\S*[0-9]\S*", texts[i]) for g in [re.search(r"[^\W_].*[^\W_]|[^\W_]", m.group())] if g and KEY.fullmatch(g.group())}
-        assert keys <= set(found["learned"])
+    found = {r.doc_id: r for r in pii.find(docs).collect()}
+    held = docs.select("doc_id", pii_seeds(), *[F.transform(c, lambda z: F.struct(z["start"].alias("start"), z["end"].alias("end"))).alias(k) for k, c in pii.base_spans("text").items()], pii._candidates("text").alias("candidates"))
+    held = held.withColumn("candidates", pii._apart("candidates", list(BASE)))
+    patterns, values = pii.learn(held)
+    trusted = {r.value for r in values.collect()}
+    tokens = {i: slow_tokens(t or "") for i, t in texts.items()}
+    assert {(r.doc_id, c.start, c.end, c.value, c.key) for r in held.collect() for c in r.candidates} == {(i, *x[:4]) for i, xs in tokens.items() for x in xs if not x[6]}
+    edges = defaultdict(set)
+    good = {r.pattern: r.conf for r in patterns.collect()}
+    for r in held.collect():
+        for z in [*r.seeds, *r.candidates]:
+            two = [f"L {z.left.lower()}"] if " " in z.left else []
+            around = [f"C {z.left.lower().split(' ')[-1]} _ {z.right.lower()}"] if z.left and z.right else []
+            for p in two + around:
+                edges[p].add(z.value)
+    seeds = {x[2] for xs in tokens.values() for x in xs if x[6] or x[3]}
+    assert slow_bootstrap(edges, seeds) == (set(good), trusted)
+    for r in pii_query(spark, sf).collect():
+        i, spans = r.doc_id, slow(texts[r.doc_id])
+        learned = sorted({x[:2] for x in tokens[i] if not x[6] and x[2] in trusted})
+        said = [f"{k}:{a}:{b}" for k, own in (*spans.items(), ("learned", learned)) for a, b in own]
+        assert r.spans == ",".join(said) and (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(len(spans[k]) for k in BASE)
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k in BASE for a, b in spans[k]).encode()).hexdigest()
+        assert [tuple(x) for x in found[i].discovered] == sorted({x[:2] for x in tokens[i] if not x[6] and x[2] in trusted and not x[3]})
+
+
+def test_learned_spans_touch_no_base_span(spark):
+    texts = [f"ring the desk +1 (599) 555-{3000 + i} today" for i in range(8)] + [f"ring the desk 5{i}5-{77000 + i} today" for i in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in pii.find(docs).collect():
+        base = [tuple(s) for k in BASE for s in r[k]]
+        assert not any(a < y and b > x for a, b in map(tuple, r.learned) for x, y in base)
 
 
 def pii_seeds():
