@@ -118,6 +118,24 @@ def hashed_bag(text: str, dim: int = 128) -> np.ndarray:
     return v / (np.linalg.norm(v) or 1.0)
 
 
+def cut_paragraphs(text: str) -> list[dict]:
+    """Blank-separated paragraphs with their lines (from 1; the blank line after one is its last) and the last ``#`` line so far."""
+    lines = re.split("\r\n|[\n\r]", re.sub(r"(\r\n|\r|\n)$", "", text))
+    out: list[dict] = []
+    held: list[str] = []
+    title, end = None, 0
+    for no, raw in enumerate(lines, 1):
+        line = raw.strip(" ")
+        if line.startswith("#"):
+            title = line
+        if line:
+            held.append(line)
+        if held and (not line or no == len(lines)):
+            out.append({"first": end + 1, "last": no, "title": title, "text": " ".join(held)})
+            held, end = [], no
+    return out
+
+
 # ------------------------------------------------------------------------------------------------------------- columns
 
 
@@ -145,6 +163,15 @@ def json_parses(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t is not None and is_json(t), na_action=None).astype(bool)
 
 
+_PARAGRAPH = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("title", T.StringType()), T.StructField("text", T.StringType())])
+
+
+@F.pandas_udf(T.ArrayType(_PARAGRAPH))
+def paragraphs(texts: pd.Series) -> pd.Series:
+    """Array of (first, last, title, text); null stays null."""
+    return texts.map(cut_paragraphs, na_action="ignore")
+
+
 def split_sentences(text, min_len: int = 8):
     """Array of sentences."""
 

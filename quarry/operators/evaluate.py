@@ -47,7 +47,7 @@ def eval_retrieval_report(matched: DataFrame, queries: DataFrame, ks: tuple[int,
     """(metric, k, value), means over all questions: Recall, FilterPrecision, Diversity and ReferencesHit at each k,
     ParentsRecall and ChildrenRecall. ``matched`` carries the chunk columns; ``queries`` the parsed constraints."""
     parsed = queries.select("qid", "q_stage", "q_gas_agent", "q_targets", "q_T", "q_P")
-    rows = matched.join(F.broadcast(parsed), "qid")
+    rows = matched.join(parsed, "qid")
     lo, hi = (lambda c: F.col(f"{c}.lo")), (lambda c: F.col(f"{c}.hi"))
     checks = [
         F.when(F.col("q_stage") != "unknown", F.coalesce(F.col("stage") == F.col("q_stage"), F.lit(False))),

@@ -114,8 +114,8 @@ def _score(k: int, k1: float, b: float, zeros: bool):
                 cut = np.partition(full[rows], len(rows) - k)[len(rows) - k]
                 rows = rows[full[rows] >= cut]
                 rows = rows[np.lexsort((order[rows], -full[rows]))[:k]]
-            out.append(pd.DataFrame({"qid": r.qid, "chunk_id": keys[rows], "score": full[rows]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"qid": [], "chunk_id": [], "score": []})
+            out += [(r.qid, keys[i], full[i]) for i in rows.tolist()]
+        return pd.DataFrame(out, columns=["qid", "chunk_id", "score"])
 
     return run
 

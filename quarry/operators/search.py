@@ -86,13 +86,14 @@ def knn_topk(probes: DataFrame, chunks: DataFrame, k: int, key: str = "chunk_id"
     """(qid, key, cosine, rank): the exact k nearest rows of every probe (qid, vector).
 
     Probes are broadcast in blocks of about ``most_probes``, fetched one after the other; each Arrow batch is one matrix
-    product and passes on k rows a probe. With ``allowed``, an array column of ``chunks`` with the qids that may see a row,
-    others are left out. Zero or null vectors match nothing."""
+    product, and a task keeps k rows a probe over all its batches, whatever their size. With ``allowed``, an array column of
+    ``chunks`` with the qids that may see a row, others are left out. Zero or null vectors match nothing. ``VectorIndex`` looks
+    into a part of the rows only."""
     ids = chunks.schema[key].dataType.simpleString()
     qtype = probes.schema["qid"].dataType.simpleString()
     spark, out = chunks.sparkSession, None
     for part in _blocks(probes.select("qid", F.col(vector).alias("v")).where("v IS NOT NULL"), most_probes):
-        block = sorted(((r.qid, r.v) for r in part.toLocalIterator()), key=lambda r: str(r[0]))
+        block = sorted(((r.qid, r.v) for r in part.toLocalIterator() if any(r.v)), key=lambda r: str(r[0]))
         matrix = np.array([v for _, v in block], dtype=np.float64).reshape(len(block), -1 if block else 1)
         norms = np.linalg.norm(matrix, axis=1, keepdims=True)
         shared = spark.sparkContext.broadcast(([q for q, _ in block], matrix / np.where(norms == 0, 1, norms)))
@@ -100,6 +101,12 @@ def knn_topk(probes: DataFrame, chunks: DataFrame, k: int, key: str = "chunk_id"
         def nearest(batches, shared=shared):
             names, unit = shared.value
             place = {q: i for i, q in enumerate(names)}
+            held: list[pd.DataFrame] = []
+
+            def kept() -> list[pd.DataFrame]:
+                every = pd.concat(held, ignore_index=True)
+                return [every.sort_values(["q", "cosine", "key"], ascending=[True, False, True], kind="stable").groupby("q", sort=False).head(k)]
+
             for pdf in batches:
                 pdf = pdf[pdf["v"].notna()]
                 if not len(pdf) or not len(names):
@@ -115,9 +122,14 @@ def knn_topk(probes: DataFrame, chunks: DataFrame, k: int, key: str = "chunk_id"
                     cos[~mask] = -np.inf
                 keys = pdf["key"].to_numpy()
                 order = np.argsort(np.argsort(keys, kind="stable"), kind="stable")
-                for j, q in enumerate(names):
-                    best = _best_rows(order, cos[:, j], np.flatnonzero(cos[:, j] > -np.inf), k)
-                    yield pd.DataFrame({"qid": q, "key": keys[best], "cosine": cos[best, j]})
+                best = [_best_rows(order, cos[:, j], np.flatnonzero(cos[:, j] > -np.inf), k) for j in range(len(names))]
+                rows, q = np.concatenate(best), np.repeat(np.arange(len(names)), [len(x) for x in best])
+                held.append(pd.DataFrame({"q": q, "key": keys[rows], "cosine": cos[rows, q]}))
+                if sum(map(len, held)) > 4 * k * len(names):
+                    held = kept()
+            last = kept()[0] if held else ()
+            if len(last):
+                yield pd.DataFrame({"qid": [names[q] for q in last["q"]], "key": last["key"].to_numpy(dtype=object), "cosine": last["cosine"].to_numpy()})
 
         cols = [F.col(key).alias("key"), F.col(vector).alias("v"), *([F.col(allowed).alias("allowed")] if allowed else [])]
         part = chunks.select(*cols).mapInPandas(nearest, f"qid {qtype}, key {ids}, cosine double")

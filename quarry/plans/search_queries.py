@@ -17,6 +17,7 @@ from quarry.operators.questions import range_overlap as overlap
 from quarry.operators.questions import relax_filters as relax
 from quarry.operators.questions import rewrite_queries as rewrite
 from quarry.plans.metadata_queries import SQL_META, _any, sql_all, tagged
+from quarry.operators.vectors import VectorIndex
 from quarry.plans.views import QUESTIONS, said, table, view
 from quarry.scratch import materialize
 
@@ -193,8 +194,15 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.knn_topk(probes, vectors, 5, key="vec_id")
 
 
-QUERIES["knn_topk"] = knn_topk
-ORACLE["knn_topk"] = """
+def knn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through cells of vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    probes = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    return VectorIndex(vectors, key="vec_id").search(probes, 5)
+
+
+QUERIES |= {"knn_topk": knn_topk, "knn_index": knn_index}
+ORACLE["knn_index"] = ORACLE["knn_topk"] = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS len FROM v),
 c AS (SELECT p.vec_id AS qid, n.vec_id AS vec_id, round(list_dot_product(p.e, n.e) / p.len / n.len, 6) AS cosine FROM n p, n WHERE p.vec_id % 20 = 0)

@@ -6,10 +6,9 @@ import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.functions.helpers import html_to_text, sanitize_unicode
+from quarry.functions.helpers import html_to_text, paragraphs, sanitize_unicode
 from quarry.functions.text import detect_language, normalize_text
 from quarry.operators.evaluate import GOLD
 from quarry.scratch import materialize
@@ -55,23 +54,12 @@ def escaped(path: str) -> str:
 
 
 def load_text(files: DataFrame) -> DataFrame:
-    """One page for each paragraph of (path, text): line_range, the last ``#`` title seen so far."""
-    lines = files.select("path", F.posexplode(F.split(F.regexp_replace("text", r"(\r\n|\r|\n)$", ""), "\r\n|[\n\r]")).alias("pos", "raw"))
-    lines = lines.withColumns({"line": F.trim("raw"), "no": F.col("pos") + 1})
-    blank = F.col("line") == ""
-    so_far = W.partitionBy("path").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    before = W.partitionBy("path").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    title = F.last(F.when(F.startswith("line", F.lit("#")), F.trim(F.regexp_replace("line", "^#+", ""))), ignorenulls=True).over(so_far)
-    ends = F.coalesce(F.sum(blank.cast("int")).over(before), F.lit(0))
-    numbered = lines.withColumns({"para": ends, "title_now": title})
-    packed = numbered.groupBy("path", "para").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"), F.max("no").alias("end"), F.max_by("title_now", "pos").alias("title"), F.max(F.when(~blank, F.lit(1))).alias("has"),
-    )
-    packed = packed.where("has = 1")
-    start = F.coalesce(F.lag("end").over(W.partitionBy("path").orderBy("para")) + 1, F.lit(1))
-    text = normalize_text(F.array_join(F.filter(F.transform("ls", lambda z: z["line"]), lambda x: x != ""), " "))
-    out = packed.withColumns({"start": start, "text": text})
-    return out.select(F.col("path").alias("source_file"), F.array("start", "end").alias("line_range"), F.lit("body").alias("section"), "title", _suffix().alias("doc_type"), detect_language("text").alias("language"), F.lit("text").alias("parser"), "text")
+    """One page for each paragraph of (path, text): line_range, the last ``#`` title seen so far. Paragraphs are cut within the
+    row of their file, so nothing is shuffled."""
+    found = files.select("path", F.explode(paragraphs("text")).alias("p"))
+    text = normalize_text("p.text")
+    out = found.withColumns({"title": F.trim(F.regexp_replace("p.title", "^#+", "")), "text": text})
+    return out.select(F.col("path").alias("source_file"), F.array("p.first", "p.last").alias("line_range"), F.lit("body").alias("section"), "title", _suffix().alias("doc_type"), detect_language("text").alias("language"), F.lit("text").alias("parser"), "text")
 
 
 def load_csv_rows(rows: DataFrame, block: int = 50) -> DataFrame:
