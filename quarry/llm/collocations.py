@@ -12,9 +12,10 @@ candidates at or above it are known to survive. A candidate at or above the thre
 extends it to the right (by growth from it) and what extends it to the left (by growth towards it) is counted, and its survival
 is settled.
 
-Counts are summed in every task before they are dealt out by language and phrase. Tasks pass on a pair only where both words
-may be frequent, and stretches of words only where every pair may be; both tests look into hash maps of a fixed number of bits,
-so what is broadcast does not grow with the text. A hash that says yes by chance costs rows, never a count.
+Counts are summed in every task before they are dealt out. Texts are read three times: for the words; for the hashes of pairs
+of frequent words, of which those that occur often enough are kept; and for the stretches of words in which every pair has such a
+hash, from which phrases are counted by their words. The tests look into hash maps of a fixed number of bits, so what is broadcast
+does not grow with the text. A hash that says yes by chance costs rows, never a count.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -100,11 +101,6 @@ def _rows(lang: str, phrases: list[bytes], counts: list[int]) -> pa.RecordBatch:
     )
 
 
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    found, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return found, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
-
-
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, dict[bytes, int]] = {}
     for by in _texts(batches):
@@ -120,51 +116,99 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from (_rows(lang, list(c), list(c.values())) for lang, c in held.items() if c)
 
 
+def _phrases(size: int, heads, tails):
+    """A task's counts of phrases of ``size`` words in stretches (lang, phrase, n): those whose first or last words but one may be in
+    ``heads`` or ``tails`` (hash maps), or all of them where both are null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict[bytes, int]] = {}
+        asked: dict[tuple[str, bytes], int] = {}
+        rows = 0
+
+        def may(lang: str, part: bytes) -> int:
+            if (known := asked.get((lang, part))) is None:
+                at = _hash(lang, part) & MASK
+                known = asked[lang, part] = sum(2**i for i, bits in enumerate((heads, tails)) if bits is not None and bits.value[at >> 3] >> (at & 7) & 1)
+            return known
+
+        for batch in batches:
+            for lang, stretch, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                words = stretch.split(b" ")
+                if len(words) < size:
+                    continue
+                counts = held.setdefault(lang, {})
+                before = len(counts)
+                parts = [b" ".join(words[i : i + size - 1]) for i in range(len(words) - size + 2)] if heads or tails else ()
+                for i in range(len(words) - size + 1):
+                    if parts and not (may(lang, parts[i]) & 1 or may(lang, parts[i + 1]) & 2):
+                        continue
+                    phrase = b" ".join(words[i : i + size])
+                    counts[phrase] = counts.get(phrase, 0) + n
+                rows += len(counts) - before
+            if len(asked) > _HELD // 2:
+                asked = {}
+            if rows > _HELD // 2:
+                yield from (_rows(lang, list(c), list(c.values())) for lang, c in held.items() if c)
+                held, rows = {}, 0
+        yield from (_rows(lang, list(c), list(c.values())) for lang, c in held.items() if c)
+
+    return run
+
+
+def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64 bits for two words in order, from their hashes."""
+    x = (a >> np.uint64(7) ^ b) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(29)
+
+
+def _adjacent(mine: _Words, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of words in order, hash of each word with the next, whether both may be frequent)."""
+    codes = np.concatenate([mine.codes(t) for t in texts])
+    hashes = np.array(mine.hashes, dtype=np.uint64)[codes]
+    return codes, _pair_hash(hashes[:-1], hashes[1:]), (codes[:-1] > 0) & (codes[1:] > 0)
+
+
 def _count_pairs(frequent: np.ndarray):
-    """A task's counts of pairs of words that may both be frequent."""
+    """A task's counts of pairs of words that may both be frequent, by hash (of language and words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, _Words] = {}
-        held: dict[str, tuple[list, list]] = {}
+        held: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         size = 0
 
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            found, at = np.unique(np.concatenate(held), return_inverse=True)
+            return found, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
+
         def given() -> Iterator[pa.RecordBatch]:
-            for lang, parts in held.items():
-                keys, counts = _merged(*parts)
-                names = words[lang].words
-                phrases = [names[a] + b" " + names[b] for a, b in zip((keys >> 32).tolist(), (keys & 0xFFFFFFFF).tolist(), strict=True)]
-                for at in range(0, len(phrases), 1 << 16):
-                    yield _rows(lang, phrases[at : at + (1 << 16)], counts[at : at + (1 << 16)].tolist())
+            if held:
+                keys, n = merged()
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["h", "n"])
 
         for by in _texts(batches):
             for lang, texts in by.items():
                 mine = words.setdefault(lang, _Words(lang, frequent))
-                codes = np.concatenate([mine.codes(t) for t in texts])
-                both = (codes[:-1] > 0) & (codes[1:] > 0)
-                keys, counts = np.unique((codes[:-1] << 32 | codes[1:])[both], return_counts=True)
-                parts = held.setdefault(lang, ([], []))
-                parts[0].append(keys)
-                parts[1].append(counts)
+                _, pairs, both = _adjacent(mine, texts)
+                keys, n = np.unique(pairs[both], return_counts=True)
+                held.append(keys)
+                counts.append(n)
                 size += len(keys)
-            full = any(len(w.numbers) > _HELD for w in words.values())
+                if len(mine.numbers) > _HELD:
+                    del words[lang]
             if size > 2 * _HELD:
-                held = {lang: ([x], [y]) for lang, parts in held.items() for x, y in [_merged(*parts)]}
-                size = sum(len(p[0][0]) for p in held.values())
-                full = full or size > _HELD
-            if full:
-                yield from given()
-                held, words, size = {}, {}, 0
+                keys, n = merged()
+                held, counts, size = [keys], [n], len(keys)
+                if size > _HELD:
+                    yield from given()
+                    held, counts, size = [], [], 0
         yield from given()
 
     return run
 
 
-def _pair_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a >> np.uint64(7) ^ b) & np.uint64(MASK)
-
-
 def _stretches(frequent: np.ndarray, pairs: np.ndarray):
-    """A task's distinct stretches of three or more words in which every pair may be frequent, with their counts."""
+    """A task's distinct stretches of two or more words in which every pair may be frequent, with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, _Words] = {}
@@ -173,15 +217,12 @@ def _stretches(frequent: np.ndarray, pairs: np.ndarray):
         for by in _texts(batches):
             for lang, texts in by.items():
                 mine = words.setdefault(lang, _Words(lang, frequent))
-                codes = np.concatenate([mine.codes(t) for t in texts])
-                hashes = np.array(mine.hashes, dtype=np.uint64)[codes]
-                at = _pair_bits(hashes[:-1], hashes[1:])
-                good = (codes[:-1] > 0) & (codes[1:] > 0) & holds(pairs, at)
+                codes, found, both = _adjacent(mine, texts)
+                good = both & holds(pairs, found & np.uint64(MASK))
                 edge = np.diff(np.r_[0, good.astype(np.int8), 0])
                 first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + 1
-                long = last - first >= 3
                 names, counts = mine.words, held.setdefault(lang, {})
-                for i, j in zip(first[long].tolist(), last[long].tolist(), strict=True):
+                for i, j in zip(first.tolist(), last.tolist(), strict=True):
                     stretch = b" ".join([names[c] for c in codes[i:j].tolist()])
                     seen = counts.get(stretch, 0)
                     counts[stretch] = seen + 1
@@ -218,19 +259,17 @@ class _Growth:
     """What has been counted so far: words, pairs and the phrases grown from expanded prefixes."""
 
     def __init__(self, texts: DataFrame):
-        spark: SparkSession = texts.sparkSession
+        spark = self.spark = texts.sparkSession
         counted = texts.mapInArrow(_count_words, _COUNTS).withColumn("phrase", F.col("phrase").cast("string"))
         words = materialize(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")), "words")
         self.totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
         self.words = words.where(F.col("f") >= LEAST_COUNT)
         frequent = spark.sparkContext.broadcast(bitmap(self.words.select(low_bits(_spark_hash("phrase")))))
-        counted = texts.mapInArrow(lambda b: _count_pairs(frequent.value)(b), _COUNTS).withColumn("phrase", F.col("phrase").cast("string"))
-        self.counts = {1: self.words, 2: materialize(_summed(counted), "pairs")}
-        one, two = _spark_hash(_first("phrase", 1)), _spark_hash(_first("phrase", -1))
-        bits = bitmap(self.counts[2].select(low_bits(F.shiftrightunsigned(one, 7).bitwiseXOR(two))))
-        pairs = spark.sparkContext.broadcast(bits)
+        hashed = texts.mapInArrow(lambda b: _count_pairs(frequent.value)(b), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+        pairs = spark.sparkContext.broadcast(bitmap(hashed.where(F.col("n") >= LEAST_COUNT).select(low_bits(F.col("h")))))
         found = texts.mapInArrow(lambda b: _stretches(frequent.value, pairs.value)(b), _COUNTS).withColumn("phrase", F.col("phrase").cast("string"))
         self.stretches = materialize(found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "stretches")
+        self.counts = {1: self.words, 2: materialize(self._counted(2, None, None), "pairs")}
         self.known: DataFrame = self._scored(self.counts[2], 2)
 
     def _scored(self, phrases: DataFrame, size: int) -> DataFrame:
@@ -253,24 +292,27 @@ class _Growth:
         for size in range(3, LONGEST + 1):
             below = known.join(threshold, "lang")
             bound = _score("f", F.col("first") + F.col("f"))
-            heads = below.where(bound >= F.col("least")).select("lang", F.col("phrase").alias("head"), F.lit(True).alias("grows"))
-            tails = below.where(F.col("score") >= F.col("least")).select("lang", F.col("phrase").alias("tail"), F.lit(True).alias("meets"))
-            grams = self._grams(size).withColumn("head", _first("phrase", size - 1)).withColumn("tail", _first("phrase", 1 - size))
-            marked = grams.join(heads, ["lang", "head"], "left").join(tails, ["lang", "tail"], "left").where("grows OR meets")
-            grown = self.counts[size] = materialize(_summed(marked), "grown")
+            heads = below.where(bound >= F.col("least")).select("lang", "phrase")
+            tails = below.where(F.col("score") >= F.col("least")).select("lang", "phrase")
+            grown = self.counts[size] = materialize(self._counted(size, heads, tails), "grown")
             if size > 3:  # the parts of a longer phrase are counted whether or not they have grown themselves
                 parts = grown.select("lang", F.explode(F.array(_first("phrase", 1 - size), _first("phrase", size - 1))).alias("phrase")).distinct()
-                missing = parts.join(self.counts[size - 1], ["lang", "phrase"], "left_anti")
-                more = _summed(self._grams(size - 1).join(missing, ["lang", "phrase"], "left_semi"))
-                self.counts[size - 1] = materialize(self.counts[size - 1].unionByName(more), "parts")
+                missing = materialize(parts.join(self.counts[size - 1], ["lang", "phrase"], "left_anti"), "missing")
+                if not missing.isEmpty():
+                    # a phrase is counted if its own first words are asked for; which ones are wanted is settled by the join
+                    more = self._counted(size - 1, missing.select("lang", _first("phrase", size - 2).alias("phrase")), None)
+                    more = more.join(missing, ["lang", "phrase"], "left_semi")
+                    self.counts[size - 1] = materialize(self.counts[size - 1].unionByName(more), "parts")
             known = materialize(self._scored(grown, size), "scored")
             self.known = self.known.where(F.col("size") < size).unionByName(known)
 
-    def _grams(self, size: int) -> DataFrame:
-        """(lang, phrase, n): the phrases of ``size`` words in every stretch."""
-        words = self.stretches.select("lang", F.split("phrase", " ").alias("w"), "n").where(F.size("w") >= size)
-        at = words.select("lang", "w", "n", F.explode(F.sequence(F.lit(1), F.size("w") - (size - 1))).alias("i"))
-        return at.select("lang", F.array_join(F.slice("w", F.col("i"), size), " ").alias("phrase"), "n")
+    def _counted(self, size: int, heads: DataFrame | None, tails: DataFrame | None) -> DataFrame:
+        """(lang, phrase, f) of frequent phrases of ``size`` words that begin with one of ``heads`` or end with one of ``tails``
+        (lang, phrase), and by chance of others; of all phrases without either."""
+        shared = [None if x is None else self.spark.sparkContext.broadcast(bitmap(x.select(low_bits(_spark_hash("phrase"))))) for x in (heads, tails)]
+        rows = self.stretches.select("lang", F.col("phrase").cast("binary").alias("phrase"), "n")
+        counted = rows.mapInArrow(_phrases(size, *shared), _COUNTS).withColumn("phrase", F.col("phrase").cast("string"))
+        return _summed(counted)
 
 
 def _survivors(known: DataFrame, threshold: DataFrame) -> DataFrame:
