@@ -31,10 +31,13 @@ def test_every_stage_does_its_work_on_all_that_came_before(spark):
 
     before = list(seen["toxicity"].values())
     kept = slow_lines([(r.source, r.text) for r in before], cp.LINE_RATIO, cp.LINE_PAGES)
+    size = lambda lines: sum(map(len, lines))
+    doubtful = [r for r, lines in zip(before, kept) if len(lines) < len(r.text.split("\n")) and size(lines) < (1 - cp.LINE_COPIED) * size(r.text.split("\n"))]
+    gone = {r.doc_id: {x for x in set(r.text.split("\n")) - set(lines) if x} for r, lines in zip(before, kept)}
+    alike = lambda a, b: sum(map(len, gone[a.doc_id] & gone[b.doc_id])) >= cp.LINE_COPIED * max(size(a.text.split("\n")), size(b.text.split("\n")))
+    linked = {a.doc_id for a in doubtful for b in doubtful if a.doc_id != b.doc_id and (a.text == b.text or alike(a, b))}
     for r, lines in zip(before, kept):
-        gone = sum(map(len, r.text.split("\n"))) - sum(map(len, lines))
-        whole = gone > cp.LINE_WHOLE * sum(map(len, r.text.split("\n")))
-        text = r.text if whole else "\n".join(lines)
+        text = r.text if r.doc_id in linked else "\n".join(lines)
         assert seen["line_dedup"][r.doc_id].text == text and seen["line_dedup"][r.doc_id].n_chars == len(text)
 
     sets = {i: slow_set(r.text) for i, r in seen["line_dedup"].items()}
@@ -74,3 +77,20 @@ def test_stages_take_any_rows_and_columns(spark):
         docs = materialize(out, name) if name != cp.STAGES[-1][0] else docs
     texts = [r.text for r in docs.collect() if r.doc_id is None]
     assert "no id here at all" in texts and None in texts
+
+
+def test_lines_go_unless_a_verified_copy_explains_them(spark):
+    words = " ".join(f"w{k}" for k in range(60))
+    footer = "\n".join(f"all rights of page {k} are reserved by its makers and theirs" for k in range(4))
+    rows = [(i, f"{words} copy\n{footer}", "s") for i in range(12)]  # near and exact copies
+    rows += [(100 + i, f"page {i}\n{footer}", "s") for i in range(30)]  # mostly footer; no two are alike once it is gone
+    rows += [(200, None, "s"), (201, "", "s"), (202, footer, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in cp.drop_lines(spark, docs, "").collect()}
+    assert len(got) == len(rows) and got[0] == rows[0][1] and got[200] is None and got[201] == "" and got[202] == footer
+    # the pages are near copies of one another by their footers, so the next stage settles them
+    assert got[100] == rows[12][1]
+    one = [(300, footer, "s")] + [(i, "\n".join([line, *[f"text {i} {k} of its own with many other words" for k in range(9)]]), "s") for i, line in enumerate(footer.split("\n") * 10)]
+    docs = spark.createDataFrame(one, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in cp.drop_lines(spark, docs, "").collect()}
+    assert got[300] == "" and all(footer.split("\n")[0] not in t for t in got.values())
