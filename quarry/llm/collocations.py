@@ -46,6 +46,10 @@ _CUT = 0xFF  # no byte of UTF-8
 _TABLE = bytes(_CUT if c in _PIECES else c for c in range(256))
 #: Rows that a task holds before it passes counts on.
 _HELD = 1 << 21
+#: Bytes of stretches that a task counts at once.
+_CHUNK = 1 << 23
+#: Words of text a shard of pairs.
+_SHARD = 1 << 20
 
 
 def piece_words(text: bytes) -> list[bytes]:
@@ -116,14 +120,23 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from (_rows(lang, list(c), list(c.values())) for lang, c in held.items() if c)
 
 
+class _Numbers(dict):
+    """A number for each word met; 0 is the break between stretches."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 def _phrases(size: int, heads, tails):
     """A task's counts of phrases of ``size`` words in stretches (lang, phrase, n): those whose first or last words but one may be in
-    ``heads`` or ``tails`` (hash maps), or all of them where both are null."""
+    ``heads`` or ``tails`` (hash maps), or all of them where both are null. Phrases get numbers word by word within a chunk, so only
+    distinct ones are looked at as text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, dict[bytes, int]] = {}
         asked: dict[tuple[str, bytes], int] = {}
-        rows = 0
+        gathered: dict[str, tuple[list[bytes], list[int]]] = {}
 
         def may(lang: str, part: bytes) -> int:
             if (known := asked.get((lang, part))) is None:
@@ -131,26 +144,57 @@ def _phrases(size: int, heads, tails):
                 known = asked[lang, part] = sum(2**i for i, bits in enumerate((heads, tails)) if bits is not None and bits.value[at >> 3] >> (at & 7) & 1)
             return known
 
+        def count(lang: str, stretches: list[bytes], times: list[int]) -> int:
+            """Add what has been gathered; the number of new phrases."""
+            words = b" \xff ".join(stretches).split(b" ")
+            numbers = _Numbers({b"\xff": 0})
+            codes = np.array([numbers[w] for w in words] + [0], dtype=np.int64)
+            breaks = codes == 0
+            at = np.flatnonzero(~breaks)
+            names = codes[at]
+            for k in range(1, size):  # names has the phrases of k words, which begin at these places
+                follows = codes[at + k] > 0
+                if k == size - 1 and (heads or tails):
+                    first = np.unique(names, return_index=True)[1] if k == 1 else start
+                    flags = np.zeros(names.max(initial=0) + 1, dtype=np.uint8)
+                    flags[names[first]] = [may(lang, b" ".join(words[i : i + k])) for i in at[first].tolist()]
+                    placed = np.zeros(len(codes) + 1, dtype=np.uint8)
+                    placed[at] = flags[names]
+                    follows &= (placed[at] & 1 | placed[at + 1] & 2) > 0
+                at = at[follows]
+                _, start, names = np.unique(names[follows] * len(numbers) + codes[at + k], return_index=True, return_inverse=True)
+            if not len(at):
+                return 0
+            n = np.bincount(names, weights=np.array(times)[(np.cumsum(breaks) - breaks)[at]]).astype(np.int64)
+            counts = held.setdefault(lang, {})
+            before = len(counts)
+            for i, m in zip(at[start].tolist(), n.tolist(), strict=True):
+                phrase = b" ".join(words[i : i + size])
+                counts[phrase] = counts.get(phrase, 0) + m
+            return len(counts) - before
+
+        def given() -> Iterator[pa.RecordBatch]:
+            yield from (_rows(lang, list(c), list(c.values())) for lang, c in held.items() if c)
+            held.clear()
+
+        length = rows = 0
         for batch in batches:
             for lang, stretch, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words = stretch.split(b" ")
-                if len(words) < size:
-                    continue
-                counts = held.setdefault(lang, {})
-                before = len(counts)
-                parts = [b" ".join(words[i : i + size - 1]) for i in range(len(words) - size + 2)] if heads or tails else ()
-                for i in range(len(words) - size + 1):
-                    if parts and not (may(lang, parts[i]) & 1 or may(lang, parts[i + 1]) & 2):
-                        continue
-                    phrase = b" ".join(words[i : i + size])
-                    counts[phrase] = counts.get(phrase, 0) + n
-                rows += len(counts) - before
-            if len(asked) > _HELD // 2:
-                asked = {}
-            if rows > _HELD // 2:
-                yield from (_rows(lang, list(c), list(c.values())) for lang, c in held.items() if c)
-                held, rows = {}, 0
-        yield from (_rows(lang, list(c), list(c.values())) for lang, c in held.items() if c)
+                stretches, times = gathered.setdefault(lang, ([], []))
+                stretches.append(stretch)
+                times.append(n)
+                length += len(stretch)
+            if length > _CHUNK:
+                rows += sum(count(lang, *x) for lang, x in gathered.items())
+                gathered, length = {}, 0
+                if len(asked) > _HELD // 2:
+                    asked = {}
+                if rows > _HELD // 2:
+                    yield from given()
+                    rows = 0
+        for lang, x in gathered.items():
+            count(lang, *x)
+        yield from given()
 
     return run
 
