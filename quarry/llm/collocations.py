@@ -20,9 +20,11 @@ does not grow with the text. A hash that says yes by chance costs rows, never a
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -106,13 +108,12 @@ def _rows(lang: str, phrases: list[bytes], counts: list[int]) -> pa.RecordBatch:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, dict[bytes, int]] = {}
+    held: dict[str, Counter[bytes]] = {}
     for by in _texts(batches):
         for lang, texts in by.items():
-            mine = held.setdefault(lang, {})
+            mine = held.setdefault(lang, Counter())
             for text in texts:
-                for w in piece_words(text):
-                    mine[w] = mine.get(w, 0) + 1
+                mine.update(piece_words(text))
             mine.pop(b"\xff", None)
         if sum(map(len, held.values())) > _HELD:
             yield from (_rows(lang, list(c), list(c.values())) for lang, c in held.items())
@@ -212,8 +213,13 @@ def _adjacent(mine: _Words, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray,
     return codes, _pair_hash(hashes[:-1], hashes[1:]), (codes[:-1] > 0) & (codes[1:] > 0)
 
 
-def _count_pairs(frequent: np.ndarray):
-    """A task's counts of pairs of words that may both be frequent, by hash (of language and words)."""
+_PAIRS = "shard int, hashes binary, counts binary"
+
+
+def _count_pairs(frequent: np.ndarray, shards: int):
+    """A task's counts of pairs of words that may both be frequent, by hash (of language and words): a row for each of ``shards``
+    equal ranges of hashes."""
+    edges = np.arange(1, shards, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, _Words] = {}
@@ -221,27 +227,25 @@ def _count_pairs(frequent: np.ndarray):
         counts: list[np.ndarray] = []
         size = 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            found, at = np.unique(np.concatenate(held), return_inverse=True)
-            return found, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
-
         def given() -> Iterator[pa.RecordBatch]:
             if held:
-                keys, n = merged()
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["h", "n"])
+                keys, n = _merged(held, counts)
+                cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+                some = [(i, a, b) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+                columns = [pa.array([i for i, _, _ in some], pa.int32()), *(pa.array([x[a:b].tobytes() for _, a, b in some], pa.binary()) for x in (keys, n))]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "hashes", "counts"])
 
         for by in _texts(batches):
             for lang, texts in by.items():
                 mine = words.setdefault(lang, _Words(lang, frequent))
                 _, pairs, both = _adjacent(mine, texts)
-                keys, n = np.unique(pairs[both], return_counts=True)
-                held.append(keys)
-                counts.append(n)
-                size += len(keys)
+                held.append(pairs[both])
+                counts.append(np.ones(len(held[-1]), dtype=np.int64))
+                size += len(held[-1])
                 if len(mine.numbers) > _HELD:
                     del words[lang]
             if size > 2 * _HELD:
-                keys, n = merged()
+                keys, n = _merged(held, counts)
                 held, counts, size = [keys], [n], len(keys)
                 if size > _HELD:
                     yield from given()
@@ -251,6 +255,21 @@ def _count_pairs(frequent: np.ndarray):
     return run
 
 
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with the sums of their counts."""
+    every, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(every)
+    every, n = every[order], n[order]
+    first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, dtype=np.int64)
+    return every[first], np.add.reduceat(n, first) if len(every) else n
+
+
+def _frequent_pairs(p: pd.DataFrame) -> pd.DataFrame:
+    """The hashes of one range that occur often enough."""
+    keys, n = _merged([np.frombuffer(x, dtype=np.uint64) for x in p["hashes"]], [np.frombuffer(x, dtype=np.int64) for x in p["counts"]])
+    return pd.DataFrame({"h": keys[n >= LEAST_COUNT].view(np.int64)})
+
+
 def _stretches(frequent: np.ndarray, pairs: np.ndarray):
     """A task's distinct stretches of two or more words in which every pair may be frequent, with their counts."""
 
@@ -309,8 +328,9 @@ class _Growth:
         self.totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
         self.words = words.where(F.col("f") >= LEAST_COUNT)
         frequent = spark.sparkContext.broadcast(bitmap(self.words.select(low_bits(_spark_hash("phrase")))))
-        hashed = texts.mapInArrow(lambda b: _count_pairs(frequent.value)(b), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        pairs = spark.sparkContext.broadcast(bitmap(hashed.where(F.col("n") >= LEAST_COUNT).select(low_bits(F.col("h")))))
+        shards = 1 + (self.totals.agg(F.sum("n").alias("n")).first()["n"] or 0) // _SHARD
+        hashed = texts.mapInArrow(lambda b: _count_pairs(frequent.value, shards)(b), _PAIRS).groupBy("shard").applyInPandas(_frequent_pairs, "h long")
+        pairs = spark.sparkContext.broadcast(bitmap(hashed.select(low_bits(F.col("h")))))
         found = texts.mapInArrow(lambda b: _stretches(frequent.value, pairs.value)(b), _COUNTS).withColumn("phrase", F.col("phrase").cast("string"))
         self.stretches = materialize(found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "stretches")
         self.counts = {1: self.words, 2: materialize(self._counted(2, None, None), "pairs")}
