@@ -69,8 +69,8 @@ def _copied(rows: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies: five-word shingles with a Jaccard similarity of 0.8.
-    Different texts under one id are all kept, rows that repeat id and text once; rows without an id stay."""
+    """The document with the smallest id of each group of near copies: candidates by SimHash fingerprints through deletion variants
+    and, further apart, by MinHash, each checked for a Jaccard similarity of 0.8 of five-word shingles. Different texts under one id are all kept, rows that repeat id and text once; rows without an id stay."""
     return near_copies.keep_one_of_each(docs)
 
 

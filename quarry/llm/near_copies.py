@@ -1,8 +1,10 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by SimHash fingerprints, with an exact check of the Jaccard similarity of word shingles.
 
-At a similarity of 0.8 SimHash fingerprints lie about ten of 64 bits apart, which no key of a few bits can find. Candidates
-come from MinHash instead: 20 bands of 5 minima each, so a pair at 0.8 is missed once in 2,800 times and a closer one less
-often. The shingle sets of candidates only are then compared exactly.
+Every text has a fingerprint over its shingles; deletion-variant signatures (``simhash.links``) link all fingerprints within two
+bits, and texts with linked fingerprints share a bucket of candidates. At a similarity of 0.8 fingerprints lie about ten of
+64 bits apart, which no key of a few bits can find, so texts further apart than the fingerprints reach have buckets by MinHash
+beside these: 20 bands of 5 minima each, so a pair at 0.8 is missed once in 2,800 times and a closer one less often. The shingle
+sets of candidates only are then compared exactly, whichever way they were found.
 """
 
 from __future__ import annotations
@@ -16,24 +18,32 @@ from pyspark.sql import types as T
 
 from quarry.llm.bitmaps import bitmap, holds, low_bits
 from quarry.llm.graph import components
+from quarry.llm.simhash import fingerprint_of, links
 from quarry.llm.tokens import lower_blank_words, packed, small_batches, unpacked, utf8
 from quarry.scratch import materialize
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
+#: The band of buckets by fingerprint; those by MinHash count from 0.
+_BY_FINGERPRINT = -1
 _SEEDS = np.random.default_rng(42).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _BLOCK = 1 << 12
 
 
-def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; a shorter text is one shingle, a text without words has none."""
+def hashed(text: bytes | None, words: int = WORDS) -> np.ndarray:
+    """64-bit hashes of the word shingles in order; a shorter text is one shingle, a text without words has none."""
     toks = lower_blank_words(text)
     if not toks:
         return np.zeros(0, dtype="<u8")
     n = max(1, len(toks) - words + 1)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(toks[i : i + words])) for i in range(n)), dtype="<u8", count=n))
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(toks[i : i + words])) for i in range(n)), dtype="<u8", count=n)
+
+
+def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles."""
+    return np.unique(hashed(text, words))
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -50,16 +60,26 @@ def bands(hashes: np.ndarray) -> list[int]:
     return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
 
 
-_SIGNATURE = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+_SIGNATURE = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 @F.pandas_udf(_SIGNATURE)
 def _signatures(texts: pd.Series) -> pd.DataFrame:
     rows = []
     for t in texts:
-        own = shingles(t)
-        rows.append((len(own), bands(own)))
-    return pd.DataFrame(rows, columns=["n", "bands"])
+        every = hashed(t)
+        own = np.unique(every)
+        rows.append((len(own), fingerprint_of(every), bands(own)))
+    return pd.DataFrame(rows, columns=["n", "fp", "bands"])
+
+
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """(key, n, band, sig): every text of ``nodes`` in the bucket of its own fingerprint and in that of each lower one it has a
+    link with, so texts within two bits share a bucket."""
+    fps = materialize(nodes.where("n > 0").select("fp").distinct(), "fingerprints")
+    lower = links(fps).select(F.col("b").alias("fp"), F.col("a").alias("sig"))
+    at = materialize(lower.unionByName(fps.select("fp", F.col("fp").alias("sig"))), "lower")
+    return nodes.where("n > 0").join(at, "fp").select("key", "n", F.lit(_BY_FINGERPRINT).alias("band"), "sig")
 
 
 def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -100,10 +120,10 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(_enough(F.col("common"), "na", "nb")).select("a", "b")
 
 
-def _merged(placed: DataFrame, links: DataFrame) -> DataFrame:
-    """``placed`` (key, component) after the links (a, b) between keys: only components are linked, not keys."""
+def _merged(placed: DataFrame, found: DataFrame) -> DataFrame:
+    """``placed`` (key, component) after the links ``found`` (a, b) between keys: only components are linked, not keys."""
     ends = [placed.select(F.col("key").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
-    edges = links.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct()
+    edges = found.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct()
     moved = components(edges).select(F.col("node").alias("component"), F.col("component").alias("to"))
     return materialize(placed.join(moved, "component", "left").select("key", F.coalesce("to", "component").alias("component")), "components")
 
@@ -162,10 +182,11 @@ def _rest(held: DataFrame, sets: DataFrame, crowd: int) -> DataFrame:
     return pairs.unionByName(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = 64, rounds: int = 2) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = 64, rounds: int = 2, minima: bool = True) -> DataFrame:
     """One row per input row: (id, key, component, component_id); ``key`` is the digest of the text.
 
-    ``component_id`` is the smallest non-null id reachable through links between texts of similarity 0.8. Equal texts are
+    ``component_id`` is the smallest non-null id reachable through links between texts of similarity 0.8. Candidates are texts
+    in one bucket by fingerprint or, unless ``minima`` is false (to measure the fingerprints alone), by MinHash. Equal texts are
     one node. Texts that are null or have no words are copies of each other. In ``rounds`` rounds every text is compared
     with one lead of each of its buckets that is in another component: first the text that shares most buckets with others,
     then a text by hash. What is left apart goes through ``_rest``, so large groups of copies take few comparisons and no
@@ -173,10 +194,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("_id"), utf8(text_col).alias("_text")).withColumn("key", digest("_text"))
-    rows = materialize(texts.select("_id", "key", _signatures("_text").alias("s")).select("_id", "key", "s.n", "s.bands"), "signatures")
-    nodes = rows.groupBy("key").agg(F.min("_id").alias("low"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
+    rows = materialize(texts.select("_id", "key", _signatures("_text").alias("s")).select("_id", "key", "s.n", "s.fp", "s.bands"), "signatures")
+    nodes = rows.groupBy("key").agg(F.min("_id").alias("low"), *[F.any_value(c).alias(c) for c in ("n", "fp", "bands")])
     nodes = materialize(nodes, "nodes")
-    index = nodes.select("key", "n", F.posexplode("bands").alias("band", "sig"))
+    index = _by_fingerprint(nodes)
+    if minima:
+        index = index.unionByName(nodes.select("key", "n", F.posexplode("bands").alias("band", "sig")))
     found = index.groupBy("band", "sig").agg(F.count("*").alias("size")).where("size > 1")
     buckets = materialize(index.join(found, ["band", "sig"]), "buckets")
     central = buckets.groupBy("key").agg(F.sum("size").alias("central"))
@@ -186,11 +209,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = materialize(wanted.select("key", F.col("key").alias("component")), "components")
     for turn in range(rounds):
         weight = F.col("central") if turn == 0 else F.xxhash64("key", F.lit(turn))
-        links = materialize(_similar(_with_leads(_open(buckets, placed), weight), sets), "links")
-        if not links.isEmpty():
-            placed = _merged(placed, links)
-    links = materialize(_similar(_rest(_open(buckets, placed), sets, crowd), sets), "links")
-    placed = _merged(placed, links)
+        found = materialize(_similar(_with_leads(_open(buckets, placed), weight), sets), "links")
+        if not found.isEmpty():
+            placed = _merged(placed, found)
+    found = materialize(_similar(_rest(_open(buckets, placed), sets, crowd), sets), "links")
+    placed = _merged(placed, found)
 
     empty = F.when(F.col("n") == 0, F.lit(b"")).otherwise(F.col("key"))
     placed = materialize(nodes.join(placed, "key", "left").select("key", "low", F.coalesce("component", empty).alias("component")), "placed")

@@ -34,11 +34,26 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, n, _BLOCK):
         part = [b" ".join(toks[i : i + words]) for i in range(at, min(n, at + _BLOCK))]
-        hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in part), dtype="<u8", count=len(part))
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += _ones(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in part), dtype="<u8", count=len(part)))
+    return _majority(ones, n)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The same of shingles that are hashed already (unsigned 64 bits, repeats included); zero for none."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), _BLOCK):
+        ones += _ones(hashes[at : at + _BLOCK])
+    return _majority(ones, len(hashes))
+
+
 @F.pandas_udf(T.LongType())
 def _fingerprints(texts: pd.Series) -> pd.Series:
     return texts.map(fingerprint, na_action=None).astype("int64")

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline as cp
 from quarry.llm import near_copies
+from quarry.llm.simhash import fingerprint, fingerprint_of
 
 
 def slow_set(text):
@@ -80,3 +81,20 @@ def test_crowded_buckets_lose_no_link(spark):
     for crowd, rounds in ((2, 2), (2, 0), (1000, 1)):
         got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs, crowd=crowd, rounds=rounds).collect()}
         assert got == want
+
+
+def test_fingerprints_find_near_copies_by_themselves_and_the_similarity_decides(spark):
+    """Without MinHash: texts within two bits are candidates through deletion variants, also along a chain; candidates that are
+    not similar enough stay apart."""
+    rng = random.Random(1)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+    texts = {1: " ".join(base), 2: " ".join([*base, "end"]), 3: " ".join(["start", *base, "end"]), 4: " ".join(base[::-1])}
+    texts |= {5: "a b c d e " * 400, 6: "a b c d e " * 400 + "f g h"}  # one fingerprint, sets of 5 and 8 shingles
+    fps = {i: fingerprint(t.encode(), near_copies.WORDS) for i, t in texts.items()}
+    own = {i: fingerprint_of(near_copies.hashed(t.encode())) for i, t in texts.items()}
+    apart = lambda a, b: ((a ^ b) & 0xFFFFFFFFFFFFFFFF).bit_count()
+    assert apart(own[1], own[2]) <= 2 and apart(own[2], own[3]) <= 2 and own[5] == own[6] and fps[5] == fps[6]
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs, minima=False).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6}
+    assert fingerprint_of(near_copies.hashed(None)) == 0
