@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -46,10 +47,10 @@ NO_LANGUAGE = "und"
 _PIECES = b".,;:!?\x0a\x0b\x0c\x0d"
 _CUT = 0xFF  # no byte of UTF-8
 _TABLE = bytes(_CUT if c in _PIECES else c for c in range(256))
-#: Rows that a task holds before it passes counts on.
-_HELD = 1 << 21
-#: Bytes of stretches that a task counts at once.
-_CHUNK = 1 << 23
+#: Rows that a task holds before it passes counts on, and rows of one batch that it passes on.
+_HELD, _PASSED = 1 << 20, 1 << 16
+#: Bytes of stretches that a task counts at once, and those it holds (with 100 for each stretch).
+_CHUNK, _HELD_BYTES = 1 << 22, 1 << 26
 #: Words of text a shard of pairs.
 _SHARD = 1 << 20
 
@@ -101,10 +102,14 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[bytes]]
 _COUNTS = "lang string, phrase binary, n long"
 
 
-def _rows(lang: str, phrases: list[bytes], counts: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()), pa.array(counts, pa.int64())], ["lang", "phrase", "n"]
-    )
+def _rows(held: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+    """What a task holds by language, in batches; nothing is held any more after them."""
+    while held:
+        lang, counts = held.popitem()
+        left = iter(counts.items())
+        while some := list(islice(left, _PASSED)):
+            phrases, n = zip(*some, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(phrases, pa.binary()), pa.array(n, pa.int64())], ["lang", "phrase", "n"])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,9 +121,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 mine.update(piece_words(text))
             mine.pop(b"\xff", None)
         if sum(map(len, held.values())) > _HELD:
-            yield from (_rows(lang, list(c), list(c.values())) for lang, c in held.items())
-            held = {}
-    yield from (_rows(lang, list(c), list(c.values())) for lang, c in held.items() if c)
+            yield from _rows(held)
+    yield from _rows(held)
 
 
 class _Numbers(dict):
@@ -174,10 +178,6 @@ def _phrases(size: int, heads, tails):
                 counts[phrase] = counts.get(phrase, 0) + m
             return len(counts) - before
 
-        def given() -> Iterator[pa.RecordBatch]:
-            yield from (_rows(lang, list(c), list(c.values())) for lang, c in held.items() if c)
-            held.clear()
-
         length = rows = 0
         for batch in batches:
             for lang, stretch, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -188,14 +188,14 @@ def _phrases(size: int, heads, tails):
             if length > _CHUNK:
                 rows += sum(count(lang, *x) for lang, x in gathered.items())
                 gathered, length = {}, 0
-                if len(asked) > _HELD // 2:
-                    asked = {}
+                if len(asked) > _HELD // 4:
+                    asked.clear()
                 if rows > _HELD // 2:
-                    yield from given()
+                    yield from _rows(held)
                     rows = 0
         for lang, x in gathered.items():
             count(lang, *x)
-        yield from given()
+        yield from _rows(held)
 
     return run
 
@@ -242,8 +242,8 @@ def _count_pairs(frequent: np.ndarray, shards: int):
                 held.append(pairs[both])
                 counts.append(np.ones(len(held[-1]), dtype=np.int64))
                 size += len(held[-1])
-                if len(mine.numbers) > _HELD:
-                    del words[lang]
+                if sum(len(w.numbers) for w in words.values()) > _HELD:
+                    words.clear()
             if size > 2 * _HELD:
                 keys, n = _merged(held, counts)
                 held, counts, size = [keys], [n], len(keys)
@@ -290,12 +290,12 @@ def _stretches(frequent: np.ndarray, pairs: np.ndarray):
                     seen = counts.get(stretch, 0)
                     counts[stretch] = seen + 1
                     size += 0 if seen else len(stretch) + 100
-                if len(mine.numbers) > _HELD:
-                    del words[lang]
-            if size > 1 << 27:
-                yield from (_rows(lang, list(c), list(c.values())) for lang, c in held.items())
-                held, size = {}, 0
-        yield from (_rows(lang, list(c), list(c.values())) for lang, c in held.items() if c)
+                if sum(len(w.numbers) for w in words.values()) > _HELD:
+                    words.clear()
+            if size > _HELD_BYTES:
+                yield from _rows(held)
+                size = 0
+        yield from _rows(held)
 
     return run
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from quarry.llm import collocations, queries
@@ -57,3 +58,17 @@ def test_a_long_text_counts_as_many_short_ones(spark):
 
 def test_query_has_the_columns_of_the_contract(spark, sf):
     assert dict(queries.op11_collocations(spark, sf).dtypes) == {c: "string" if c in ("lang", "phrase") else "bigint" for c in COLUMNS}
+
+
+def test_tasks_pass_counts_on_in_bounded_batches_and_lose_none():
+    # 1.5 million distinct pairs of each of two languages; some stand in both halves, so they are passed on more than once
+    stretches = [b" ".join(b"%d" % i for i in range(a, a + 3001)) for a in range(0, 1_500_000, 3000)]
+    twice = stretches + stretches[:10]
+    columns = [pa.array(["de", "en"] * len(twice)), pa.array([s for s in twice for _ in range(2)], pa.binary()), pa.array([2] * 2 * len(twice), pa.int64())]
+    batches = list(collocations._phrases(2, None, None)(iter(pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n"]).slice(i, 50) for i in range(0, 2 * len(twice), 50))))
+    assert max(b.num_rows for b in batches) <= 1 << 16
+    for lang in ("de", "en"):
+        n = sum(sum(b.column(2).to_pylist()) for b in batches if b.column(0)[0].as_py() == lang)
+        assert n == 2 * 3000 * len(twice)
+    words = list(collocations._count_words(iter([pa.RecordBatch.from_arrays([pa.array(["en"] * 500), pa.array(stretches, pa.binary())], ["lang", "text"])])))
+    assert max(b.num_rows for b in words) <= 1 << 16 and sum(sum(b.column(2).to_pylist()) for b in words) == 3001 * 500
