@@ -16,6 +16,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,18 +47,17 @@ class BlockMaxIndex:
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         self.size, self.blocks, self.postings = len(vectors), -(-len(vectors) // BLOCK), 0
-        terms = np.concatenate([t for t, _ in vectors]) if vectors else _NONE
-        weights = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
-        self.times = np.bincount(terms, minlength=n_terms)
+        self.times = np.bincount(np.concatenate([t for t, _ in vectors]) if vectors else _NONE, minlength=n_terms)
         common = np.argsort(-self.times, kind="stable")[:64]
         bit = {int(t): 1 << (63 - i) for i, t in enumerate(common)}
         heads = [sum(bit.get(t, 0) for t in np.intersect1d(t, common).tolist()) for t, _ in vectors]
         self.order = np.array(sorted(range(self.size), key=lambda i: (heads[i], i)), dtype=np.int64)
         self.place = np.argsort(self.order)
-        docs = np.repeat(self.place, [len(t) for t, _ in vectors]) if vectors else _NONE
-        by = np.lexsort((docs, terms))
-        self.docs, self.weights = docs[by], weights[by]
-        self.start = np.searchsorted(terms[by], np.arange(n_terms + 1))  # postings of each term
+        placed = [vectors[i] for i in self.order]
+        by = np.argsort(np.concatenate([t for t, _ in placed]) if vectors else _NONE, kind="stable")
+        self.docs = np.repeat(np.arange(self.size, dtype=np.int32), [len(t) for t, _ in placed])[by] if vectors else _NONE
+        self.weights = np.concatenate([w for _, w in placed])[by] if vectors else np.zeros(0)
+        self.start = np.concatenate([[0], np.cumsum(self.times)])  # postings of each term
         often = np.flatnonzero(self.times > self.size // COMMON) if self.size else _NONE
         self.row = np.full(n_terms, -1, dtype=np.int64)
         self.row[often] = np.arange(len(often))
@@ -105,11 +106,28 @@ class BlockMaxIndex:
         return positions[top], cosines[top]
 
 
+class Vocabulary:
+    """The words of the examples by number. What is broadcast are the words in a row; each Python worker builds the dictionary
+    once, at first use, and the driver none."""
+
+    def __init__(self, words: bytes, size: int):
+        self._words, self.size, self._ids = words, size, None
+
+    def ids(self) -> dict[bytes, int]:
+        if self._ids is None:
+            self._ids = {w: i for i, w in enumerate(self._words.split())}
+            self._words = b""
+        return self._ids
+
+    def __reduce__(self):
+        return Vocabulary, (self._words or b" ".join(self._ids or ()), self.size)
+
+
 @dataclass
 class Model:
     """Everything a task needs to score texts; its size is bounded by the words of the examples."""
 
-    vocab: dict[bytes, int]
+    vocab: Vocabulary
     weight_of: np.ndarray
     index: BlockMaxIndex
     ids: list
@@ -122,7 +140,7 @@ class Model:
 
     def counts(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """(term ids, times) of the words that some example has."""
-        get = self.vocab.get
+        get = self.vocab.ids().get
         found = [(i, n) for w, n in Counter(alnum_words(text)).items() if (i := get(w)) is not None]
         terms, times = np.array(found, dtype=np.int64).reshape(-1, 2).T
         return terms, times
@@ -168,6 +186,16 @@ def relevance(n0: np.ndarray, n1: np.ndarray, sizes: tuple[int, int], least: int
     return np.where(n0 + n1 >= least, np.log2(2 + odds), 1.0)
 
 
+def _numbered(rows: pa.ChunkedArray) -> tuple[Vocabulary, np.ndarray]:
+    """The vocabulary of ``rows`` (words joined by spaces), and the numbers of all words one after the other. A word's number is
+    its place among the first occurrences. No word becomes an object of the driver's Python."""
+    words = pc.list_flatten(pc.split_pattern(rows, pattern=" ")).combine_chunks()
+    words = words.filter(pc.greater(pc.binary_length(words), 0)).dictionary_encode()
+    every, n = words.dictionary, len(words.dictionary)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), every), b" ")
+    return Vocabulary(joined[0].as_py(), n), np.array(words.indices, dtype=np.int32)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", examples: int = 3000, k: int = 15) -> Model:
     """A model from the labels that may be learnt from.
 
@@ -184,13 +212,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
 
     picked = sample_of_each_class(with_labels(docs, known, id_col, text_col), examples, sizes)
     picked = materialize(picked.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "y", counted("text").alias("v")).select("id", "y", "v.*"), "examples").toArrow()
-    texts = sorted(zip(*[picked[c].to_pylist() for c in ("id", "y", "words", "times")]))
-    vocab: dict[bytes, int] = {}
-    vectors = [(np.array([vocab.setdefault(w, len(vocab)) for w in words.split()], dtype=np.int64), np.frombuffer(times, "<i4")) for _, _, words, times in texts]
+    picked = picked.sort_by([(c, "ascending") for c in ("id", "y", "words", "times")])
+    ids, y = picked["id"].to_pylist(), picked["y"].to_numpy().astype(float)
+    times = np.frombuffer(b"".join(picked["times"].to_pylist()), "<i4")
+    ends = np.cumsum(pc.binary_length(picked["times"]).to_numpy() // 4, dtype=np.int64)
+    here = [slice(a, b) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    vocab, terms = _numbered(picked["words"])
+    del picked
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def frequencies(batches):
-        ids, seen, total = shared.value, np.zeros((3, len(vocab)), dtype=np.int64), 0
+        ids, total = shared.value.ids(), 0
+        seen = np.zeros((3, len(ids)), dtype=np.int64)
         for pdf in batches:
             for text, y in zip(pdf["text"], pdf["y"]):
                 at = [i for w in set(alnum_words(text)) if (i := ids.get(w)) is not None]
@@ -203,20 +236,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
 
     every = with_labels(docs, known, id_col, text_col, "left").select("text", F.coalesce("y", F.lit(-1)).alias("y"))
     got = every.mapInPandas(frequencies, "term int, n long, n0 long, n1 long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", "n0", "n1")]).toArrow()
-    table = np.zeros((3, len(vocab) + 1))
+    table = np.zeros((3, vocab.size + 1))
     for i, c in enumerate(("n", "n0", "n1")):
         table[i, got["term"].to_numpy()] = got[c].to_numpy()
+    shared.destroy()
     idf = np.log((1 + table[0, -1]) / (1 + table[0, :-1])) + 1e-3
-    y = np.array([c for _, c, _, _ in texts], dtype=float)
     weight = np.where(y > 0, sizes[1] / max(1, y.sum()), sizes[0] / max(1, len(y) - y.sum()))
-    blank = np.array([not len(t) for t, _ in vectors], dtype=bool)
+    blank = np.array([x.start == x.stop for x in here], dtype=bool)
     empty0, empty1 = float(weight[blank & (y == 0)].sum()), float(weight[blank & (y == 1)].sum())
-    model = Model(vocab, idf * relevance(table[1, :-1], table[2, :-1], sizes), BlockMaxIndex([], len(vocab)), [i for i, _, _, _ in texts], y, weight, k, np.zeros(4), (empty1 + 0.5) / (empty0 + empty1 + 1.0))
-    del picked, texts, got, table
-    units = [model.unit(t, n) for t, n in vectors]
-    model.index = BlockMaxIndex([(t, v) for t, v, _ in units], len(vocab))
-    if len(units):
-        seen = np.array([model.evidence(model.index.nearest(t, v, k, without=i), norm) for i, (t, v, norm) in enumerate(units)])
+    model = Model(vocab, idf * relevance(table[1, :-1], table[2, :-1], sizes), BlockMaxIndex([], vocab.size), ids, y, weight, k, np.zeros(4), (empty1 + 0.5) / (empty0 + empty1 + 1.0))
+    del got, table
+    values, norms = np.empty(len(terms)), np.empty(len(here))
+    for i, x in enumerate(here):
+        terms[x], values[x], norms[i] = model.unit(terms[x], times[x])
+    model.index = BlockMaxIndex([(terms[x], values[x]) for x in here], vocab.size)
+    if here:
+        seen = np.array([model.evidence(model.index.nearest(terms[x], values[x], k, without=i), norms[i]) for i, x in enumerate(here)])
         model.scale = logistic(seen, y, weight * len(y) / weight.sum())
     return model
 

@@ -84,3 +84,23 @@ def test_texts_under_repeated_ids_are_not_lost(spark):
     kept = simhash.keep_one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, a), (1, b)])
+
+
+def test_few_edges_take_few_jobs_and_many_the_same_components(spark):
+    rng = random.Random(5)
+    pairs = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)] + [(500, i) for i in range(501, 560)] + [(7, 7)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    got, jobs = [], []
+    for few in (1 << 15, 200, 0):
+        sc.setJobGroup(f"components {few}", "")
+        got.append(sorted((r.node, r.component) for r in components(links, few=few).collect()))
+        jobs.append(len(tracker.getJobIdsForGroup(f"components {few}")))
+    sc.setJobGroup("", "")
+    low = {x: x for p in pairs for x in p if p[0] != p[1]}
+    while any(low[a] != low[b] for a, b in pairs if a != b):
+        for a, b in pairs:
+            low[a] = low[b] = min(low.get(a, a), low.get(b, b))
+    assert got[0] == got[1] == got[2] == sorted(low.items())
+    assert jobs[0] < jobs[2] / 2, jobs
+    assert components(links.limit(0)).collect() == []

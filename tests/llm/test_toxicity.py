@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import pickle
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -134,3 +136,22 @@ def test_texts_without_toxic_wording_are_compared_too(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
     got = {r.doc_id: r.toxicity for r in tx.with_toxicity(docs, tx.fit(docs, labels)).collect()}
     assert got[50].neighbours and all(int(i) % 2 == 0 for i in got[50].neighbours) and got[50].score < 0.5 < got[1].score
+
+
+def test_the_driver_keeps_words_in_a_row_and_no_object_for_each(spark):
+    words = lambda i: [f"w{i:03}x{k:03}" for k in range(400)] + ["every", "é"]
+    docs = spark.createDataFrame([(i, "" if i == 7 else " ".join(words(i))) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    tracemalloc.start()
+    model = tx.fit(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    known = sorted((str(i) for i in range(400) if zlib.crc32(str(i).encode()) % 5), key=str)
+    want: dict = {}
+    for i in known:
+        for w in sorted(w.encode() for w in (words(int(i)) if i != "7" else [])):
+            want.setdefault(w, len(want))
+    assert model.ids == known and len(want) > 100_000
+    sent = pickle.loads(pickle.dumps(model))
+    assert sent.vocab.ids() == want and sent.vocab.size == len(want)
+    assert peak < 25, peak  # 35 MB with a dictionary and lists of words; 16 MB without
