@@ -9,6 +9,7 @@ from quarry.functions.helpers import tokens
 from quarry.operators import chunking as ch
 from quarry.operators import layout as lo
 from quarry.operators.incremental import upsert
+from quarry.plans import source_queries
 from quarry.sources import readers as rd
 from quarry.streaming import ingest
 from quarry.streaming.ingest import latest, stream_ingest
@@ -153,6 +154,20 @@ def test_pages_of_a_document_in_several_batches(spark, tmp_path):
     assert ingested("many", [pages[0:2], again, [pages[2], *pages[4:6]], pages[6:], [pages[1], pages[3]]], 1) == one
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_the_stream_reads_a_table_of_one_file_or_of_several(spark, tmp_path, whole):
+    docs = spark.createDataFrame([(i, f"Pyrolysis of coal {i} at 900 K. Another sentence follows here.") for i in range(4)], "doc_id long, text string")
+    place = tmp_path / "tables"
+    place.mkdir()
+    docs.repartition(1 if whole else 3).write.parquet(str(tmp_path / "out"))
+    if whole:
+        next((tmp_path / "out").glob("*.parquet")).rename(place / "documents.parquet")
+    else:
+        (tmp_path / "out").rename(place / "documents.parquet")
+    docs.where("doc_id < 2").coalesce(1).write.parquet(str(place / "labels.parquet"))
+    assert source_queries.stream_ingest(spark, str(place)).where("is_parent").count() == 4
+
+
 def test_pages_of_one_file_keep_all_their_text(spark):
     files = spark.createDataFrame([("f.txt", "First paragraph of it.\n\nSecond paragraph.\n\nThird one.\n\nSecond paragraph.")], "path string, text string")
     chunks = ch.chunk_hierarchical(rd.load_text(files))
