@@ -91,26 +91,30 @@ def load_html(pages: DataFrame, path: str = "url", html: str = "html") -> DataFr
 _CACHED = "text STRING, page_content STRING, content STRING, metadata MAP<STRING, STRING>"
 
 
-def read_page_cache(lines: DataFrame, col: str = "value") -> DataFrame:
-    """(text, metadata) of cached JSON lines: the first non-empty of text, page_content and content; blank, corrupt and empty
-    lines are skipped; metadata that is no object is empty."""
+def read_page_cache(lines: DataFrame, col: str = "value", blanks: bool = False) -> DataFrame:
+    """(text, metadata) of cached JSON lines: the first non-empty of text, page_content and content; blank, corrupt and, without
+    ``blanks``, empty lines are skipped; metadata that is no object is empty. With ``blanks`` every line that is JSON gives a
+    row, its text as it stands: empty where one of the keys is, null where none is there."""
     rows = lines.where(F.trim(col) != "").where(F.try_parse_json(col).isNotNull()).withColumn("_r", F.from_json(col, _CACHED))
     plain = lambda key: F.nullif(F.get_json_object(col, f"$.{key}"), F.lit(""))
-    text = F.coalesce(plain("text"), plain("page_content"), plain("content"))
+    keys = ("text", "page_content", "content")
+    text = F.coalesce(*[plain(k) for k in keys], *([F.get_json_object(col, f"$.{k}") for k in keys] if blanks else []))
     empty = F.create_map().cast("map<string,string>")
-    return rows.select(text.alias("text"), F.coalesce("_r.metadata", empty).alias("metadata")).where(F.trim("text") != "")
+    out = rows.select(text.alias("text"), F.coalesce("_r.metadata", empty).alias("metadata"))
+    return out if blanks else out.where(F.trim("text") != "")
 
 
-def page_cache_lines(pages: DataFrame, text_col: str = "text") -> DataFrame:
-    """Cache lines of pages: sanitised text under both keys, the rest as metadata; blank pages go."""
-    clean = pages.withColumn(text_col, sanitize_unicode(text_col)).where(F.trim(text_col) != "")
+def page_cache_lines(pages: DataFrame, text_col: str = "text", sanitise: bool = True) -> DataFrame:
+    """Cache lines of pages: sanitised text under both keys, the rest as metadata; blank pages go. Without ``sanitise`` every page
+    has a line, with its text as it stands."""
+    clean = pages.withColumn(text_col, sanitize_unicode(text_col)).where(F.trim(text_col) != "") if sanitise else pages
     rest = [c for c in pages.columns if c != text_col]
     return clean.select(F.to_json(F.struct(F.col(text_col).alias("text"), F.col(text_col).alias("page_content"), F.struct(*rest).alias("metadata"))).alias("value"))
 
 
-def write_page_cache(pages: DataFrame, path: str) -> None:
+def write_page_cache(pages: DataFrame, path: str, sanitise: bool = True) -> None:
     """The lines as text files."""
-    page_cache_lines(pages).write.mode("overwrite").text(path)
+    page_cache_lines(pages, sanitise=sanitise).write.mode("overwrite").text(path)
 
 
 def load_gold(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +155,22 @@ def test_pages_of_a_document_in_several_batches(spark, tmp_path):
     assert ingested("many", [pages[0:2], again, [pages[2], *pages[4:6]], pages[6:], [pages[1], pages[3]]], 1) == one
 
 
+def test_the_page_cache_gives_every_text_back_as_it_stands(spark, tmp_path):
+    texts = [None, "", "  ", "\n\n\n\n", "ﬁne\u00a0Ａ  two\u200b blanks", "a\r\nb\rc\u2028d\x85e", "\x00\x1f\x7f", '{"text": "x"} \\"\\\\ null', "null", "😀 \ud7ff", " lead and trail\t"]
+    place = str(tmp_path)
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)] + [(None, "no id", None)], "doc_id long, text string, source string").write.parquet(f"{place}/documents.parquet")
+    spark.createDataFrame([(1, "of an older kind"), (2, ""), (3, None)], "item_id long, text string").write.parquet(f"{place}/benchmark.parquet")
+    spark.createDataFrame([("ASIA",)], "r_name string").write.parquet(f"{place}/region.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{place}/{t}.parquet/*.parquet'")
+    for name in ("write_page_cache",):
+        got = [tuple(r) for r in source_queries.QUERIES[name](spark, place).collect()]
+        assert sorted(got, key=repr) == sorted(con.execute(source_queries.ORACLE[name]).fetchall(), key=repr), name
+    kept = rd.read_page_cache(rd.page_cache_lines(spark.createDataFrame([(1, " "), (2, "ﬁ  x")], "k int, text string")))
+    assert [(r.text, r.metadata) for r in kept.collect()] == [("fi x", {"k": "2"})]
+
+
 @pytest.mark.parametrize("whole", [True, False])
 def test_the_stream_reads_a_table_of_one_file_or_of_several(spark, tmp_path, whole):
     docs = spark.createDataFrame([(i, f"Pyrolysis of coal {i} at 900 K. Another sentence follows here.") for i in range(4)], "doc_id long, text string")
