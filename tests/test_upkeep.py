@@ -113,3 +113,13 @@ def test_two_publishers_take_turns(spark, tmp_path, monkeypatch):
     assert tuple(inc.publish_version(spark.range(3), root, "three").first()) == ("three", "two")
     assert sorted((r.seq, r.current, r.previous) for r in inc._changes(spark, root).collect()) == [(0, "one", None), (1, "two", "one"), (2, "three", "two")]
     assert not inc._put(spark, root, 2, "late", None) and tuple(inc.pointer(spark, root).first()) == ("three", "two")
+
+
+def test_only_placed_chunks_are_tagged(spark, sf, monkeypatch):
+    from quarry.plans import upkeep_queries as up
+
+    seen = []
+    tag = up.extract_metadata
+    monkeypatch.setattr(up, "extract_metadata", lambda df: seen.append(df) or tag(df))
+    top = up._top(spark, sf)
+    assert len(seen) == 1 and seen[0].where("rank > 10").isEmpty() and 0 < seen[0].count() == top.count() < up.view(spark, sf, up.CHUNKS).count() and {"stage", "T_K", "rank"} <= set(top.columns)
