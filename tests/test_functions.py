@@ -112,3 +112,22 @@ def test_range_overlap(spark):
     rows = spark.createDataFrame([(1000.0, None, None), (None, 900.0, 1100.0), (None, None, None)], "p double, a double, b double")
     make = lambda lo, hi: range_overlap(F.col("p"), F.col("a"), F.col("b"), F.lit(lo).cast("double"), F.lit(hi).cast("double"))
     assert [tuple(r) for r in rows.select(make(1050, 1200), make(None, None), make(950, 1000)).collect()] == [(False, True, True), (True, True, True), (False, True, False)]
+
+
+def test_aliases_within_others_and_in_other_scripts(spark):
+    from quarry.functions.ontology import DOMAIN, _has
+
+    words = [w for kind in DOMAIN.values() for ws in kind.values() for w in ws]
+    texts = ["", "plain", *words, *[f"x{w}y" for w in words], "K 气 pyroly", "K CO₂", "éair"]
+    rows = spark.createDataFrame([(t.lower(),) for t in texts], "low string")
+    for kind in DOMAIN.values():
+        for own in kind.values():
+            got = [r[0] for r in rows.select(_has(F.col("low"), own)).collect()]
+            assert got == [any(w.lower() in t.lower() for w in own) for t in texts], own
+
+
+def test_numbers_do_not_pay_for_their_proofs(spark):
+    from quarry.functions.metadata import extract_metadata
+
+    plan = extract_metadata(spark.range(1).select(F.lit("Pyrolysis at 900 K").alias("text"), F.rand().alias("r"))).select("r", "stage", "T_K", "P_MPa")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_instr" not in plan.lower() and "regexpinstr" not in plan.lower()
