@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from quarry.operators import search as se
@@ -27,6 +28,17 @@ def test_exact_mode_equals_the_scan(spark, monkeypatch, cut):
     assert index.search(probes.limit(0), 6).count() == 0 and vx.VectorIndex(chunks.limit(0)).search(probes, 6).count() == 0
 
 
+def test_probes_are_spread_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(vx, "_ASKED", 10)
+    p = pd.DataFrame({"qid": range(7), "v": [np.full(3, float(i)) for i in range(7)]})
+    use, slices = np.random.default_rng(4).random((7, 5)) < 0.8, np.array([1, 3, 0, 2, 1])
+    got = list(vx._spread(p, use, slices))
+    assert max(map(len, got)) == 10 and all((np.stack(g["v"])[:, 0] == g["qid"]).all() for g in got)
+    rows = sorted(x for g in got for x in g[["qid", "cell", "slice"]].itertuples(index=False, name=None))
+    assert rows == [(q, c, s) for q in range(7) for c in range(5) if use[q, c] for s in range(slices[c])]
+    assert [len(x) for x in vx._pieces([p], 3)] == [3, 3, 1]
+
+
 def test_recall_of_a_tenth_of_the_cells(spark):
     chunks = spark.createDataFrame(rows(3000, 60, 2), "chunk_id int, embedding array<double>")
     probes = chunks.where("chunk_id % 20 = 0").selectExpr("chunk_id AS qid", "embedding")
