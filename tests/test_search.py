@@ -159,3 +159,20 @@ def test_table_health(spark):
     assert ev.validate_chunks(good, 2, {"is_parent": "boolean"}).first().ok
     bad = ev.validate_chunks(good.where(F.lit(False)), 2, {"is_parent": "string", "x": "int"}).first()
     assert not bad.ok and len(bad.errors) == 5
+
+
+def test_the_index_reads_the_same_tokens(spark):
+    from quarry.functions.text import tokenize
+    from quarry.operators import postings
+
+    texts = ["", "Pyrolysis at 900 K, S/C=1.5 of co_al", "气化Gas化 鿿龦 K900 İx ÉA ſs 㐀", "A_b-C\nd"]
+    want = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "text string").select(tokenize("text")).collect()]
+    assert [[t.lower() for t in postings._TOKEN.findall(x)] for x in texts] == want
+
+
+def test_negative_zero_is_zero_to_filters(spark):
+    from quarry.operators.questions import FILTERED, filter_group
+
+    kinds = {"stage": "string", "coal_name": "string", "gas_agent": "array<string>", "targets": "array<string>"}
+    rows = spark.createDataFrame([(-0.0,), (0.0,)], "T_K double").select(*[F.col(c) if c == "T_K" else F.lit(None).cast(kinds.get(c, "double")).alias(c) for c in FILTERED])
+    assert rows.select(filter_group(rows, list(FILTERED))).distinct().count() == 1
